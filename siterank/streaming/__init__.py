@@ -1,0 +1 @@
+"""Intentionally empty: the surveyed workload is batch only (no stream source, watermark or stateful rule)."""
