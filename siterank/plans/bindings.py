@@ -276,11 +276,11 @@ def site_daily(spark: SparkSession, folder: str) -> DataFrame:
     from siterank.operators.daily import site_mean
 
     site = site_mean(weather_daily(spark, folder), WEATHER)
-    return site.select("date", *[F.round(c, 6).alias(c) for c in WEATHER])
+    return site.select("date", *[F.round(c, 9).alias(c) for c in WEATHER])
 
 
 def site_sql() -> str:
-    means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in WEATHER)
+    means = ", ".join(f"round(avg({c}), 9) AS {c}" for c in WEATHER)
     return weather_sql() + f""",
 site AS (SELECT date, {means} FROM wd GROUP BY date)"""
 
