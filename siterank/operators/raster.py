@@ -67,6 +67,12 @@ def coverage_audit(cells: DataFrame, grid_cells: Column | int, minimum: int = MI
     return out.withColumn("coverage_check", F.when(F.col("eligible_percent") >= 90.0, "PASS").otherwise("FAIL"))
 
 
+def around(base: str | Column, offsets: Column) -> Column:
+    """One row per offset from the base value."""
+    base = F.col(base) if isinstance(base, str) else base
+    return F.explode(F.transform(offsets, lambda o: base + o))
+
+
 # --- disc join -----------------------------------------------------------------------
 
 def disc_cells(points: DataFrame, radii: Sequence[int], xmin: float, ymax: float, cell: float, keys: Sequence[str] = ("component_id",)) -> DataFrame:
@@ -79,8 +85,8 @@ def disc_cells(points: DataFrame, radii: Sequence[int], xmin: float, ymax: float
     offsets = F.sequence(F.lit(-half), F.lit(half))
     at = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     at = at.select(*keys, "x", "y", F.floor((F.col("x") - xmin) / cell).alias("_c"), F.floor((F.lit(ymax) - F.col("y")) / cell).alias("_r"))
-    window = at.select(*keys, "x", "y", "_c", (F.col("_r") + F.explode(offsets)).alias("row")).select(
-        *keys, "x", "y", "row", (F.col("_c") + F.explode(offsets)).alias("col")).where((F.col("row") >= 0) & (F.col("col") >= 0))
+    window = at.select(*keys, "x", "y", "_c", around("_r", offsets).alias("row")).select(
+        *keys, "x", "y", "row", around("_c", offsets).alias("col")).where((F.col("row") >= 0) & (F.col("col") >= 0))
     dx = F.lit(xmin) + (F.col("col") + 0.5) * cell - F.col("x")
     dy = F.lit(ymax) - (F.col("row") + 0.5) * cell - F.col("y")
     reached = F.filter(F.array(*[F.when(F.col("_d2") <= r * r, F.lit(r)) for r in radii]), lambda x: x.isNotNull())
@@ -100,8 +106,8 @@ def lonlat_disc_cells(points: DataFrame, radii: Sequence[int], lat0: float, lon0
     at = points.where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).select(*keys, "longitude", "latitude")
     metre_x = scale_x * F.cos(F.radians("latitude"))
     half_x = F.ceil(F.lit(float(max(radii))) / (metre_x * step)).cast("int") + 2
-    rows = at.select("*", (F.round((F.lit(lat0) - F.col("latitude")) / step).cast("bigint") + F.explode(F.sequence(F.lit(-half_y), F.lit(half_y)))).alias("row"))
-    window = rows.select("*", (F.round((F.col("longitude") - lon0) / step).cast("bigint") + F.explode(F.sequence(-half_x, half_x))).alias("col"))
+    rows = at.select("*", around(F.round((F.lit(lat0) - F.col("latitude")) / step).cast("bigint"), F.sequence(F.lit(-half_y), F.lit(half_y))).alias("row"))
+    window = rows.select("*", around(F.round((F.col("longitude") - lon0) / step).cast("bigint"), F.sequence(-half_x, half_x)).alias("col"))
     window = window.where((F.col("row") >= 0) & (F.col("col") >= 0))
     dx = (F.lit(lon0) + F.col("col") * step - F.col("longitude")) * metre_x
     dy = (F.lit(lat0) - F.col("row") * step - F.col("latitude")) * scale_y

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions.geodesy import circle_overlap
+from siterank.operators.lineage import materialise
+from siterank.operators.raster import around
 
 EDGE_TOLERANCE = 1e-10
 
@@ -98,8 +100,8 @@ def support_overlap(points: DataFrame, radii: Sequence[int]) -> DataFrame:
     near = F.sequence(F.lit(-1), F.lit(1))
     a = sized.select("radius_m", F.col("component_id").alias("component_a"), F.col("x").alias("xa"), F.col("y").alias("ya"), tile("x").alias("_tx"), tile("y").alias("_ty"))
     b = sized.select("radius_m", F.col("component_id").alias("component_b"), F.col("x").alias("xb"), F.col("y").alias("yb"),
-                     (tile("x") + F.explode(near)).alias("_tx"), tile("y").alias("_y0")).select(
-        "radius_m", "component_b", "xb", "yb", "_tx", (F.col("_y0") + F.explode(near)).alias("_ty"))
+                     around(tile("x"), near).alias("_tx"), tile("y").alias("_y0")).select(
+        "radius_m", "component_b", "xb", "yb", "_tx", around(F.col("_y0"), near).alias("_ty"))
     pairs = a.join(b, ["radius_m", "_tx", "_ty"]).where(F.col("component_a") < F.col("component_b"))
     distance = F.sqrt((F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb")))
     pairs = pairs.withColumn("distance_m", distance).where(F.col("distance_m") < 2 * F.col("radius_m"))
@@ -115,8 +117,6 @@ def nearest_on_grid(sources: DataFrame, targets: DataFrame, keys: Sequence[str],
     no larger than the width of the searched margin. Unresolved cells go on with tiles four times as wide,
     where every tile keeps only its distinct target cells, until none is left.
     """
-    from siterank.operators.lineage import materialise
-
     keys = list(keys)
     # cells that are targets themselves have distance zero
     goal = materialise(targets.select(F.col("row").alias("tr"), F.col("col").alias("tc")).distinct())
@@ -128,8 +128,8 @@ def nearest_on_grid(sources: DataFrame, targets: DataFrame, keys: Sequence[str],
     near = F.sequence(F.lit(-1), F.lit(1))
     while True:
         at = lambda c: F.floor(F.col(c) / tile)
-        spread = goal.select("tr", "tc", (at("tr") + F.explode(near)).alias("_r"), at("tc").alias("_c0")).select(
-            "tr", "tc", "_r", (F.col("_c0") + F.explode(near)).alias("_c"))
+        spread = goal.select("tr", "tc", around(at("tr"), near).alias("_r"), at("tc").alias("_c0")).select(
+            "tr", "tc", "_r", around(F.col("_c0"), near).alias("_c"))
         dr, dc = (F.col("row") - F.col("tr")) * scale_row, (F.col("col") - F.col("tc")) * scale_col
         found = open_cells.withColumns({"_r": at("row"), "_c": at("col")}).join(spread, ["_r", "_c"], "left").groupBy(*keys, "row", "col").agg(
             F.min(dr * dr + dc * dc).alias("_d2"))

@@ -303,9 +303,9 @@ def lag_frame(spark, folder):
     return daily.lag_features(scenes(spark, folder), site_daily(spark, folder), ["item_id", "epoch_id"], lags=LAGS)
 
 
-@query("j5_a22_lag_features", f"WITH {site_sql()}, {LAG_SQL} SELECT item_id, epoch_id, acquisition_date, {', '.join(f'{r(c, 9)} AS {c}' for c in LAG_COLUMNS)} FROM fl")
+@query("j5_a22_lag_features", f"WITH {site_sql()}, {LAG_SQL} SELECT item_id, epoch_id, acquisition_date, {', '.join(f'{r(c, 11)} AS {c}' for c in LAG_COLUMNS)} FROM fl")
 def lag_features(spark, folder):
-    return rounded(lag_frame(spark, folder), 9)
+    return rounded(lag_frame(spark, folder), 11)
 
 
 @query("a23_lag_summary", f"""WITH {site_sql()}, {LAG_SQL}

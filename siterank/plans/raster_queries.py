@@ -70,10 +70,10 @@ def composite(spark, folder):
 
 
 @query("a7_p7_p8_median_composite", f"""WITH {COMPOSITE_SQL}
-SELECT epoch_id, row, col, observations, strict_observations, {', '.join(f'{r(f"common_{b}", 7)} AS common_{b}' for b in BANDS)}, {', '.join(f'{r(i, 7)} AS {i}' for i in INDICES)} FROM cp""")
+SELECT epoch_id, row, col, observations, strict_observations, {', '.join(f'{r(f"common_{b}", 12)} AS common_{b}' for b in BANDS)}, {', '.join(f'{r(i, 12)} AS {i}' for i in INDICES)} FROM cp""")
 def median_composite(spark, folder):
     c = composite(spark, folder)
-    return rounded(c.select("epoch_id", "row", "col", "observations", "strict_observations", *[f"common_{b}" for b in BANDS], *INDICES), 7)
+    return rounded(c.select("epoch_id", "row", "col", "observations", "strict_observations", *[f"common_{b}" for b in BANDS], *INDICES), 12)
 
 
 @query("a9_coverage_audit", f"""WITH {COMPOSITE_SQL}, g AS (SELECT count(*) AS n FROM part),
@@ -354,7 +354,7 @@ def blocks(spark, folder):
 
 
 # Each nation is a square with a square hole; a second part lies beside it.
-NATION_BOX = "n_nationkey % 5 * 400e0 + 293100e0 AS bx, 3748500e0 - n_nationkey // 5 * 150e0 AS by"
+NATION_BOX = "n_nationkey % 5 * 400e0 + 293100e0 AS bx, 3748500e0 - n_nationkey // 5 * 150e0 AS b2"
 
 
 def footprints(spark, folder):
@@ -366,8 +366,8 @@ def footprints(spark, folder):
 
 
 @query("p13_points_in_polygons", f"""WITH {B.places_sql()}, n AS (SELECT n_nationkey, {NATION_BOX} FROM nation),
-t AS (SELECT component_id, n_nationkey, (x BETWEEN bx AND bx + 120 AND y BETWEEN by - 120 AND by AND NOT (x BETWEEN bx + 30 AND bx + 75 AND y BETWEEN by - 75 AND by - 30))
-  OR (x BETWEEN bx + 150 AND bx + 210 AND y BETWEEN by - 60 AND by) AS inside FROM places, n WHERE x IS NOT NULL)
+t AS (SELECT component_id, n_nationkey, (x BETWEEN bx AND bx + 120 AND y BETWEEN b2 - 120 AND b2 AND NOT (x BETWEEN bx + 30 AND bx + 75 AND y BETWEEN b2 - 75 AND b2 - 30))
+  OR (x BETWEEN bx + 150 AND bx + 210 AND y BETWEEN b2 - 60 AND b2) AS inside FROM places, n WHERE x IS NOT NULL)
 SELECT component_id, n_nationkey FROM t WHERE inside""")
 def polygons(spark, folder):
     points = B.places(spark, folder).where(F.col("x").isNotNull())
@@ -379,10 +379,10 @@ def polygons(spark, folder):
   FROM places a JOIN places b ON a.component_id < b.component_id AND a.x IS NOT NULL AND b.x IS NOT NULL, (VALUES (60), (120), (500)) t(radius_m)),
 l AS (SELECT *, 2e0 * radius_m * radius_m * acos(d / (2e0 * radius_m)) - d / 2 * sqrt(greatest(4e0 * radius_m * radius_m - d * d, 0)) AS a FROM d WHERE d < 2 * radius_m),
 m AS (SELECT *, CASE WHEN a > 0 THEN a / (6.283185307179586e0 * radius_m * radius_m - a) ELSE 0 END AS j FROM l)
-SELECT radius_m, component_a, component_b, {r('d', 5)} AS distance_m, {r('a', 3)} AS intersection_area_m2, {r('j')} AS jaccard_overlap, radius_m = 500 AND j >= 0.25 AS flag_cluster_aware FROM m""")
+SELECT radius_m, component_a, component_b, {r('d')} AS distance_m, {r('a', 3)} AS intersection_area_m2, {r('j')} AS jaccard_overlap, radius_m = 500 AND j >= 0.25 AS flag_cluster_aware FROM m""")
 def overlap(spark, folder):
     o = spatial.support_overlap(B.places(spark, folder), [60, 120, 500])
-    return rounded(o).withColumns({"distance_m": F.round("distance_m", 5) + 0.0, "intersection_area_m2": F.round("intersection_area_m2", 3) + 0.0})
+    return rounded(o.withColumn("intersection_area_m2", F.round("intersection_area_m2", 3)))
 
 
 @query("p12_catalogue_acceptance", """WITH c AS (SELECT o_orderpriority AS epoch_id, o_custkey AS item_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey * 7 % 1000) / 1e1 END AS cloud,
