@@ -75,15 +75,15 @@ def one_vs_rest(predicted: DataFrame, keys: Sequence[str] = ("model",), amount:
     group = [*keys, "label"]
     all_rows = value_positions(scores, group, "s", "n").withColumnRenamed("n", "m")
     hits = value_positions(scores, group, "s", "pos").select(*group, "value", F.col("before").alias("pb"))
-    totals = scores.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("n").alias("N"))
+    totals = scores.groupBy(*group).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
     joined = (scores.withColumnRenamed("s", "value").join(all_rows, [*group, "value"]).join(hits, [*group, "value"], "left").join(totals, group)
-              .where((F.col("pos") > 0) & (F.col("P") < F.col("N"))))
+              .where((F.col("pos") > 0) & (F.col("all_pos") < F.col("all_n"))))
     # negatives below a score = rows below - positives below; ties count half
     below = (F.col("before") - F.col("pb")) + (F.col("m") - F.col("pos")) / 2
-    at_or_above, positives = F.col("N") - F.col("before"), F.col("P") - F.col("pb")
+    at_or_above, positives = F.col("all_n") - F.col("before"), F.col("all_pos") - F.col("pb")
     each = joined.groupBy(*group).agg(
-        (F.sum(F.col("pos") * below) / F.max(F.col("P") * (F.col("N") - F.col("P")))).alias("auroc"),
-        (F.sum(F.col("pos") * positives / at_or_above) / F.max("P")).alias("average_precision"))
+        (F.sum(F.col("pos") * below) / F.max(F.col("all_pos") * (F.col("all_n") - F.col("all_pos")))).alias("auroc"),
+        (F.sum(F.col("pos") * positives / at_or_above) / F.max("all_pos")).alias("average_precision"))
     return each
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siterank.functions.columns import valid_cell
 from siterank.operators import decision, metrics, raster, resample, scoring
+from siterank.operators.lineage import materialise
 from siterank.plans import bindings as B
 from siterank.plans.registry import query, r, rounded, table
 from siterank.plans.score_queries import SUMMARY_SQL, UNIFORM_SQL, FORMULATION_SQL, frame
@@ -76,12 +77,12 @@ x AS (SELECT component_id, draw, score, rank() OVER (PARTITION BY draw ORDER BY
 
 
 @query("m3_independent_block_bootstrap", f"""WITH {LAST_SQL}, {SITES_SQL}, {disc_sql('sites', 'component_id')}, {FIXED_SQL}, {M3_SQL}
-{SUMMARY_SQL('component_id')}, {r('quantile_cont(score, 0.5)')} AS score_median, {r('quantile_cont(score, 0.025)')} AS score_ci_low_95, {r('quantile_cont(score, 0.975)')} AS score_ci_high_95 FROM x GROUP BY 1""")
+{SUMMARY_SQL('component_id')}, {r('quantile_cont(score, 0.5)', 9)} AS score_median, {r('quantile_cont(score, 0.025)', 9)} AS score_ci_low_95, {r('quantile_cont(score, 0.975)', 9)} AS score_ci_high_95 FROM x GROUP BY 1""")
 def m3(spark, folder):
     joined = raster.disc_join(sites(spark, folder), last_cells(spark, folder), [RADIUS], *GRID)
     blocked = resample.with_block(joined, 150.0, B.CELL, B.grid_width(spark, folder, "part"))
     draws = resample.independent_block_bootstrap(blocked, fixed_terrain(spark, folder), DRAWS)
-    return rounded(decision.summarise_ranks(draws, ["component_id"], "score"))
+    return rounded(decision.summarise_ranks(draws, ["component_id"], "score"), 9)
 
 
 SIZES = [60, 90, 150]
@@ -233,7 +234,7 @@ def recovery(spark, folder):
 def factorial(spark, folder):
     draws = decision_draws(spark, folder)
     size = draws.agg(F.count_distinct("component_id"))
-    return decision.factorial_ranks(decision.recover_geometry(draws), size.scalar(), STEPS)
+    return materialise(decision.factorial_ranks(decision.recover_geometry(draws), size.scalar(), STEPS))
 
 
 @query("m10_j9_rank_acceptability", f"""WITH {score_sql()}, {FORMULATION_SQL}, {FACTORIAL_SQL},
@@ -346,6 +347,11 @@ cb AS (SELECT model, CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS
 cg AS (SELECT model, b.bin, coalesce(count, 0) AS count, accuracy, mean_confidence FROM (SELECT DISTINCT model FROM pd) m CROSS JOIN range(10) b(bin) LEFT JOIN cb USING (model, bin))"""
 
 
+@query("l9_macro_curves")
+def macro_curves(spark, folder):
+    return rounded(metrics.macro_curves(metrics.one_vs_rest(predictions(spark, folder))))
+
+
 @query("l10_calibration_table", f"WITH {PRED_SQL}, {CAL_SQL} SELECT model, bin, count, {r('accuracy')} AS accuracy, {r('mean_confidence')} AS mean_confidence, {r('bin / 1e1')} AS bin_left, {r('(bin + 1) / 1e1')} AS bin_right FROM cg")
 def calibration(spark, folder):
     return rounded(metrics.calibration(metrics.with_prediction(predictions(spark, folder))))
