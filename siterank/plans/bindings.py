@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siterank.functions.columns import reflectance
 from siterank.operators.order import INVENTORY_LIMIT, inventory, quantiles_wide
 from siterank.operators.scoring import fixed_scores
-from siterank.plans.registry import table
+from siterank.plans.registry import row_count, table
 
 LAST_EPOCH = "E2001"
 RADIUS_LIMITS = {250: 10.0, 500: 25.0, 1000: 50.0}
@@ -19,7 +19,7 @@ RADIUS_LIMITS = {250: 10.0, 500: 25.0, 1000: 50.0}
 
 def is_small(spark: SparkSession, folder: str, name: str, copies: int = 1) -> bool:
     """Whether a table (taken ``copies`` times) fits one task, by the counts in its file footers."""
-    return table(spark, folder, name).count() * copies <= INVENTORY_LIMIT
+    return row_count(spark, folder, name) * copies <= INVENTORY_LIMIT
 
 
 # --- score frame ---------------------------------------------------------------------
@@ -115,7 +115,7 @@ def grid_width(spark: SparkSession, folder: str, name: str) -> int:
     """Power of two near the square root of the table size (a count from the file footers)."""
     import math
 
-    return int(2 ** math.ceil(math.log2(math.sqrt(table(spark, folder, name).count()))))
+    return int(2 ** math.ceil(math.log2(math.sqrt(row_count(spark, folder, name)))))
 
 
 def width_sql(name: str) -> str:
@@ -204,9 +204,8 @@ vcells AS (SELECT * FROM cells WHERE ndvi IS NOT NULL AND ndbi IS NOT NULL AND m
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers as points on the part grid; a negative balance means no known location (kept as NULL)."""
-    parts = table(spark, folder, "part")
     width = grid_width(spark, folder, "part")
-    height = -(-parts.count() // width)
+    height = -(-row_count(spark, folder, "part") // width)
     s = table(spark, folder, "supplier")
     share = F.col("s_acctbal") - F.floor("s_acctbal")
     known = F.col("s_acctbal") >= 0

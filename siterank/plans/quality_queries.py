@@ -10,7 +10,7 @@ from siterank.operators import benchmark, checks, metrics, sampling, scoring, sp
 from siterank.operators.lineage import materialise
 from siterank.operators.order import with_percentile
 from siterank.plans import bindings as B
-from siterank.plans.registry import query, r, rounded, table
+from siterank.plans.registry import query, r, rounded, row_count, table
 from siterank.plans.resample_queries import PRED_SQL, predictions
 from siterank.plans.score_queries import FORMULATION_SQL, SCENARIO_SQL, STABILITY_SQL, UNIFORM_SQL, frame
 from siterank.plans.bindings import score_sql
@@ -24,18 +24,18 @@ def samples(spark, folder):
     """Labelled parts: mean reflectance, indices, class and block."""
     width = B.grid_width(spark, folder, "part")
     m = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(
-        *[F.avg(c).alias(n) for n, c in B.dn_columns().items()], (F.max("l_linenumber") % 6).alias("y"))
+        *[F.avg(c).alias(n) for n, c in B.dn_columns().items()], (F.sum("l_linenumber") % 6).alias("y"))
     m = m.select("id", "y", *[C.reflectance(b).alias(b) for b in BANDS])
     m = m.withColumns(C.normalised_differences()).withColumns({"row": F.floor(F.col("id") / width), "col": F.col("id") % width})
     # ten by ten blocks over the grid
-    side = F.lit(float(width))
-    return m.withColumn("block", (F.least(F.floor(F.col("row") * 10 / side), F.lit(9)) * 10 + F.floor(F.col("col") * 10 / side)).cast("bigint"))
+    height = -(-row_count(spark, folder, "part") // width)
+    return m.withColumn("block", (F.floor(F.col("row") * 10 / F.lit(float(height))) * 10 + F.floor(F.col("col") * 10 / F.lit(float(width)))).cast("bigint"))
 
 
 SAMPLES_SQL = f"""
-sa AS (SELECT l_partkey AS id, max(l_linenumber) % 6 AS y, {', '.join(f'{e} AS {n}' for n, e in (('blue', 'avg(CAST(floor(8000 + l_quantity * 100) AS INTEGER)) * 2.75e-5 + -2e-1'), ('red', 'avg(CAST(round(7500 + l_discount * 100000) AS INTEGER)) * 2.75e-5 + -2e-1')))},
+sa AS (SELECT l_partkey AS id, CAST(sum(l_linenumber) % 6 AS BIGINT) AS y, {', '.join(f'{e} AS {n}' for n, e in (('blue', 'avg(CAST(floor(8000 + l_quantity * 100) AS INTEGER)) * 2.75e-5 + -2e-1'), ('red', 'avg(CAST(round(7500 + l_discount * 100000) AS INTEGER)) * 2.75e-5 + -2e-1')))},
   l_partkey // {B.width_sql('part')} AS row, l_partkey % {B.width_sql('part')} AS col FROM lineitem GROUP BY l_partkey),
-sb AS (SELECT *, CAST(least(floor(row * 10 / CAST({B.width_sql('part')} AS DOUBLE)), 9) * 10 + floor(col * 10 / CAST({B.width_sql('part')} AS DOUBLE)) AS BIGINT) AS block FROM sa),
+sb AS (SELECT *, CAST(floor(row * 10 / CAST((SELECT (count(*) + {B.width_sql('part')} - 1) // {B.width_sql('part')} FROM part) AS DOUBLE)) * 10 + floor(col * 10 / CAST({B.width_sql('part')} AS DOUBLE)) AS BIGINT) AS block FROM sa),
 sr AS (SELECT *, CASE WHEN block % 10 IN (3, 4) THEN 'test' WHEN block % 10 IN (2, 5) THEN 'buffer' ELSE 'development' END AS role FROM sb)"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siterank.functions import columns as C, geodesy
 from siterank.operators import raster, spatial
 from siterank.plans import bindings as B
-from siterank.plans.registry import query, r, rounded, table
+from siterank.plans.registry import query, r, rounded, row_count, table
 
 BANDS, INDICES = C.BANDS, C.INDICES
 SCREEN_SQL = B.scene_pixels_sql() + f""",
@@ -82,7 +82,7 @@ c AS (SELECT epoch_id, count(*) FILTER (observations >= 3) * 1e2 / min(n) AS e,
 SELECT epoch_id, {r('e')} AS eligible_percent, {r('p')} AS preferred_percent, {r('s')} AS strict_percent, mn AS observations_min, {r('md')} AS observations_median, mx AS observations_max,
   CASE WHEN e >= 90 THEN 'PASS' ELSE 'FAIL' END AS coverage_check FROM c""")
 def coverage(spark, folder):
-    cells = table(spark, folder, "part").count()
+    cells = row_count(spark, folder, "part")
     return rounded(raster.coverage_audit(composite(spark, folder), F.lit(cells)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siterank.operators import raster, spatial, terrain
 from siterank.plans import bindings as B
-from siterank.plans.registry import query, r, rounded, table
+from siterank.plans.registry import query, r, rounded, row_count, table
 from siterank.plans.resample_queries import LAT0, LON0, STEP, SITES_SQL, sites
 from siterank.functions.columns import block_id, split_role
 
@@ -17,7 +17,7 @@ CELL_Y, CELL_X = 30.87, 25.7
 
 def dem_width(spark, folder) -> int:
     """Largest divisor of the number of orders up to its square root, so that the grid is a full rectangle."""
-    n = table(spark, folder, "orders").count()
+    n = row_count(spark, folder, "orders")
     return next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
 
 
