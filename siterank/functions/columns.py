@@ -157,3 +157,13 @@ def sensor_reflectance(dn, baseline: str | Column, offset: int = -1000, from_bas
     """10 m sensor contract: (DN + offset) / 10000 with the offset only from the given processing baseline."""
     shift = F.when(_c(baseline) >= from_baseline, F.lit(offset)).otherwise(F.lit(0))
     return (_c(dn) + shift) / F.lit(10000.0)
+
+
+def nested_levels(value: Column, limits: dict) -> Column:
+    """Array of the levels whose limit the value meets, for nested limits {level: limit}; constant arrays only."""
+    ordered = sorted(limits.items(), key=lambda item: item[1])
+    out = None
+    for i, (_, limit) in enumerate(ordered):
+        levels = F.array(*[F.lit(level) for level, _ in ordered[i:]])
+        out = F.when(value <= limit, levels) if out is None else out.when(value <= limit, levels)
+    return out

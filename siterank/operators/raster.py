@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siterank.functions.columns import (BANDS, HARMONISED_PLATFORM, INDICES, clear_pixel, harmonised, normalised_differences, physical,
+from siterank.functions.columns import (BANDS, HARMONISED_PLATFORM, INDICES, clear_pixel, harmonised, nested_levels, normalised_differences, physical,
                                         reflectance, strict_clear_pixel)
 from siterank.operators.order import quantiles, quantiles_wide
 
@@ -89,7 +89,7 @@ def disc_cells(points: DataFrame, radii: Sequence[int], xmin: float, ymax: float
         *keys, "x", "y", "row", around("_c", offsets).alias("col")).where((F.col("row") >= 0) & (F.col("col") >= 0))
     dx = F.lit(xmin) + (F.col("col") + 0.5) * cell - F.col("x")
     dy = F.lit(ymax) - (F.col("row") + 0.5) * cell - F.col("y")
-    reached = F.filter(F.array(*[F.when(F.col("_d2") <= r * r, F.lit(r)) for r in radii]), lambda x: x.isNotNull())
+    reached = nested_levels(F.col("_d2"), {int(r): float(r * r) for r in radii})
     return window.withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= max(radii) ** 2).select(
         *keys, "row", "col", F.explode(reached).alias("radius_m"))
 
@@ -111,7 +111,7 @@ def lonlat_disc_cells(points: DataFrame, radii: Sequence[int], lat0: float, lon0
     window = window.where((F.col("row") >= 0) & (F.col("col") >= 0))
     dx = (F.lit(lon0) + F.col("col") * step - F.col("longitude")) * metre_x
     dy = (F.lit(lat0) - F.col("row") * step - F.col("latitude")) * scale_y
-    reached = F.filter(F.array(*[F.when(F.col("_d2") <= r * r, F.lit(r)) for r in radii]), lambda x: x.isNotNull())
+    reached = nested_levels(F.col("_d2"), {int(r): float(r * r) for r in radii})
     return window.withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= max(radii) ** 2).select(
         *keys, "row", "col", F.explode(reached).alias("radius_m"))
 

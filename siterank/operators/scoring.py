@@ -218,7 +218,7 @@ def baseline_comparison(frame: DataFrame, raw_oriented: dict[str, Column] | None
     work = work if bounded else materialise(work)
     rules = {
         "Hierarchical reference": F.col(PRIORITY),
-        "Ungrouped equal-factor mean": F.round(mean_of(FACTORS), 12),
+        "Ungrouped equal-factor mean": mean_of(FACTORS),
         "Landscape only": F.col(LANDSCAPE),
         "Terrain only": F.col(TERRAIN_SCORE),
         "CRITIC weighting": F.col("critic"),

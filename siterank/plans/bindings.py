@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siterank.functions.columns import reflectance
+from siterank.functions.columns import nested_levels, reflectance
 from siterank.operators.order import INVENTORY_LIMIT, inventory, quantiles_wide
 from siterank.operators.scoring import fixed_scores
 from siterank.plans.registry import row_count, table
@@ -30,9 +30,7 @@ def neighbourhood_lines(spark: SparkSession, folder: str, entity: str) -> DataFr
     if entity == "p_brand":
         part = table(spark, folder, "part").select("p_partkey", "p_brand")
         items = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    radii = F.filter(
-        F.array(*[F.when(F.col("l_quantity") <= limit, F.lit(radius)) for radius, limit in RADIUS_LIMITS.items()]),
-        lambda x: x.isNotNull())
+    radii = nested_levels(F.col("l_quantity"), RADIUS_LIMITS)
     return items.select(
         F.col(entity).alias("component_id"), F.explode(radii).alias("radius_m"),
         F.concat(F.lit("E"), F.year("l_shipdate").cast("string")).alias("epoch_id"),

@@ -22,28 +22,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-# Tables that may arrive as one large file.
-FACTS = {"lineitem", "orders", "documents"}
-SPREAD_ROWS = 200_000
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. A large one that comes in far fewer splits than there are cores is spread out first;
-    with enough splits, as on a cluster, nothing is moved. Pruning and filters pass through the exchange."""
-    df = source(spark, folder, name)
-    lanes = spark.sparkContext.defaultParallelism
-    if name in FACTS and df.rdd.getNumPartitions() * 4 <= lanes and df.count() > SPREAD_ROWS:
-        return df.repartition(lanes)
-    return df
-
-
-def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def row_count(spark: SparkSession, folder: str, name: str) -> int:
     """Rows by the file footers."""
-    return source(spark, folder, name).count()
+    return table(spark, folder, name).count()
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

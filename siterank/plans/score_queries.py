@@ -242,7 +242,7 @@ def robust_logistic(spark, folder):
 
 
 BASE_RULES = {
-    "Hierarchical reference": P, "Ungrouped equal-factor mean": f"round(({' + '.join(S.FACTORS)}) / 6e0, 12)", "Landscape only": L, "Terrain only": T,
+    "Hierarchical reference": P, "Ungrouped equal-factor mean": f"({' + '.join(S.FACTORS)}) / 6e0", "Landscape only": L, "Terrain only": T,
     "CRITIC weighting": "critic", "Entropy weighting": "entropy",
 }
 _ws = lambda t: "round(" + " + ".join(f"{t}.w_{a} * f.{a}" for a in S.FACTORS) + ", 12)"
