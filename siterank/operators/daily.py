@@ -16,14 +16,10 @@ from siterank.operators.agreement import correlation, paired_agreement
 LAG_DAYS = [7, 30, 90, 180, 365]
 
 
-def site_mean(daily: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A10: mean over weather cells per date."""
-    return daily.groupBy("date").agg(*[F.avg(c).alias(c) for c in columns])
-
-
-def site_spread(daily: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A10: population standard deviation over weather cells per date."""
-    return daily.groupBy("date").agg(*[F.stddev_pop(c).alias(f"{c}_spatial_sd") for c in columns])
+def site_mean(daily: DataFrame, columns: Sequence[str], spread: bool = False) -> DataFrame:
+    """A10: mean over weather cells per date, with the population standard deviation on request."""
+    sds = [F.stddev_pop(c).alias(f"{c}_spatial_sd") for c in columns] if spread else []
+    return daily.groupBy("date").agg(*[F.avg(c).alias(c) for c in columns], *sds)
 
 
 def in_years(years: tuple[int, int], date: str = "date") -> Column:

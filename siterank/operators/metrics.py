@@ -33,27 +33,34 @@ def confusion_table(predicted: DataFrame, classes: int, keys: Sequence[str] = ("
     return out.select(*keys, "y", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"predicted_{k}") for k in range(classes)])
 
 
-def per_class(counts: DataFrame, classes: int, keys: Sequence[str] = ("model",), amount: str = "n") -> DataFrame:
-    """Precision, recall and F1 over a fixed label set; 0 where undefined."""
-    keys = list(keys)
+def _label_counts(counts: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:
+    """Support, predictions and hits of every label that occurs."""
     roles = F.array(F.struct(F.col("y").cast("int").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("q")),
                     F.struct(F.col("prediction").cast("int").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("q")))
     sided = counts.select(*keys, F.col(amount).alias("_n"), (F.col("y") == F.col("prediction")).alias("_hit"), F.explode(roles).alias("r"))
-    found = sided.groupBy(*keys, F.col("r.label").alias("label")).agg(
+    return sided.groupBy(*keys, F.col("r.label").alias("label")).agg(
         F.sum(F.col("_n") * F.col("r.t")).alias("support"), F.sum(F.col("_n") * F.col("r.q")).alias("predicted"),
         F.sum(F.when(F.col("_hit"), F.col("_n") * F.col("r.t")).otherwise(0)).alias("hits"))
-    grid = counts.select(*keys).distinct().withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
-    full = grid.join(found, [*keys, "label"], "left").na.fill(0, ["support", "predicted", "hits"])
+
+
+def _label_scores() -> dict[str, Column]:
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return full.withColumns({"precision": zero(F.col("hits"), F.col("predicted")), "recall": zero(F.col("hits"), F.col("support")),
-                             "f1": zero(2 * F.col("hits"), F.col("predicted") + F.col("support"))})
+    return {"precision": zero(F.col("hits"), F.col("predicted")), "recall": zero(F.col("hits"), F.col("support")),
+            "f1": zero(2 * F.col("hits"), F.col("predicted") + F.col("support"))}
+
+
+def per_class(counts: DataFrame, classes: int, keys: Sequence[str] = ("model",), amount: str = "n") -> DataFrame:
+    """Precision, recall and F1 over a fixed label set; 0 where undefined."""
+    grid = counts.select(*keys).distinct().withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
+    full = grid.join(_label_counts(counts, keys, amount), [*keys, "label"], "left").na.fill(0, ["support", "predicted", "hits"])
+    return full.withColumns(_label_scores())
 
 
 def summary(counts: DataFrame, classes: int, keys: Sequence[str] = ("model",), amount: str = "n") -> DataFrame:
-    """Agreement, balanced accuracy over the fixed label set, and macro-F1."""
-    return per_class(counts, classes, keys, amount).groupBy(*keys).agg(
+    """Agreement, balanced accuracy over the fixed label set, and macro-F1; a label that never occurs adds 0."""
+    return _label_counts(counts, keys, amount).withColumns(_label_scores()).groupBy(*keys).agg(
         F.sum("support").alias("n"), F.try_divide(F.sum("hits"), F.sum("support")).alias("overall_agreement"),
-        F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
+        (F.sum("recall") / classes).alias("balanced_accuracy"), (F.sum("f1") / classes).alias("macro_f1"))
 
 
 def probability_losses(predicted: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

@@ -19,10 +19,9 @@ BASE_SQL = f"year(date) BETWEEN {B0} AND {B1}"
 @query("a10_site_mean_and_spread", f"""WITH {weather_sql()}
 SELECT date, {', '.join(f'{r(f"avg({c})", 9)} AS {c}, {r(f"stddev_pop({c})", 5)} AS {c}_spatial_sd' for c in WEATHER)} FROM wd GROUP BY date""")
 def site_mean(spark, folder):
-    w = weather_daily(spark, folder)
     sds = [f"{c}_spatial_sd" for c in WEATHER]
-    out = rounded(daily.site_mean(w, WEATHER).join(daily.site_spread(w, WEATHER).withColumns({c: F.round(c, 5) for c in sds}), "date"), 9)
-    return out
+    out = daily.site_mean(weather_daily(spark, folder), WEATHER, spread=True)
+    return rounded(out.withColumns({c: F.round(c, 5) for c in sds}), 9)
 
 
 LIMIT_SQL = f"""
