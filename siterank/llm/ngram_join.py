@@ -7,14 +7,16 @@ one band; a band is named by the XOR of the mixed hashes of its set bits. Bands
 ``spare`` bands are added: a set with at most ``spare`` empty bands leaves them out, and a set with more sends its bands
 again under another hash, so that two such sets meet there (the last hash keeps its empty bands). No link is lost.
 
-Equal sets are one class from the start. A band shared by many classes is never expanded into pairs: its classes are tested
-against its smallest one, linked classes merge, and only bands that still hold several components go on, with that smallest
-class taken out, until none is left. So a large group of near copies costs a few tests for each of its members.
+Equal sets are one class from the start. The classes of a band are first tested against its hub, the class whose bands are
+the most shared, which is the original of a group of near copies; linked classes merge. Only bands that still hold several
+components go on: small ones as pairs across components, larger ones in blocks whose sketches are compared in arrays. Pairs
+within one component are never formed, and of the others only those whose sketches are near enough leave a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,25 +127,78 @@ def spell_sets(width: int, piece_bytes: int):
         for table in pieces(batches, "text", piece_bytes):
             sets = list(shingle_sets(table, width))
             parity = [(np.bincount((mix(s) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8) for s in sets]
-            sketch = [np.packbits(p).view(np.int64) for p in parity]
-            yield pa.RecordBatch.from_arrays([column(table, "class"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["class", "shingles", "sketch"])
+            sketch = [np.packbits(p).tobytes() for p in parity]
+            yield pa.RecordBatch.from_arrays([column(table, "class"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "size", "sketch", "shingles"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes whose sets are similar enough: sizes, then sketches, then the sets themselves."""
-    left = sets.select(F.col("class").alias("u"), F.col("shingles").alias("a"), F.col("sketch").alias("p"))
-    right = sets.select(F.col("class").alias("v"), F.col("shingles").alias("b"), F.col("sketch").alias("q"))
-    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near: Column = (small * 100 >= large * percent) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+def near_blocks(percent: int):
+    """One block of a band: pairs across components whose sizes and sketches do not rule out a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, names, labels, sizes = (column(table, c).to_numpy(zero_copy_only=False) for c in ("side", "class", "label", "size"))
+        sketches = np.frombuffer(b"".join(column(table, "sketch").to_pylist()), np.uint64).reshape(len(names), -1)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        us, vs = [], []
+        for i in left:
+            apart = np.bitwise_count(sketches[right] ^ sketches[i]).sum(1, dtype=np.int64)
+            small, large = np.minimum(sizes[right], sizes[i]), np.maximum(sizes[right], sizes[i])
+            ok = (labels[right] != labels[i]) & (small * 100 >= large * percent) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+            found = names[right[ok]]
+            us.append(np.minimum(found, names[i]))
+            vs.append(np.maximum(found, names[i]))
+        return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+
+    return run
+
+
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes whose sizes and sketches do not rule out a link."""
+    left = sets.select(F.col("class").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("p"))
+    right = sets.select(F.col("class").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("q"))
+    small, large = F.least("a", "b"), F.greatest("a", "b")
+    word = lambda s, k: F.conv(F.hex(F.substring(s, k, 7)), 16, 10).cast("long")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(word("p", k).bitwiseXOR(word("q", k))) for k in range(1, SKETCH_BITS // 8 + 1, 7)])
+    ok: Column = (small * 100 >= large * percent) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+    return pairs.join(right, "v").join(left, "u").filter(ok).select("u", "v")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose whole sets are similar enough."""
+    left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(s)) for c, s in (("u", "a"), ("v", "b")))
     shared = F.size(F.array_intersect("a", "b"))
-    linked = F.when(near, shared * 100 >= (small + large - shared) * percent).otherwise(False)
-    return pairs.join(right, "v").join(left, "u").filter(linked).select("u", "v")
+    return pairs.join(right, "v").join(left, "u").withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * percent).select("u", "v")
+
+
+def band_hubs(groups: DataFrame) -> DataFrame:
+    """Per key its number of classes and its hub: the class whose keys are the most shared, the smaller name on ties."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
+    weights = groups.join(sizes, "key").groupBy("class").agg(F.sum("n").alias("weight"))
+    return groups.join(weights, "class").groupBy("key").agg(F.count("*").alias("n"), F.max_by("class", F.struct("weight", -F.col("class"))).alias("hub"))
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 8, piece_bytes: int = 8 << 20) -> DataFrame:
+def open_pairs(rows: DataFrame, sets: DataFrame, percent: int, few: int, block: int) -> DataFrame:
+    """Pairs across the components of each key: all of them in keys of ``few`` classes, near ones of blocks in larger keys.
+
+    A pair has at least one end outside the hub's component, so such rows meet all rows, block by block.
+    """
+    small = rows.filter(F.col("n") <= few)
+    other = small.select("key", F.col("class").alias("v"), F.col("label").alias("other"))
+    inside = small.select("key", F.col("class").alias("u"), "label").join(other, "key").filter("u < v and label <> other").select("u", "v").distinct()
+    large = rows.filter(F.col("n") > few).join(sets.select("class", "size", "sketch"), "class")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    at = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(at.alias("i"), k.alias("j")))
+    turned = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("i"), at.alias("j")))
+    keep = ["key", "class", "label", "size", "sketch"]
+    lefts = large.filter("label <> hub_label").select(*keep, F.lit(True).alias("side"), F.explode(cells).alias("cell"))
+    rights = large.select(*keep, F.lit(False).alias("side"), F.explode(turned).alias("cell"))
+    met = lefts.unionAll(rights).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")}).drop("cell")
+    return inside.unionAll(met.groupBy("key", "i", "j").applyInArrow(near_blocks(percent), "u long, v long").distinct())
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 32, block: int = 512, piece_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), class (name of its set).
 
     Words are lower-cased by A-Z. Null or empty text has an empty set, is linked with nothing and keeps its own id. Rows that
@@ -156,36 +211,24 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     members = scratch.write(base.mapInArrow(name_sets(width, piece_bytes), "id long, n long, class long"))
     bands = base.select("text").mapInArrow(sketch_bands(width, threshold, piece_bytes), "key long, class long")
     shared = bands.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    groups = scratch.write(bands.join(shared, "key"))
-    wanted = groups.select("class").distinct()
-    firsts = members.groupBy("class").agg(F.min("id").alias("id")).join(wanted, "class")
-    sets = scratch.write(base.join(firsts, "id").dropDuplicates(["class"]).select("class", "text").mapInArrow(spell_sets(width, piece_bytes), "class long, shingles array<long>, sketch array<long>"))
-    edges = labels = tested = None
-    while True:
-        least = groups.groupBy("key").agg(F.min("class").alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")) if labels is not None else groups.groupBy("key").agg(F.min("class").alias("hub"), F.lit(0).alias("lo"), F.lit(1).alias("hi"), F.count("*").alias("n"))
-        open_ = least.filter("lo <> hi").select("key", "hub", "n")
-        rows = groups.join(open_, "key")
-        label = "label" if labels is not None else "class"
-        hub_label = rows.filter("class = hub").select("key", F.col(label).alias("hub_label")).distinct()
-        rows = scratch.write(rows.join(hub_label, "key").select("key", "class", F.col(label).alias("label"), "hub", "hub_label", "n"))
-        if rows.isEmpty():
-            break
-        small = rows.filter(F.col("n") <= few)
-        other = small.select("key", F.col("class").alias("v"), F.col("label").alias("other"))
-        inside = small.join(other, "key").filter("class < v and label <> other").select(F.col("class").alias("u"), "v")
-        pairs = rows.filter((F.col("n") > few) & (F.col("label") != F.col("hub_label"))).select(F.col("hub").alias("u"), F.col("class").alias("v")).unionAll(inside).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.write(pairs)
-        found = scratch.write(verified(pairs, sets, percent))
-        edges = found if edges is None else edges.unionAll(found)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        labels = scratch.write(components(edges, scratch))
-        rest = rows.filter((F.col("n") > few) & (F.col("class") != F.col("hub"))).select("key", F.col("class").alias("node"))
-        old, groups = groups, scratch.write(rest.join(labels, "node", "left").select("key", F.col("node").alias("class"), F.coalesce("label", "node").alias("label")))
-        scratch.drop(old, rows)
-    joined = members if labels is None else members.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    joined = joined.withColumn("node", F.col("class") if labels is None else F.coalesce("label", "class")).select("id", "n", "class", "node")
+    groups = scratch.write(bands.join(shared, "key").distinct())
+    firsts = members.groupBy("class").agg(F.min("id").alias("id")).join(groups.select("class").distinct(), "class")
+    sets = scratch.write(base.join(firsts, "id").dropDuplicates(["class"]).select("class", "text").mapInArrow(spell_sets(width, piece_bytes), "class long, size long, sketch binary, shingles array<long>"))
+    hubs = scratch.write(band_hubs(groups))
+    stars = scratch.write(groups.join(hubs, "key").filter("class <> hub").select(F.least("class", "hub").alias("u"), F.greatest("class", "hub").alias("v")).distinct())
+    edges = scratch.write(linked(near(stars, sets, percent), sets, percent))
+    labels = scratch.write(components(edges, scratch))
+    name = labels.withColumnRenamed("node", "class")
+    labelled = groups.join(name, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    center = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key").join(hubs, "key")
+    open_ = open_.join(center, "hub", "left").select("key", "n", F.coalesce("hub_label", "hub").alias("hub_label"))
+    rows = scratch.write(labelled.join(open_, "key"))
+    rest = open_pairs(rows, sets, percent, few, block).join(stars, ["u", "v"], "left_anti").distinct()
+    more = scratch.write(linked(near(rest, sets, percent), sets, percent))
+    labels = scratch.write(components(edges.unionAll(more), scratch)).withColumnRenamed("node", "class")
+    scratch.drop(groups, sets, hubs, stars, rows)
+    joined = members.join(labels, "class", "left").select("id", "n", "class", F.coalesce("label", "class").alias("node"))
     firsts = joined.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     out = joined.filter("n > 0").join(firsts, "node").select("id", "n", "class", "first").unionAll(joined.filter("n = 0").select("id", "n", "class", F.col("id").alias("first")))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"), "class")
