@@ -52,7 +52,7 @@ def rank_tokenizer(tokens: list[bytes], pattern: str) -> Tokenizer:
 def _worker(path: str, definition) -> tuple[Tokenizer, IdCache]:
     if path not in _state:
         tokenizer = Tokenizer.from_str(definition.value)
-        _state[path] = tokenizer, IdCache(lambda strings: [e.ids for e in tokenizer.encode_batch(strings, add_special_tokens=False)])
+        _state[path] = tokenizer, IdCache(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
     return _state[path]
 
 
@@ -87,7 +87,7 @@ def encode_batches(path: str, definition, offsets: bool, piece_bytes: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False, piece_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = False, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id and ids, and with ``offsets`` the character range of each token.
 
     Null counts as empty text, which has no ids. Strings of special tokens are ordinary text. A token that is part of a
@@ -118,7 +118,7 @@ def decode_batches(table, piece_rows: int):
     return run
 
 
-def decode(encoded: DataFrame, path: str, piece_rows: int = 1000) -> DataFrame:
+def decode(encoded: DataFrame, path: str, piece_rows: int = 400) -> DataFrame:
     """The rows with ``ids_le32``, the ids as little-endian 32-bit integers, and ``decoded``, their bytes: each token's characters looked up in the reversed byte table.
 
     Bytes of a character that tokens split are simply joined; ``decoded_text`` makes text of them. Null ids give no bytes.

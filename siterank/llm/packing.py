@@ -141,7 +141,7 @@ def piece_batches(path: str, definition, capacity: int, end: int, special: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in state:
             tokenizer = Tokenizer.from_str(definition.value)
-            state[path] = tokenizer, IdCache(lambda strings: [e.ids for e in tokenizer.encode_batch(strings, add_special_tokens=False)])
+            state[path] = tokenizer, IdCache(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
         tokenizer, cache = state[path]
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for table in pieces(batches, "text", piece_bytes):

@@ -8,6 +8,7 @@ tokenizers library as a whole.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -106,24 +107,29 @@ def spread(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class IdCache:
-    """Token ids by hash of the pre-token, kept by a worker process; emptied when it holds more than ``most`` entries."""
+    """Token ids by hash of the pre-token, kept by a worker process as bytes; emptied when it holds more than ``most`` entries."""
 
-    def __init__(self, encode, most: int = 1 << 20):
+    def __init__(self, encode, most: int = 1 << 19):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, pre: PreTokens) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and the number of ids before each text."""
         hashes, where, inverse = distinct(pre.hashes)
-        if len(self.known) > self.most:
-            self.known.clear()
         names = hashes.tolist()
         found = list(map(self.known.get, names))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            for i, x in zip(missing, self.encode(pre.strings(where[missing]))):
-                found[i] = self.known[names[i]] = np.array(x, np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+            if len(self.known) + len(missing) > self.most:
+                self.known.clear()
+            coded = self.encode(pre.strings(where[missing]))
+            ends = np.cumsum([len(x) for x in coded])
+            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1])).tobytes()
+            start = 0
+            for i, end in zip(missing, (4 * ends).tolist()):
+                found[i] = self.known[names[i]] = flat[start:end]
+                start = end
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         starts = np.cumsum(sizes) - sizes
         counts = sizes[inverse]
         ids = flat[spread(counts, starts[inverse])]

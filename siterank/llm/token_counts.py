@@ -41,7 +41,7 @@ def _worker(path: str):
     return _state[path]
 
 
-def count_batches(path: str, table, piece_bytes: int, most: int = 1 << 20):
+def count_batches(path: str, table, piece_bytes: int, most: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, cache, special = _worker(path)
         hashes, lengths = table.value
@@ -61,7 +61,7 @@ def count_batches(path: str, table, piece_bytes: int, most: int = 1 << 20):
             keys = names[rest].tolist()
             found = list(map(cache.get, keys))
             missing = [i for i, x in enumerate(found) if x is None]
-            for i, e in zip(missing, tokenizer.encode_batch(pre.strings(where[rest[missing]]), add_special_tokens=False) if missing else []):
+            for i, e in zip(missing, tokenizer.encode_batch_fast(pre.strings(where[rest[missing]]), add_special_tokens=False) if missing else []):
                 found[i] = cache[keys[i]] = len(e)
             each[rest] = found
             total = np.zeros(len(pre.hashes) + 1, np.int64)
