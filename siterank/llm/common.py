@@ -50,7 +50,8 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     """Polynomial hash of values[start:end] for each pair, independent of where the span lies."""
     up, down = powers(len(values))
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up, out=total[1:])
+    np.multiply(values, up, out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + U(0x2545F4914F6CDD1D) * (ends - starts).astype(np.uint64))
 
 

@@ -173,7 +173,7 @@ class Lanes:
         self.ids, self.counts = vocabulary.look(words)
         self.end = int(vocabulary.ids[np.searchsorted(vocabulary.words, END)])
         sizes = words.counts + 1
-        lanes = int(max(1, min(most, len(sizes), sizes.sum() // max(1, sizes.max()))))
+        lanes = int(max(1, min(most, len(sizes))))
         order = np.argsort(-sizes, kind="stable")
         load = np.zeros(lanes, np.int64)
         at = np.empty(len(sizes), np.int64)
@@ -183,17 +183,29 @@ class Lanes:
             to = np.argsort(load, kind="stable")[: len(some)]
             lane[some], at[some] = to, load[to]
             load[to] += sizes[some]
+        rank = np.empty(lanes, np.int64)
+        rank[np.argsort(-load, kind="stable")] = np.arange(lanes)  # longest lanes first, so those still open are the first ones
+        lane, self.load = rank[lane], np.sort(load)[::-1]
         self.steps = int(load.max(initial=0))
         doc = np.repeat(np.arange(len(sizes)), sizes)
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         value = np.full(len(doc), self.end)
         value[within < words.counts[doc]] = self.ids
-        self.grid = np.zeros((self.steps, lanes), np.int64)
-        self.doc = np.full((self.steps, lanes), -1)
+        self.grid = np.zeros((self.steps, lanes), np.int32)
+        self.doc = np.full((self.steps, lanes), -1, np.int32)
         self.fresh = np.ones((self.steps, lanes), bool)
         where = at[doc] + within, lane[doc]
         self.grid[where], self.doc[where], self.fresh[where] = value, doc, within == 0
 
+    def windows(self, tokens: int) -> Iterator[tuple[slice, int]]:
+        """Steps and open lanes of each window; a window has about ``tokens`` tokens and 16 to 256 steps."""
+        t = 0
+        while t < self.steps:
+            open_ = int(np.searchsorted(-self.load, -t, side="left"))
+            size = min(256, max(16, tokens // open_))
+            yield slice(t, t + size), open_
+            t += size
+
 
 def train_batches(shared, lanes: int, window: int, rate: float, piece_bytes: int):
     """One row for each task: the parameters after its documents, and its number of tokens."""
@@ -207,9 +219,9 @@ def train_batches(shared, lanes: int, window: int, rate: float, piece_bytes: int
         for table in pieces(batches, "text", piece_bytes):
             data = Lanes(table, net.v, lanes)
             h = np.zeros((data.grid.shape[1], net.hidden), np.float32)
-            for t in range(0, data.steps, window):
-                ids, fresh, real = data.grid[t : t + window], data.fresh[t : t + window], data.doc[t : t + window] >= 0
-                outs, steps, h = net.forward(ids, fresh, h)
+            for at, m in data.windows(window):
+                ids, fresh, real = data.grid[at, :m], data.fresh[at, :m], data.doc[at, :m] >= 0
+                outs, steps, h = net.forward(ids, fresh, h[:m])
                 _, grads, dh = net.output(outs[real], ids[real], True)
                 douts = np.zeros_like(outs)
                 douts[real] = dh
@@ -239,9 +251,9 @@ def score_batches(shared, lanes: int, window: int, piece_bytes: int):
             rows = table.num_rows
             score = np.zeros(rows)
             h = np.zeros((data.grid.shape[1], net.hidden), np.float32)
-            for t in range(0, data.steps, window):
-                ids, doc = data.grid[t : t + window], data.doc[t : t + window]
-                outs, _, h = net.forward(ids, data.fresh[t : t + window], h)
+            for at, m in data.windows(window):
+                ids, doc = data.grid[at, :m], data.doc[at, :m]
+                outs, _, h = net.forward(ids, data.fresh[at, :m], h[:m])
                 real = doc >= 0
                 logs, _, _ = net.output(outs[real], ids[real], False)
                 score += np.bincount(doc[real], weights=logs, minlength=rows)
@@ -288,7 +300,7 @@ def vocabulary(counts: DataFrame, known: int, shortlist: int) -> Vocabulary:
     return Vocabulary(words[order], n[order], size, mass, int(totals["n"]), int(totals["v"]))
 
 
-def score_documents(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", hidden: int = 16, shortlist: int = 2048, known: int = 1 << 16, lanes: int = 512, window: int = 16, rate: float = 0.01, piece_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", hidden: int = 16, shortlist: int = 2048, known: int = 1 << 16, lanes: int = 256, window: int = 8192, rate: float = 0.01, piece_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text counts as empty: its only token is the end. ``held_out`` is a condition on the rows; those where it does not
