@@ -135,4 +135,4 @@ def decode(encoded: DataFrame, path: str, piece_rows: int = 400) -> DataFrame:
 
 def decoded_text(decoded: str = "decoded") -> Column:
     """Decoded bytes as text; bytes of cut characters become U+FFFD."""
-    return F.decode(decoded, "UTF-8")
+    return F.make_valid_utf8(F.col(decoded).cast("string"))
