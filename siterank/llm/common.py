@@ -31,7 +31,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept by the worker process."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, b in enumerate((BASE, INVERSE)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1

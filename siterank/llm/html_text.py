@@ -165,7 +165,7 @@ def text_batches(piece_bytes: int):
     return run
 
 
-def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = 5, min_share: float = 0.1, piece_bytes: int = 4 << 20) -> DataFrame:
+def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = 5, min_share: float = 0.1, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
     A subtree is template if it is on at least ``min_pages`` and a share ``min_share`` of its host's pages; so a host has no

@@ -116,7 +116,7 @@ class Model:
         self.barred = np.where(np.vstack([used, np.ones((1, len(langs)), bool)]), 0, NEVER).astype(np.float32)
 
 
-def fit(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", max_docs: int = 40_000, piece_bytes: int = 4 << 20) -> Model:
+def fit(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", max_docs: int = 40_000, piece_bytes: int = 2 << 20) -> Model:
     """Counts over labelled rows, summed in Spark; only the table of fixed size comes to the driver.
 
     Rows without text or label are skipped. ``max_docs`` bounds the labelled rows: beyond it, rows are chosen by a hash of

@@ -198,7 +198,7 @@ def open_pairs(rows: DataFrame, sets: DataFrame, percent: int, few: int, block:
     return inside.unionAll(met.groupBy("key", "i", "j").applyInArrow(near_blocks(percent), "u long, v long").distinct())
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 32, block: int = 512, piece_bytes: int = 5 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 32, block: int = 512, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), class (name of its set).
 
     Words are lower-cased by A-Z. Null or empty text has an empty set, is linked with nothing and keeps its own id. Rows that

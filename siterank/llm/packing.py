@@ -198,7 +198,7 @@ def place_batches(shared):
     return run
 
 
-def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 2048, end: int = 0, rounds: int = 400, piece_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 2048, end: int = 0, rounds: int = 400, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end``. One longer than the capacity is cut into full pieces behind a first shorter one. Null

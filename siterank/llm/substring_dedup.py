@@ -148,7 +148,7 @@ def take_out(width: int, carry: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 13, carry: tuple[str, ...] = (), per_bucket: int = 1 << 21, part_bytes: int = 8 << 20, piece_bytes: int = 5 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 13, carry: tuple[str, ...] = (), per_bucket: int = 1 << 21, part_bytes: int = 8 << 20, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id, n_words, n_removed, intervals (maximal removed word ranges), kept_text; with ``carry``
     also ``row``, a struct of the columns named there.
 

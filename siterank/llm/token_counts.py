@@ -75,7 +75,7 @@ def count_batches(path: str, table, piece_bytes: int, most: int = 1 << 19):
     return run
 
 
-def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048, piece_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit.
 
     Counts are those of the tokenizers library for the whole text, without begin or end tokens. Null counts as empty text
