@@ -302,7 +302,7 @@ def test_language_model(docs, texts):
 
 def test_language_model_is_a_distribution_and_learns():
     words_ = np.arange(1, 41)
-    v = language_model.Vocabulary(np.append(language_model.END, words_), np.append(30, 60 - words_), 21, np.bincount(words_[20:] % 64, weights=61 - words_[20:], minlength=64) + 1.0, 2000, 41)
+    v = language_model.Vocabulary(np.append(language_model.END, words_), np.append(30, 60 - words_), 21, np.bincount(words_[20:] % language_model.TAIL, weights=61 - words_[20:], minlength=language_model.TAIL) + 1.0, 2000, 41)
     net = language_model.Network(v, 4)
     h = np.random.default_rng(0).normal(size=(1, 4)).astype(np.float32)
     net.p["wc"] += 0.3
