@@ -149,7 +149,7 @@ def with_ranks(df: DataFrame, keys: Sequence[str], value: str, output: str, meth
     """Attach a rank within the keys; NULL values keep a NULL rank.
 
     ``average`` and ``min`` share a rank among ties; ``ordinal`` orders ties by ``tie``.
-    ``bounded`` says that the population was measured and fits one task (see ``inventory``).
+    ``bounded`` declares that the design bounds the population of a key, whatever the input; it is never measured.
     """
     keys = list(keys)
     if bounded:
@@ -167,7 +167,7 @@ def with_ranks(df: DataFrame, keys: Sequence[str], value: str, output: str, meth
         rank = F.when(F.col("before").isNotNull(), F.col("before") + within)
     else:
         raise ValueError(f"unknown tie rule {method}")
-    return joined.withColumn(output, rank).drop("_v", "n", "before")
+    return joined.withColumn(output, rank).select(*[c for c in df.columns if c != output], output)
 
 
 def with_percentile(df: DataFrame, keys: Sequence[str], measures: dict[str, tuple[str, bool]], ids: Sequence[str],
@@ -195,19 +195,6 @@ def with_percentile(df: DataFrame, keys: Sequence[str], measures: dict[str, tupl
     return df.join(wide, [*keys, *ids], "left")
 
 
-# Rows that one task may rank, or one aggregation buffer may hold.
-INVENTORY_LIMIT = 2_000_000
-
-
-def inventory(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Write a summary table once and tell whether it is small enough to rank inside single tasks.
-
-    Larger tables take the bucketed ranks above; the results are the same.
-    """
-    written = materialise(df)
-    return written, written.count() <= INVENTORY_LIMIT
-
-
 # Rules for populations bounded by the design (the inventory inside one draw or scenario).
 
 def inventory_rank(partition: Sequence[str], value: str | Column, method: str, tie: str | None = None,

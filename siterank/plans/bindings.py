@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siterank.functions.columns import nested_levels, reflectance
-from siterank.operators.order import INVENTORY_LIMIT, inventory, quantiles_wide
+from siterank.operators.lineage import materialise
+from siterank.operators.order import quantiles_wide
 from siterank.operators.scoring import fixed_scores
 from siterank.plans.registry import row_count, table
 
@@ -17,9 +18,8 @@ LAST_EPOCH = "E2001"
 RADIUS_LIMITS = {250: 10.0, 500: 25.0, 1000: 50.0}
 
 
-def is_small(spark: SparkSession, folder: str, name: str, copies: int = 1) -> bool:
-    """Whether a table (taken ``copies`` times) fits one task, by the counts in its file footers."""
-    return row_count(spark, folder, name) * copies <= INVENTORY_LIMIT
+#: Entities whose number the data model fixes: ranks within one radius run as plain windows. Suppliers grow with the data.
+FIXED_INVENTORIES = frozenset({"p_brand"})
 
 
 # --- score frame ---------------------------------------------------------------------
@@ -38,26 +38,23 @@ def neighbourhood_lines(spark: SparkSession, folder: str, entity: str) -> DataFr
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("d"), (F.col("l_orderkey") % 1000).cast("double").alias("e"))
 
 
-def spectral_summary(lines: DataFrame, bounded: bool) -> DataFrame:
-    wide = quantiles_wide(lines, ["component_id", "radius_m", "epoch_id"], {"ndvi": "a", "ndbi": "b", "mndwi": "c"}, {"median": 0.5}, bounded=bounded)
+def spectral_summary(lines: DataFrame) -> DataFrame:
+    wide = quantiles_wide(lines, ["component_id", "radius_m", "epoch_id"], {"ndvi": "a", "ndbi": "b", "mndwi": "c"}, {"median": 0.5})
     return wide.select("component_id", "radius_m", "epoch_id",
                        *[F.round(f"{m}_median", 9).alias(f"{m}_median") for m in ("ndvi", "ndbi", "mndwi")])
 
 
-def terrain_summary(lines: DataFrame, bounded: bool) -> DataFrame:
-    wide = quantiles_wide(lines, ["component_id", "radius_m"], {"d": "d", "b": "b", "e": "e"}, {"q90": 0.9, "q50": 0.5}, bounded=bounded)
+def terrain_summary(lines: DataFrame) -> DataFrame:
+    wide = quantiles_wide(lines, ["component_id", "radius_m"], {"d": "d", "b": "b", "e": "e"}, {"q90": 0.9, "q50": 0.5})
     return wide.select("component_id", "radius_m", F.round("d_q90", 9).alias("slope_p90_deg"),
                        F.round("b_q90", 9).alias("twi_proxy_p90"), F.round("e_q50", 9).alias("drainage_distance_median_m"))
 
 
 def score_table(spark: SparkSession, folder: str, entity: str = "p_brand") -> tuple[DataFrame, bool]:
-    """Scores of all components, radii and epochs, and whether that inventory is small."""
+    """Scores of all components, radii and epochs, and whether the model bounds that inventory."""
     lines = neighbourhood_lines(spark, folder, entity)
-    if is_small(spark, folder, "lineitem", len(RADIUS_LIMITS)):
-        return fixed_scores(spectral_summary(lines, True), terrain_summary(lines, True), LAST_EPOCH, bounded=True), True
-    spectral, small = inventory(spectral_summary(lines, False))
-    terrain, _ = inventory(terrain_summary(lines, False))
-    return fixed_scores(spectral, terrain, LAST_EPOCH, bounded=small), small
+    bounded = entity in FIXED_INVENTORIES
+    return fixed_scores(materialise(spectral_summary(lines)), materialise(terrain_summary(lines)), LAST_EPOCH, bounded=bounded), bounded
 
 
 def score_sql(entity: str = "p_brand") -> str:

@@ -107,10 +107,10 @@ def climatology(spark, folder):
 
 
 @query("a35_day_of_year_matrix", f"""WITH {site_sql()}
-SELECT dayofyear(date) AS day_of_year, {', '.join(f'{r(f"avg(CASE WHEN year(date) = {y} THEN temperature_2m_mean END)")} AS y{y}' for y in range(1996, 2001))}
+SELECT dayofyear(date) AS day_of_year, {', '.join(f'{r(f"avg(CASE WHEN year(date) = {y} THEN temperature_2m_mean END)")} AS y{y}' for y in range(1995, 2002))}
 FROM site GROUP BY 1""")
 def day_matrix(spark, folder):
-    return rounded(daily.day_matrix(site_daily(spark, folder), "temperature_2m_mean", range(1996, 2001)))
+    return rounded(daily.day_matrix(site_daily(spark, folder), "temperature_2m_mean", range(1995, 2002)))
 
 
 def second_with_wind(spark, folder):
@@ -274,9 +274,15 @@ def trend_direction(spark, folder):
 
 # --- look-back -----------------------------------------------------------------------
 
-LAGS = [7, 30, 90]
-LAG_COLUMNS = [c for d in LAGS for c in (f"precipitation_preceding_{d}d_mm", f"temperature_mean_preceding_{d}d_c", f"tmax_max_preceding_{d}d_c",
-                                         f"data_completeness_preceding_{d}d")] + ["humidity_mean_preceding_7d_percent", "soil_moisture_mean_preceding_7d_m3m3"]
+LAGS, ALL_LAGS = [7, 30, 90], [7, 30, 90, 180, 365]
+
+
+def lag_columns(lags):
+    return [c for d in lags for c in (f"precipitation_preceding_{d}d_mm", f"temperature_mean_preceding_{d}d_c", f"tmax_max_preceding_{d}d_c",
+                                      f"data_completeness_preceding_{d}d")] + ["humidity_mean_preceding_7d_percent", "soil_moisture_mean_preceding_7d_m3m3"]
+
+
+LAG_COLUMNS = lag_columns(LAGS)
 
 
 def scenes(spark, folder):
@@ -286,20 +292,24 @@ def scenes(spark, folder):
         F.to_date(F.min("l_shipdate")).alias("acquisition_date"))
 
 
-_lag = ", ".join(f"""CASE WHEN count(precipitation_sum) FILTER (b <= {d}) >= {d} THEN sum(precipitation_sum) FILTER (b <= {d}) END AS precipitation_preceding_{d}d_mm,
+def lag_sql(lags):
+    features = ", ".join(f"""CASE WHEN count(precipitation_sum) FILTER (b <= {d}) >= {d} THEN sum(precipitation_sum) FILTER (b <= {d}) END AS precipitation_preceding_{d}d_mm,
   avg(temperature_2m_mean) FILTER (b <= {d}) AS temperature_mean_preceding_{d}d_c, max(temperature_2m_max) FILTER (b <= {d}) AS tmax_max_preceding_{d}d_c,
-  coalesce(count(precipitation_sum) FILTER (b <= {d}) * 1e0 / nullif(count(*) FILTER (b <= {d}), 0), 0) AS data_completeness_preceding_{d}d""" for d in LAGS)
-LAG_SQL = f"""
+  coalesce(count(precipitation_sum) FILTER (b <= {d}) * 1e0 / nullif(count(*) FILTER (b <= {d}), 0), 0) AS data_completeness_preceding_{d}d""" for d in lags)
+    return f"""
 sc AS (SELECT l_suppkey AS item_id, 'E' || CAST(year(l_shipdate) AS VARCHAR) AS epoch_id, CAST(min(l_shipdate) AS DATE) AS acquisition_date FROM lineitem GROUP BY 1, 2),
 dt AS (SELECT DISTINCT acquisition_date FROM sc),
-bk AS (SELECT acquisition_date, date_diff('day', s.date, acquisition_date) AS b, s.* FROM dt JOIN site s ON s.date < acquisition_date AND date_diff('day', s.date, acquisition_date) <= {max(LAGS)}),
-lf AS (SELECT acquisition_date, {_lag}, avg(relative_humidity_2m_mean) FILTER (b <= 7) AS humidity_mean_preceding_7d_percent,
+bk AS (SELECT acquisition_date, date_diff('day', s.date, acquisition_date) AS b, s.* FROM dt JOIN site s ON s.date < acquisition_date AND date_diff('day', s.date, acquisition_date) <= {max(lags)}),
+lf AS (SELECT acquisition_date, {features}, avg(relative_humidity_2m_mean) FILTER (b <= 7) AS humidity_mean_preceding_7d_percent,
   avg(soil_moisture_0_to_7cm_mean) FILTER (b <= 7) AS soil_moisture_mean_preceding_7d_m3m3 FROM bk GROUP BY 1),
 fl AS (SELECT sc.*, lf.* EXCLUDE (acquisition_date) FROM sc LEFT JOIN lf USING (acquisition_date))"""
 
 
-def lag_frame(spark, folder):
-    return daily.lag_features(scenes(spark, folder), site_daily(spark, folder), ["item_id", "epoch_id"], lags=LAGS)
+LAG_SQL = lag_sql(LAGS)
+
+
+def lag_frame(spark, folder, lags=LAGS):
+    return daily.lag_features(scenes(spark, folder), site_daily(spark, folder), ["item_id", "epoch_id"], lags=lags)
 
 
 @query("j5_a22_lag_features", f"WITH {site_sql()}, {LAG_SQL} SELECT item_id, epoch_id, acquisition_date, {', '.join(f'{r(c, 11)} AS {c}' for c in LAG_COLUMNS)} FROM fl")
@@ -313,6 +323,17 @@ def lag_summary(spark, folder):
     return rounded(daily.lag_summary(lag_frame(spark, folder), ["epoch_id"], LAG_COLUMNS), 9)
 
 
+@query("j5_a22_lag_features_all", f"WITH {site_sql()}, {lag_sql(ALL_LAGS)} SELECT item_id, epoch_id, acquisition_date, {', '.join(f'{r(c)} AS {c}' for c in lag_columns(ALL_LAGS))} FROM fl")
+def all_lag_features(spark, folder):
+    return rounded(lag_frame(spark, folder, ALL_LAGS))
+
+
+@query("a23_lag_summary_all", f"""WITH {site_sql()}, {lag_sql(ALL_LAGS)}
+SELECT epoch_id, {', '.join(f'{r(f"avg({c})")} AS {c}_mean, {r(f"median({c})")} AS {c}_median, {r(f"min({c})")} AS {c}_min, {r(f"max({c})")} AS {c}_max' for c in lag_columns(ALL_LAGS))} FROM fl GROUP BY 1""")
+def all_lag_summary(spark, folder):
+    return rounded(daily.lag_summary(lag_frame(spark, folder, ALL_LAGS), ["epoch_id"], lag_columns(ALL_LAGS)))
+
+
 _loo_pairs = [("precipitation_preceding_30d_mm", "x1"), ("temperature_mean_preceding_30d_c", "x2"), ("humidity_mean_preceding_7d_percent", "x3")]
 
 

@@ -193,8 +193,7 @@ def comparison_pressures(spark, folder):
     share = lambda k: F.count_if(F.col("l_linenumber") == k) / F.count(F.lit(1))
     s = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("component_id"), F.concat(F.lit("E"), F.year("l_shipdate").cast("string")).alias("epoch_id"),
                                                 F.col("l_returnflag").alias("radius")).agg(share(1).alias("built"), share(2).alias("bare"))
-    small = B.is_small(spark, folder, "lineitem")
-    out = with_percentile(s if small else materialise(s), ["radius"], {"built_share_pressure": ("built", True), "bare_share_pressure": ("bare", True)}, ["component_id", "epoch_id"], bounded=False)
+    out = with_percentile(materialise(s), ["radius"], {"built_share_pressure": ("built", True), "bare_share_pressure": ("bare", True)}, ["component_id", "epoch_id"], bounded=False)
     return rounded(out.drop("built", "bare"), 9)
 
 

@@ -99,10 +99,6 @@ def disc_table(spark, folder):
     return raster.disc_join(B.places(spark, folder), valid_cells(spark, folder), B.DISC_RADII, *GRID)
 
 
-def small(spark, folder):
-    return B.is_small(spark, folder, "lineitem", 3)
-
-
 DISC_SQL = f"{B.index_cells_sql()}, {B.places_sql()}, {B.discs_sql()}"
 
 
@@ -120,7 +116,7 @@ def disc_join(spark, folder):
 SELECT component_id, radius_m, epoch_id, count(*) AS valid_cells, {', '.join(f'{r(f"quantile_cont({i}, {q})")} AS {i}_{n}' for i in INDICES for n, q in (('median', 0.5), ('p10', 0.1), ('p90', 0.9)))}
 FROM discs GROUP BY 1, 2, 3""")
 def neighbourhood(spark, folder):
-    return rounded(raster.neighbourhood_summary(disc_table(spark, folder), ["component_id", "radius_m", "epoch_id"], bounded=small(spark, folder)))
+    return rounded(raster.neighbourhood_summary(disc_table(spark, folder), ["component_id", "radius_m", "epoch_id"]))
 
 
 @query("a1_neighbourhood_summary_bucketed", f"""WITH {DISC_SQL}
@@ -142,7 +138,7 @@ def class_shares(spark, folder):
 def site_medians(spark, folder):
     from siterank.operators.order import quantiles_wide
 
-    q = quantiles_wide(valid_cells(spark, folder), ["epoch_id"], {f"grid_median_{i}": i for i in INDICES[:3]}, {"m": 0.5}, bounded=small(spark, folder))
+    q = quantiles_wide(valid_cells(spark, folder), ["epoch_id"], {f"grid_median_{i}": i for i in INDICES[:3]}, {"m": 0.5})
     return rounded(q.select("epoch_id", *[F.col(f"grid_median_{i}_m").alias(f"grid_median_{i}") for i in INDICES[:3]]))
 
 
@@ -150,8 +146,6 @@ FIRST, LAST = "E1995", "E2001"
 DELTA_SQL = f"""
 dl AS (SELECT a.row, a.col, b.ndvi - a.ndvi AS d_ndvi, b.ndbi - a.ndbi AS d_ndbi, b.mndwi - a.mndwi AS d_mndwi FROM vcells a JOIN vcells b
   ON a.row = b.row AND a.col = b.col AND a.epoch_id = '{FIRST}' AND b.epoch_id = '{LAST}')"""
-LIMITS_SQL = """
-tl AS (SELECT tail, quantile_cont(d_ndvi, tail) AS limit_ndvi, quantile_cont(d_mndwi, tail) AS limit_mndwi, quantile_cont(d_ndbi, 1 - tail) AS limit_ndbi FROM dl, (VALUES (15e-2), (2e-1), (25e-2)) t(tail) GROUP BY tail)"""
 LIMITS_SQL = "\ntl AS (" + " UNION ALL ".join(
     f"SELECT {q}::DOUBLE AS tail, quantile_cont(d_ndvi, {q}) AS limit_ndvi, quantile_cont(d_mndwi, {q}) AS limit_mndwi, quantile_cont(d_ndbi, {round(1 - q, 2)}) AS limit_ndbi FROM dl" for q in (0.15, 0.2, 0.25)) + ")"
 CONV_SQL = """
@@ -174,12 +168,12 @@ def endpoint_deltas(spark, folder):
 
 @query("a3_a6_tail_thresholds", f"WITH {B.index_cells_sql()}, {DELTA_SQL}, {LIMITS_SQL} SELECT {r('tail')} AS tail, {', '.join(f'{r(c)} AS {c}' for c in ('limit_ndvi', 'limit_mndwi', 'limit_ndbi'))} FROM tl")
 def tail_thresholds(spark, folder):
-    return rounded(raster.tail_thresholds(deltas(spark, folder), TAILS, small(spark, folder)))
+    return rounded(raster.tail_thresholds(deltas(spark, folder), TAILS))
 
 
 def convergence_cells(spark, folder, tails=TAILS):
     d = deltas(spark, folder)
-    limits = raster.tail_thresholds(d, tails, small(spark, folder))
+    limits = raster.tail_thresholds(d, tails)
     return raster.convergence(d, limits.select("tail", *[F.round(c, 12).alias(c) for c in limits.columns if c != "tail"]))
 
 
@@ -197,7 +191,7 @@ SELECT component_id, radius_m, count(*) AS valid_cells, {r('avg(CASE WHEN conver
   {', '.join(f'{r(f"median(d_{i})", 9)} AS d_{i}_median' for i in ('ndvi', 'mndwi', 'ndbi'))} FROM discs GROUP BY 1, 2""")
 def hotspots(spark, folder):
     joined = raster.disc_join(B.places(spark, folder), convergence_cells(spark, folder, (0.2,)), B.DISC_RADII, *GRID)
-    return rounded(raster.hotspots(joined, ["component_id", "radius_m"], small(spark, folder)), 9).withColumns(
+    return rounded(raster.hotspots(joined, ["component_id", "radius_m"]), 9).withColumns(
         {c: F.round(c, 6) + 0.0 for c in ("share_c_ge_2", "share_c_eq_3")})
 
 
@@ -231,9 +225,9 @@ def harmonisation(spark, folder):
     for prefix in ("native_", ""):
         side = raster.endpoint_deltas(cells.select("epoch_id", "row", "col", *[F.col(f"{prefix}{i}").alias(i) for i in INDICES[:3]]), FIRST, LAST)
         joined = raster.disc_join(B.places(spark, folder), side.withColumn("convergence", F.lit(0)), B.DISC_RADII, *GRID)
-        h = raster.hotspots(joined, ["component_id", "radius_m"], small(spark, folder))
+        h = raster.hotspots(joined, ["component_id", "radius_m"])
         sides.append(h.select("component_id", "radius_m", *[F.round(f"d_{i}_median", 9).alias(f"d_{i}_median") for i in INDICES[:3]]))
-    out = raster.harmonisation_sensitivity(sides[0], sides[1], ["component_id"], INDICES[:3], small(spark, folder))
+    out = raster.harmonisation_sensitivity(sides[0], sides[1], ["component_id"], INDICES[:3])
     return rounded(out, 8).withColumns({c: F.round(c, 6) + 0.0 for c in ("direction_agreement", "spearman_rho")})
 
 
@@ -243,7 +237,7 @@ _sc = lambda i: f"greatest(0e0, least(1e0, ({i} - {i}_lo) / nullif({i}_hi - {i}_
 @query("p20_pressure_raster", f"""WITH {B.index_cells_sql()}, b AS (SELECT {', '.join(f'quantile_cont({i}, 0.02) AS {i}_lo, quantile_cont({i}, 0.98) AS {i}_hi' for i in INDICES[:3])} FROM vcells)
 SELECT epoch_id, row, col, {r(f"(((1 - {_sc('ndvi')}) + {_sc('ndbi')}) / 2 + (1 - {_sc('mndwi')})) / 2")} AS pressure FROM vcells, b""")
 def pressure_raster(spark, folder):
-    return rounded(raster.pressure_raster(valid_cells(spark, folder), small(spark, folder)))
+    return rounded(raster.pressure_raster(valid_cells(spark, folder)))
 
 
 # --- classes -------------------------------------------------------------------------
@@ -288,7 +282,7 @@ def class_area(spark, folder):
 SELECT epoch_id, {r('median(abs(ndvi))')} AS median_max_probability, {r('quantile_cont(abs(ndvi), 0.1)')} AS p10_max_probability, {r('median(abs(ndbi))')} AS median_normalized_entropy,
   count(*) AS mapped_pixels, {r('avg(CASE WHEN abs(ndvi) >= 0.7 THEN 1 ELSE 0 END) * 100')} AS percent_at_least_070 FROM cells WHERE lc_class > 0 GROUP BY 1""")
 def diagnostics(spark, folder):
-    return rounded(raster.probability_diagnostics(classified(spark, folder).where(F.col("class_id") > 0), small(spark, folder)))
+    return rounded(raster.probability_diagnostics(classified(spark, folder).where(F.col("class_id") > 0)))
 
 
 @query("a33_monotone_check", f"""WITH {AREA_SQL}, s AS (SELECT lag(epoch_id) OVER w AS f, epoch_id AS t, area_ha - lag(area_ha) OVER w AS d FROM ar WHERE class_id = 1 WINDOW w AS (ORDER BY epoch_id))
@@ -305,9 +299,9 @@ SELECT band, {r('median')} AS median, label AS nearest_label, band = label AS ma
 def band_identity(spark, folder):
     cells = valid_cells(spark, folder).where(F.col("epoch_id") == LAST)
     joined = raster.disc_join(B.places(spark, folder), cells, [240], *GRID)
-    summary = raster.neighbourhood_summary(joined, ["component_id"], INDICES[:3], bounded=small(spark, folder))
+    summary = raster.neighbourhood_summary(joined, ["component_id"], INDICES[:3])
     references = summary.select(*[F.col(f"{i}_median").alias(i) for i in INDICES[:3]])
-    return rounded(raster.band_identity(cells, references, INDICES[:3], small(spark, folder)))
+    return rounded(raster.band_identity(cells, references, INDICES[:3]))
 
 
 # --- geometry ------------------------------------------------------------------------

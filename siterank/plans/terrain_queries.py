@@ -94,21 +94,17 @@ dg AS (SELECT row AS dr, col AS dc FROM fl WHERE flow >= (SELECT quantile_cont(f
 dd AS (SELECT row, col, sqrt(min(pow((row - dr) * {CELL_Y}e0, 2) + pow((col - dc) * {CELL_X}e0, 2))) AS distance FROM fl, dg GROUP BY 1, 2)"""
 
 
-def dem_small(spark, folder):
-    return B.is_small(spark, folder, "orders")
-
-
 @query("g6_j13_drainage_distance", f"WITH RECURSIVE {DEM_SQL}, {DRAIN_SQL} SELECT row, col, {r('distance')} AS distance FROM dd")
 def drainage(spark, folder):
-    return rounded(terrain.drainage_distance(flow_table(spark, folder), CELL_Y, CELL_X, bounded=dem_small(spark, folder)))
+    return rounded(terrain.drainage_distance(flow_table(spark, folder), CELL_Y, CELL_X))
 
 
 @query("g7_terrain_support")
 def support(spark, folder):
-    layers = terrain.terrain_layers(dem(spark, folder), dem_width(spark, folder), CELL_Y, CELL_X, dem_small(spark, folder))
+    layers = terrain.terrain_layers(dem(spark, folder), dem_width(spark, folder), CELL_Y, CELL_X)
     points = sites(spark, folder)
     joined = raster.lonlat_disc_cells(points, [250, 500, 1000], LAT0, LON0, STEP).join(layers, ["row", "col"])
-    return rounded(terrain.support_summary(joined, ["component_id", "radius_m"], dem_small(spark, folder)))
+    return rounded(terrain.support_summary(joined, ["component_id", "radius_m"]))
 
 
 @query("j4_lonlat_disc", f"""WITH {SITES_SQL}, {DEM_SQL}
