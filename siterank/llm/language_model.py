@@ -66,6 +66,16 @@ class Vocabulary:
         return np.where(found >= 0, found, len(self.short_counts) + tail_class(words)), np.where(hit, self.counts[at], 0)
 
 
+def exponents(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """exp of the logits w.T @ h, up to a factor of each column. States lie within -1 and 1, so the weights bound the logits;
+    only where they could leave single precision is the maximum taken off first, and exponents then end at -80."""
+    e = w.T @ h
+    if np.abs(w).sum(0).max(initial=0) > 40:
+        e -= e.max(0)
+        np.maximum(e, -80, out=e)
+    return np.exp(e, out=e)
+
+
 class Network:
     """Gated recurrent units with a class-factored output; parameters are float32 arrays."""
 
@@ -79,81 +89,100 @@ class Network:
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
 
     def forward(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        """Hidden states before each token: ids and fresh are (steps, lanes); a fresh token starts a text from zero."""
-        p, H, steps = self.p, self.hidden, []
-        outs = np.empty((len(ids), len(h), H), np.float32)
+        """Hidden states before each token: ids and fresh are (steps, lanes); a fresh token starts a text from zero.
+
+        States come and go as (lanes, units). Within, they and the gates are (units, lanes), so that every slice of gates is
+        one run of memory; what is returned are views of that.
+        """
+        p, H, steps, h = self.p, self.hidden, [], h.T
+        outs = np.empty((len(ids), *h.shape), np.float32)
+        inputs = np.ascontiguousarray((p["x"][ids] + p["b"]).transpose(0, 2, 1))
+        keep = (~fresh).astype(np.float32)
+        u = np.ascontiguousarray(p["u"].T)
         for t in range(len(ids)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            outs[t] = h
-            g, x = h @ p["u"], p["x"][ids[t]] + p["b"]
-            zr = 1 / (1 + np.exp(-(x[:, : 2 * H] + g[:, : 2 * H])))
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(x[:, 2 * H :] + r * g[:, 2 * H :])
-            steps.append((h, z, r, n, g[:, 2 * H :]))
-            h = (1 - z) * n + z * h
-        return outs, steps, h
+            h = np.multiply(h, keep[t], out=outs[t])
+            g, x = u @ h, inputs[t]
+            zr = g[: 2 * H] + x[: 2 * H]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:H], zr[H:]
+            n = r * g[2 * H :]
+            n += x[2 * H :]
+            np.tanh(n, out=n)
+            steps.append((h, z, r, n, g[2 * H :]))
+            h = n + z * (h - n)
+        return outs.transpose(0, 2, 1), steps, h.T
 
     def output(self, h: np.ndarray, ids: np.ndarray, train: bool):
-        """Log probability of each id (of its class alone, for a tail class) given states; gradients if training."""
+        """Log probability of each id (of its class alone, for a tail class) given states (ids, units); gradients if training."""
         p, v = self.p, self.v
         short = ids < self.size
-        cls = np.where(short, v.group[np.minimum(ids, self.size - 1)], SHORT + ids - self.size)
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(1)
-        rows = np.arange(len(ids))
-        out = logits[rows, cls] - np.log(s)
+        cls = np.where(short, v.group[np.minimum(ids, self.size - 1)], SHORT + ids - self.size).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")
+        cls, ids, h = cls[order], ids[order], np.ascontiguousarray(h[order].T)
+        cuts = np.searchsorted(cls, np.arange(SHORT + 1))
+        h1 = np.concatenate([h, np.ones((1, h.shape[1]), np.float32)])  # the last row carries the biases
+        w = np.concatenate([p["wc"], p["bc"][None]])
+        e = exponents(w, h1)
+        s = np.ones(len(e), np.float32) @ e
+        out = np.log(e[cls, np.arange(len(cls))] / s)
         grads, dh = {}, None
         if train:
-            d = e / s[:, None]
-            d[rows, cls] -= 1
-            grads = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            dh = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(SHORT + 1))
+            gw = (h1 / s) @ e.T
+            ends = np.flatnonzero(np.append(cls[1:] != cls[:-1], True)) if len(cls) else np.zeros(0, np.int64)
+            gw[:, cls[ends]] -= np.add.reduceat(h1, np.append(0, ends[:-1] + 1), axis=1) if len(cls) else 0
+            grads = {"wc": gw[:-1], "bc": gw[-1], "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+            dh = (p["wc"] @ e) / s - p["wc"][:, cls]
+        w = np.concatenate([p["ww"], p["bw"][None]])
         for k in range(SHORT):
             i, j = v.edges[k], v.edges[k + 1]
-            mine = order[cuts[k] : cuts[k + 1]]
-            if j - i < 2 or not len(mine):
+            mine = slice(cuts[k], cuts[k + 1])
+            if j - i < 2 or cuts[k] == cuts[k + 1]:
                 continue
-            hk = h[mine]
-            logits = hk @ p["ww"][:, i:j] + p["bw"][i:j]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            s = e.sum(1)
-            rows, which = np.arange(len(mine)), ids[mine] - i
-            out[mine] += logits[rows, which] - np.log(s)
+            hk, which = h1[:, mine], ids[mine] - i
+            rows = np.arange(len(which))
+            e = exponents(w[:, i:j], hk)
+            e /= np.ones(j - i, np.float32) @ e
+            out[mine] += np.log(e[which, rows])
             if train:
-                e /= s[:, None]
-                e[rows, which] -= 1
-                grads["ww"][:, i:j] = hk.T @ e
-                grads["bw"][i:j] = e.sum(0)
-                dh[mine] += e @ p["ww"][:, i:j].T
-        return out, grads, dh
+                e[which, rows] -= 1
+                gw = hk @ e.T
+                grads["ww"][:, i:j], grads["bw"][i:j] = gw[:-1], gw[-1]
+                dh[:, mine] += p["ww"][:, i:j] @ e
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out[back], grads, dh.T[back] if train else None
 
     def backward(self, ids: np.ndarray, fresh: np.ndarray, steps: list, douts: np.ndarray) -> dict:
-        """Truncated backpropagation through the steps of one window."""
+        """Truncated backpropagation through the steps of one window; douts is (steps, lanes, units)."""
         p, H = self.p, self.hidden
-        du, db, dx = np.zeros_like(p["u"]), np.zeros_like(p["b"]), np.empty((*ids.shape, 3 * H), np.float32)
+        du, dx = np.zeros_like(p["u"]), np.empty((len(ids), 3 * H, ids.shape[1]), np.float32)
+        keep = (~fresh).astype(np.float32)
         dh = np.zeros_like(steps[0][0])
+        dg = np.empty_like(dx[0])
         for t in range(len(ids) - 1, -1, -1):
             h, z, r, n, gn = steps[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            du += h.T @ dg
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg @ p["u"].T + douts[t])
-        flat = dx.reshape(-1, 3 * H)
+            d = dx[t]
+            dn = np.multiply(dh * (1 - z), 1 - n * n, out=d[2 * H :])
+            np.multiply(dh * (h - n), z * (1 - z), out=d[:H])
+            np.multiply(dn * gn, r * (1 - r), out=d[H : 2 * H])
+            dg[: 2 * H] = d[: 2 * H]
+            np.multiply(dn, r, out=dg[2 * H :])
+            du += h @ dg.T
+            dh = dh * z
+            dh += p["u"] @ dg
+            dh += douts[t].T
+            dh *= keep[t]
+        flat = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * H)
         full = np.zeros_like(p["x"])
-        order = np.argsort(ids.ravel(), kind="stable")
-        sorted_ = ids.ravel()[order]
+        each = ids.ravel().astype(np.uint16)
+        order = np.argsort(each, kind="stable")
+        sorted_ = each[order]
         turn = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
         full[sorted_[turn]] = np.add.reduceat(flat[order], turn)
-        db += flat.sum(0)
-        return {"x": full, "u": du, "b": db}
+        return {"x": full, "u": du, "b": flat.sum(0)}
 
     def packed(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.p.values()])
