@@ -329,7 +329,7 @@ def vocabulary(counts: DataFrame, known: int, shortlist: int) -> Vocabulary:
     return Vocabulary(words[order], n[order], size, mass, int(totals["n"]), int(totals["v"]))
 
 
-def score_documents(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", hidden: int = 16, shortlist: int = 2048, known: int = 1 << 16, lanes: int = 256, window: int = 8192, rate: float = 0.01, piece_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", hidden: int = 16, shortlist: int = 2048, known: int = 1 << 16, lanes: int = 256, window: int = 8192, rate: float = 0.01, piece_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text counts as empty: its only token is the end. ``held_out`` is a condition on the rows; those where it does not
