@@ -59,7 +59,7 @@ def window_packs(width: int, buckets: int, piece_bytes: int):
                 turn = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
                 k = known[mine]
                 at = start[mine]
-                rows.append((int(b), h[mine[~k]].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes(), _zip(np.diff(doc_ids[d[turn]], prepend=0)), _zip(tags[d[turn]].astype(np.int32)),
+                rows.append((int(b), h[mine[~k]].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes(), _zip(np.diff(doc_ids[d[turn]], prepend=0)), _zip(tags[d[turn]]),
                              _zip(np.diff(np.append(turn, len(d))).astype(np.int32)), _zip(np.diff(at, prepend=0).astype(np.int32)), _zip(np.packbits(k))))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 6])], names=["bucket", "hashes", "docs", "tags", "runs", "starts", "known"])
 
@@ -77,7 +77,7 @@ def judge(parts: int):
         for row in table.to_pylist():
             runs = _unzip(row["runs"], np.int32)
             docs.append(np.repeat(np.cumsum(_unzip(row["docs"], np.int64)), runs))
-            tags.append(np.repeat(_unzip(row["tags"], np.int32), runs))
+            tags.append(np.repeat(_unzip(row["tags"], np.int64), runs))
             starts.append(np.cumsum(_unzip(row["starts"], np.int32)))
             known.append(np.unpackbits(_unzip(row["known"], np.uint8), count=len(docs[-1])).astype(bool))
             wide = np.zeros((len(row["hashes"]) // HASH_BYTES, 8), np.uint8)
@@ -103,7 +103,7 @@ def judge(parts: int):
 
 
 def part_of(docs: np.ndarray, tags: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(docs.astype(np.uint64) ^ (tags.astype(np.uint64) << U(40))) % U(parts)).astype(np.int32)
+    return (mix(docs.astype(np.uint64) ^ mix(tags.astype(np.uint64))) % U(parts)).astype(np.int32)
 
 
 def add_part(parts: int):
@@ -124,7 +124,7 @@ def take_out(width: int, carry: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         where: dict[tuple[int, int], list] = {}
         if answers.num_rows:
-            docs, tags, starts = (np.concatenate([_unzip(x, kind) for x in column(answers, name).to_pylist()]) for name, kind in (("docs", np.int64), ("tags", np.int32), ("starts", np.int32)))
+            docs, tags, starts = (np.concatenate([_unzip(x, kind) for x in column(answers, name).to_pylist()]) for name, kind in (("docs", np.int64), ("tags", np.int64), ("starts", np.int32)))
             order = np.lexsort((starts, tags, docs))
             docs, tags, starts = docs[order], tags[order], starts[order]
             turn = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))
@@ -154,15 +154,15 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A window of ``width`` words is removed when its words also start somewhere in a document with a smaller id; windows are
     judged on the input. Null or empty text has no words. A null id counts as larger than all others, and rows that share an
-    id never remove words from each other. Other columns are not read; an empty table gives none.
+    id never remove words from each other; rows are told apart by id and a 64-bit hash of the text. Other columns are not read; an empty table gives none.
     Windows are equal when 56 bits of their hash and the bucket number, made of the 24 bits above 40, agree.
     """
     size = total_bytes(docs, text_column)
     buckets, parts = (max(64, 1 + size // x) for x in (6 * per_bucket, part_bytes))
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.pmod(F.hash(text_column), F.lit(1 << 15)).alias("tag"), text_bytes(text_column).alias("text"), *[F.struct(*[docs[c] for c in carry]).alias("row")] * bool(carry))
+    base = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("tag"), text_bytes(text_column).alias("text"), *[F.struct(*[docs[c] for c in carry]).alias("row")] * bool(carry))
     packs = base.select("id", "tag", "text").mapInArrow(window_packs(width, min(buckets, 1 << 24), piece_bytes), PACK)
     row = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
     answers = packs.groupBy("bucket").applyInArrow(judge(parts), "part int, docs binary, tags binary, starts binary")
-    placed = base.mapInArrow(add_part(parts), "id long, tag int, text binary" + row + ", part int")
+    placed = base.mapInArrow(add_part(parts), "id long, tag long, text binary" + row + ", part int")
     kept = placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(take_out(width, bool(carry)), "id long, n_words long, n_removed long, intervals array<struct<start:long,stop:long>>, kept_text string" + row)
     return kept.withColumnRenamed("id", id_column)

@@ -108,6 +108,16 @@ def test_substring_dedup(docs, texts, piece):
         assert all(a.stop < b.start for a, b in zip(r.intervals, r.intervals[1:]))
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_substring_dedup_rows_without_a_key(spark, key):
+    """Rows under a null or one repeated id keep what no smaller id holds, whichever texts they have beside them."""
+    source = [f"{PASSAGE} {k}" for k in range(2)]
+    texts = [f"own{i} {PASSAGE} tail{i}" if i % 2 else " ".join(f"w{i}x{k}" for k in range(60)) for i in range(1500)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(source)] + [(key, t) for t in texts], "doc_id long, text string").repartition(3)
+    found = substring_dedup.substring_dedup(frame).filter(F.col("doc_id").eqNullSafe(F.lit(key)))
+    assert sorted(r.kept_text for r in found.collect()) == sorted(f"own{i} tail{i}" if i % 2 else t for i, t in enumerate(texts))
+
+
 def brute_components(texts):
     sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := words((t or "").translate(A_Z))) else set() for i, t in texts.items()}
     label = {i: i for i in sets}
