@@ -131,6 +131,11 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
+def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """64-bit hash of id and text: names a row also where ids are null or repeat."""
+    return F.xxhash64(F.col(id_column).cast("long"), text_bytes(text_column))
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, from which numbers of buckets are derived."""
     return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0

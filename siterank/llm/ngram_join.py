@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siterank.llm.common import Scratch, U, Words, column, mix, pieces, text_bytes, windows
+from siterank.llm.common import Scratch, U, Words, column, mix, pieces, row_key, text_bytes, windows
 from siterank.llm.components import components
 
 SEEDS = 8
@@ -101,7 +101,7 @@ def name_sets(width: int, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text", piece_bytes):
             sets = [(len(s), class_of(s)) for s in shingle_sets(table, width)]
-            yield pa.RecordBatch.from_arrays([column(table, "id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([column(table, "id"), column(table, "row"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["id", "row", "n", "class"])
 
     return run
 
@@ -198,22 +198,20 @@ def open_pairs(rows: DataFrame, sets: DataFrame, percent: int, few: int, block:
     return inside.unionAll(met.groupBy("key", "i", "j").applyInArrow(near_blocks(percent), "u long, v long").distinct())
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 32, block: int = 512, piece_bytes: int = 2 << 20) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links), class (name of its set).
+def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 32, block: int = 512, piece_bytes: int = 2 << 20) -> DataFrame:
+    """One row per input row: id, row (hash of id and text), n (shingles), class (name of its set), node (name of its component; means
+    nothing where n is 0).
 
-    Words are lower-cased by A-Z. Null or empty text has an empty set, is linked with nothing and keeps its own id. Rows that
-    share an id are linked through it only if their sets are. A null id loses every comparison; a component of null ids
-    has a null component_id. Columns other than the two named are not read; an empty table gives none. Classes are named by 64-bit
-    hashes.
+    The text of a class is fetched by the row hash of one of its rows, so ids may be null or repeat.
     """
     scratch, threshold = Scratch(docs.sparkSession), percent / 100
-    base = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text"))
-    members = scratch.write(base.mapInArrow(name_sets(width, piece_bytes), "id long, n long, class long"))
+    base = docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("row"), text_bytes(text_column).alias("text"))
+    members = scratch.write(base.mapInArrow(name_sets(width, piece_bytes), "id long, row long, n long, class long"))
     bands = base.select("text").mapInArrow(sketch_bands(width, threshold, piece_bytes), "key long, class long")
     shared = bands.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
     groups = scratch.write(bands.join(shared, "key").distinct())
-    firsts = members.groupBy("class").agg(F.min("id").alias("id")).join(groups.select("class").distinct(), "class")
-    sets = scratch.write(base.join(firsts, "id").dropDuplicates(["class"]).select("class", "text").mapInArrow(spell_sets(width, piece_bytes), "class long, size long, sketch binary, shingles array<long>"))
+    firsts = members.groupBy("class").agg(F.min("row").alias("row")).join(groups.select("class").distinct(), "class")
+    sets = scratch.write(base.join(firsts, "row").dropDuplicates(["class"]).select("class", "text").mapInArrow(spell_sets(width, piece_bytes), "class long, size long, sketch binary, shingles array<long>"))
     hubs = scratch.write(band_hubs(groups))
     stars = scratch.write(groups.join(hubs, "key").filter("class <> hub").select(F.least("class", "hub").alias("u"), F.greatest("class", "hub").alias("v")).distinct())
     edges = scratch.write(linked(near(stars, sets, percent), sets, percent))
@@ -228,7 +226,18 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     more = scratch.write(linked(near(rest, sets, percent), sets, percent))
     labels = scratch.write(components(edges.unionAll(more), scratch)).withColumnRenamed("node", "class")
     scratch.drop(groups, sets, hubs, stars, rows)
-    joined = members.join(labels, "class", "left").select("id", "n", "class", F.coalesce("label", "class").alias("node"))
+    return members.join(labels, "class", "left").select("id", "row", "n", "class", F.coalesce("label", "class").alias("node"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85, few: int = 32, block: int = 512, piece_bytes: int = 2 << 20) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links), class (name of its set).
+
+    Words are lower-cased by A-Z. Null or empty text has an empty set, is linked with nothing and keeps its own id. Rows that
+    share an id are linked through it only if their sets are. A null id loses every comparison; a component of null ids
+    has a null component_id. Columns other than the two named are not read; an empty table gives none. Classes are named by 64-bit
+    hashes.
+    """
+    joined = linked_rows(docs, id_column, text_column, width, percent, few, block, piece_bytes)
     firsts = joined.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     out = joined.filter("n > 0").join(firsts, "node").select("id", "n", "class", "first").unionAll(joined.filter("n = 0").select("id", "n", "class", F.col("id").alias("first")))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"), "class")

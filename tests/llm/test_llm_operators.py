@@ -137,6 +137,25 @@ def test_ngram_join(docs, texts, few, block):
     assert rows(ngram_join.jaccard_components(docs, few=few, block=block), "doc_id", "n_shingles", "component_id") == brute_components(texts)
 
 
+@pytest.fixture(scope="module")
+def keyless(spark):
+    """Groups of near copies whose ids are null or repeat, with the group of each row: (id, group, text)."""
+    group = lambda g, k: " ".join(f"g{g}w{i}" if i != 20 * k + 10 else f"edit{k}" for i in range(200))
+    listed = [(None, 0, group(0, k)) for k in range(4)] + [(k and None, 1, group(1, k)) for k in range(4)] + [(50 + g % 2, g, group(g, k)) for g in range(2, 10) for k in range(3)] + [(None, 10, "alone " + group(10, 0))]
+    return listed, spark.createDataFrame([(i, t) for i, _, t in listed], "doc_id long, text string").repartition(3).cache()
+
+
+def test_ngram_join_null_and_repeated_ids(keyless):
+    listed, frame = keyless
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (words(t) for _, _, t in listed)]
+    assert all((100 * len(a & b) >= 85 * len(a | b)) == (x[1] == y[1]) for a, x in zip(sets, listed) for b, y in zip(sets, listed))
+    least = lambda g: min((i for i, h, _ in listed if h == g and i is not None), default=None)
+    expected = collections.Counter((i, len(s), least(g)) for s, (i, g, _) in zip(sets, listed))
+    assert collections.Counter(map(tuple, ngram_join.jaccard_components(frame).drop("class").collect())) == expected
+    of = {(r.id, r["class"]): r.node for r in ngram_join.linked_rows(frame).collect()}
+    assert len(of) == len(listed) and len(set(of.values())) == 11
+
+
 def test_small_sets_share_a_band():
     """Every pair at the threshold shares a band key, also where bands are empty."""
     rng = np.random.default_rng(4)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 from siterank.llm import fingerprints  # noqa: E402
-from tests.llm.test_llm_operators import brute_components, brute_substrings  # noqa: E402
+from tests.llm.test_llm_operators import brute_components, brute_substrings, keyless  # noqa: E402, F401
 
 
 def test_stages(spark, folder):
@@ -29,6 +29,15 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(kept["passages"])
 
 
+def test_near_stage_keeps_one_of_null_and_repeated_ids(spark, keyless):  # noqa: F811
+    listed, frame = keyless
+    full = frame.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    group = {t: g for _, g, t in listed}
+    kept = corpus_pipeline.near_copies(spark, full, "").collect()
+    assert sorted(group[r.text] for r in kept) == list(range(11))
+    assert [r.doc_id for r in kept if group[r.text] == 1] == [0]
+
+
 def test_fingerprints_run_without_python(spark, folder):
     plan = fingerprints.edited_fingerprints(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan.split("Physical Plan")[-1]
