@@ -29,6 +29,12 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(kept["passages"])
 
 
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "the quick fox"), (2, "πηδάει"), (3, "12 !!"), (4, None), (5, ""), (None, "中文")], "doc_id long, text string").selectExpr("*", "CAST(NULL AS string) AS lang", "'s' AS source", "1L AS n_chars")
+    kept = corpus_pipeline.languages(spark, docs, "")
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(1, "the quick fox"), (2, "πηδάει"), (None, "中文")}
+
+
 def test_near_stage_keeps_one_of_null_and_repeated_ids(spark, keyless):  # noqa: F811
     listed, frame = keyless
     full = frame.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
