@@ -35,6 +35,14 @@ def test_language_stage_without_labels(spark):
     assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(1, "the quick fox"), (2, "πηδάει"), (None, "中文")}
 
 
+def test_near_stage_links_from_five_words_and_080(spark):
+    """100 words with two edits: 86/106 of the five-word shingles, but 89/105 of the four-word ones, are shared; with three edits 81/111."""
+    text = lambda g, k: " ".join(f"edit{g}" if i in [20, 50, 80][:k] else f"g{g}w{i}" for i in range(100))
+    rows = [(1, text(0, 0)), (2, text(0, 2)), (3, text(1, 0)), (4, text(1, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {1, 3, 4}
+
+
 def test_near_stage_keeps_one_of_null_and_repeated_ids(spark, keyless):  # noqa: F811
     listed, frame = keyless
     full = frame.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
