@@ -1,6 +1,6 @@
 """Main text of web pages with the templates of their sites removed.
 
-Element subtrees are hashed by their markup and counted per host in Spark, each page once. A subtree that recurs on many
+Element subtrees are hashed by their markup and counted per host in Spark, each distinct page once. A subtree that recurs on many
 pages of its host belongs to the site's template and is taken out, with the elements whose kind alone marks them as page
 furniture. Paragraphs and headings of an article are its text even where they recur.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,9 +114,11 @@ def subtree(page: str, e: Element) -> int:
 
 
 def candidates(page: str, elements: list[Element], articles: bool) -> list[tuple[Element, int]]:
-    """Elements that may be template: outside an article every one, inside only containers. In a page without an article
-    paragraphs count too."""
-    return [(e, subtree(page, e)) for e in elements if e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in PROSE) and not (e.tag in PROSE and e.tag != "p" and e.tag[0] != "h") and e.stop - e.start > len(e.tag) + 2]
+    """Elements that may be template: outside an article every one, inside only containers, and none that
+    holds the article. In a page without an article paragraphs count too."""
+    starts = [e.start for e in elements if e.tag == "article" and e.article] if articles else []
+    holds = lambda e: not e.article and (k := bisect_right(starts, e.start)) < len(starts) and starts[k] < e.stop
+    return [(e, subtree(page, e)) for e in elements if not holds(e) and e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in PROSE) and not (e.tag in PROSE and e.tag != "p" and e.tag[0] != "h") and e.stop - e.start > len(e.tag) + 2]
 
 
 def main_text(page: str, template: frozenset) -> str:
@@ -168,14 +171,14 @@ def text_batches(piece_bytes: int):
 def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = 5, min_share: float = 0.1, piece_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
-    A subtree is template if it is on at least ``min_pages`` and a share ``min_share`` of its host's pages; so a host has no
+    A subtree is template if it is on at least ``min_pages`` and a share ``min_share`` of its host's pages, where rows of one html count once; so a host has no
     more of them than its pages have elements, divided by the share. Null html counts as empty and gives empty text. A page
     whose url is null or has no host belongs to no site and only loses page furniture. Rows are kept as they come; other columns are not read.
     """
     url = F.col(url_column).cast("string")
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     base = pages.select(F.col(id_column).cast("long").alias("id"), url.alias("url"), F.nullif(host, F.lit("")).alias("host"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
-    counted = base.filter("host is not null").select("host", "html").mapInArrow(hash_batches(piece_bytes), "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
+    counted = base.filter("host is not null").select("host", "html", F.xxhash64("html").alias("page")).dropDuplicates(["host", "page"]).select("host", "html").mapInArrow(hash_batches(piece_bytes), "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
     common = counted.filter(F.col("n") >= min_pages)
     sizes = common.filter("subtree is null").select("host", F.col("n").alias("pages"))
     site = common.filter("subtree is not null").join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))

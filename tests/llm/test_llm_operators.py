@@ -315,6 +315,16 @@ def test_html_text(spark):
     assert "Try the app now" in alone and entities.unescape(alone) == alone
 
 
+def test_html_text_of_copies(spark):
+    """Copies of one page are no template of their site, with or without an article, and nor is a wrapper of the article."""
+    wrapped = "<html><body><div class=wrap><section><article><h1>Title</h1><p>First.</p><div>Inner box</div></article></section></div></body></html>"
+    plain = "<html><body><div><h1>Plain</h1><p>No article.</p></div></body></html>"
+    pages = [(i, "https://a.example/w", wrapped) for i in range(10)] + [(10 + i, "https://b.example/p", plain) for i in range(10)]
+    pages += [(20 + i, f"https://c.example/{i}", wrapped.replace("<html>", f"<html><!-- {i} -->").replace("<div>Inner box</div>", "")) for i in range(10)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert found == {i: ("Title\nFirst.\nInner box", "Plain\nNo article.", "Title\nFirst.")[i // 10] for i in range(30)}
+
+
 def test_language_model(docs, texts):
     held = crc_mod("doc_id", 7) == 2
     found = {r.doc_id: r for r in language_model.score_documents(docs, held, shortlist=50, known=100).collect()}
