@@ -139,7 +139,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, block_
 
     # ids: a block by the term's hash, and the place in the block by the term
     sized = kept.join(langs.select("lang", F.ceil(F.col("v") / block_terms).alias("blocks")), "lang")
-    blocked = sized.withColumn("block", F.pmod(F.xxhash64("term"), "blocks")).drop("blocks")
+    blocked = sized.withColumn("block", F.pmod(F.xxhash64("term"), "blocks")).drop("blocks").repartition("lang", "block")  # not by language alone
     terms = scratch.write(blocked.withColumn("id", F.row_number().over(W.partitionBy("lang", "block").orderBy("term")).cast("long")))
     used = scratch.write(counts.drop("docs").join(terms.select("lang", "term", "block", "id"), ["lang", "term"]).drop("term"))
 
