@@ -2,8 +2,9 @@
 
 Levels are built bottom-up and stored as node rows that name their parent, their place among its children and their
 own children's digests. A recursive query then climbs from every leaf to the root: each step appends the
-siblings it meets and folds the (possibly tampered) digest into its parent's. A node that many leaves meet is stored in as
-many numbered copies as it has groups of 64 leaves below it (4,096 at most), and a leaf meets the copy of its own number, so no
+siblings it meets and folds the (possibly tampered) digest into its parent's. The up to eight leaves of one run climb in one row, each with
+a folded digest of its own, as from their parent on they have the same siblings. A node that many runs meet is stored in as
+many numbered copies as it has groups of 64 leaves below it (4,096 at most), and a run meets the copy of its own number, so no
 step of the climb gathers a language, or all leaves, under one key.
 """
 
@@ -56,14 +57,14 @@ def children_text(children: str = "children") -> Column:
     return F.lower(F.hex(children))
 
 
-def build_levels(bottom: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """All levels above ``bottom`` (tree, pos, n, digest): rows tree, level, pos, n (nodes of the level), children (their
+def build_levels(bottom: DataFrame, scratch: Scratch, level: int) -> list[DataFrame]:
+    """All levels above ``bottom`` (tree, pos, n, digest), which is level ``level``: rows tree, level, pos, n (nodes of the level), children (their
     digests, one after the other) and digest. Every run of FAN nodes meets in one row."""
     levels, now = [], bottom.select("tree", "pos", "n", "digest")
     most = now.agg(F.max("n")).first()[0] or 0
     while most > 1:
         runs = now.filter("n > 1").groupBy("tree", F.floor(F.col("pos") / FAN).alias("pos"), "n").agg(F.sort_array(F.collect_list(F.struct("pos", "digest"))).alias("run"))
-        made = runs.select("tree", F.lit(len(levels) + 1).alias("level"), "pos", F.ceil(F.col("n") / FAN).alias("n"), F.unhex(F.array_join("run.digest", "")).alias("children"))
+        made = runs.select("tree", F.lit(len(levels) + level + 1).alias("level"), "pos", F.ceil(F.col("n") / FAN).alias("n"), F.unhex(F.array_join("run.digest", "")).alias("children"))
         levels.append(scratch.write(made.withColumn("digest", F.sha2(children_text(), 256))))
         now, most = levels[-1], -(-most // FAN)
     return levels
@@ -89,16 +90,19 @@ def linked(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
                                          F.when(up.isNotNull(), place % FAN).cast("int").alias("slot"), (F.col("digest") if roots is not None else F.lit(None).cast("string")).alias("subroot")))
 
 
+_FOLD = "unhex(sha2(concat(lower(hex({before})), lower(hex({digest})), lower(hex({after}))), 256))"
+_SIDES = {"before": "substring(n.children, 1, 32 * c.slot)", "after": "substring(n.children, 32 * c.slot + 33)"}
 CLIMB = f"""
-WITH RECURSIVE climb (row, doc_id, leaf, step, up_tree, up_level, up_pos, slot, subroot, folded, siblings) AS (
-  SELECT row, doc_id, digest, 0, up_tree, up_level, up_pos, slot, subroot, presented, CAST('' AS BINARY) FROM {{leaves}}
+WITH RECURSIVE climb (tree, pos, ids, children, step, up_tree, up_level, up_pos, slot, subroot, folded, siblings) AS (
+  SELECT tree, pos, ids, children, 0, up_tree, up_level, up_pos, slot, subroot,
+         CASE WHEN level = 0 THEN presented ELSE transform(presented, (p, i) -> {_FOLD.format(before="substring(children, 1, 32 * i)", digest="p", after="substring(children, 32 * i + 33)")}) END,
+         CAST('' AS BINARY) FROM {{leaves}}
   UNION ALL
-  SELECT c.row, CAST(NULL AS BIGINT), CAST(NULL AS STRING), c.step + 1, n.up_tree, n.up_level, n.up_pos, n.slot, n.subroot,
-         sha2(concat(lower(hex(substring(n.children, 1, 32 * c.slot))), c.folded, lower(hex(substring(n.children, 32 * c.slot + 33)))), 256),
-         concat(substring(n.children, 1, 32 * c.slot), substring(n.children, 32 * c.slot + 33))
+  SELECT c.tree, c.pos, CAST(NULL AS ARRAY<BIGINT>), CAST(NULL AS BINARY), c.step + 1, n.up_tree, n.up_level, n.up_pos, n.slot, n.subroot,
+         transform(c.folded, f -> {_FOLD.format(digest="f", **_SIDES)}), concat({_SIDES["before"]}, {_SIDES["after"]})
   FROM climb c JOIN {{nodes}} n ON n.tree = c.up_tree AND n.level = c.up_level AND n.pos = c.up_pos
-    AND n.copy = pmod(c.row, CASE WHEN c.up_tree = '{TOP}' THEN {{top_copies}} ELSE CAST(least({MOST_COPIES}, greatest(1, pow({FAN}, c.up_level) / {GROUP})) AS BIGINT) END))
-SELECT * FROM climb"""
+    AND n.copy = pmod(c.pos, CASE WHEN c.up_tree = '{TOP}' THEN {{top_copies}} ELSE CAST(least({MOST_COPIES}, greatest(1, pow({FAN}, c.up_level) / {GROUP})) AS BIGINT) END))
+SELECT tree, pos, ids, children, step, subroot, CASE WHEN up_tree IS NULL THEN folded END AS folded, siblings FROM climb"""
 
 
 def merkle_manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
@@ -115,31 +119,41 @@ def merkle_manifest(docs: DataFrame, tampered: Column | None = None) -> DataFram
     touched = F.coalesce(tampered, F.lit(False)) if tampered is not None else F.lit(False)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")], F.col("n_chars").cast("long").alias("n_chars"))
     digests = scratch.write(base.select("doc_id", field(F.col("lang")).alias("tree"), leaf_digest(F.col("text")).alias("digest"), F.when(touched, leaf_digest(lower_ascii(F.col("text")))).alias("presented")))
-    leaves = scratch.write(positions(digests, ["tree"], ["doc_id", "digest"], scratch).withColumn("level", F.lit(0)))
-    total = leaves.count()
-
-    levels = build_levels(leaves, scratch)
+    placed = positions(digests, ["tree"], ["doc_id", "digest"], scratch)
+    run = F.sort_array(F.collect_list(F.struct("pos", "doc_id", "digest", "presented")))
+    runs = placed.groupBy("tree", F.floor(F.col("pos") / FAN).alias("pos"), "n").agg(run.alias("run"))
+    runs = runs.withColumn("children", F.unhex(F.array_join("run.digest", "")))
+    bottom = scratch.write(runs.select(
+        "tree", F.when(F.col("n") > 1, 1).otherwise(0).alias("level"), "pos", F.ceil(F.col("n") / FAN).alias("n"), F.size("run").alias("leaves"), "children",
+        F.when(F.col("n") > 1, F.sha2(children_text(), 256)).otherwise(children_text()).alias("digest"),
+        F.col("run.doc_id").alias("ids"), F.transform("run", lambda x: F.unhex(F.coalesce(x.presented, x.digest))).alias("presented")))
+    scratch.drop(digests)
+    total = bottom.agg(F.sum("leaves")).first()[0] or 0
+
+    levels = build_levels(bottom, scratch, 1)
     short = ["tree", "level", "pos", "n", "children", "digest"]
-    ends = reduce(DataFrame.unionByName, [x.filter("n = 1").select("tree", "digest") for x in (leaves, *levels)])
+    ends = reduce(DataFrame.unionByName, [x.filter("n = 1").select("tree", "digest") for x in (bottom, *levels)])
     named = ends.withColumn("lang", F.when(F.col("tree") != "-", F.expr("substring(tree, instr(tree, ':') + 1)")))
-    bottom = scratch.write(positions(named, [], ["lang"], scratch).withColumnRenamed("tree", "of"))
-    over = build_levels(bottom.withColumn("tree", F.lit(TOP)), scratch)
-    last = (over[-1] if over else bottom).select("digest").first()
+    langs = scratch.write(positions(named, [], ["lang"], scratch).withColumnRenamed("tree", "of"))
+    over = build_levels(langs.withColumn("tree", F.lit(TOP)), scratch, 0)
+    last = (over[-1] if over else langs).select("digest").first()
     root = last[0] if last else None
 
-    roots = bottom.select(F.col("of").alias("tree"), F.col("pos").alias("place"), F.col("n").alias("trees"))
+    roots = langs.select(F.col("of").alias("tree"), F.col("pos").alias("place"), F.col("n").alias("trees"))
     none = spark.createDataFrame([], "tree string, level int, pos long, n long, children binary, digest string")
     nodes = linked(reduce(DataFrame.unionByName, [x.select(short) for x in levels], none), roots).unionByName(linked(reduce(DataFrame.unionByName, [x.select(short) for x in over], none), None))
     copied = nodes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies("tree", "level", total) - 1))).drop("n", "digest")
-    start = linked(leaves, roots).withColumn("presented", F.coalesce("presented", "digest"))
 
     before = spark.conf.get(ROW_LIMIT)
-    spark.conf.set(ROW_LIMIT, "-1")  # one row for each leaf and level
+    spark.conf.set(ROW_LIMIT, "-1")  # one row for each run and level
     try:
-        path = spark.sql(CLIMB, leaves=start, nodes=scratch.write(copied), top_copies=min(MOST_COPIES, max(1, total // GROUP)))
-        steps = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda x: F.lower(F.hex(x.siblings))), "")
-        found = path.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"), F.max("subroot").alias("subroot"), F.sha2(steps, 256).alias("proof_sha256"), F.max_by("folded", "step").alias("folded_root"))
-        out = scratch.write(found.drop("row"))
+        path = spark.sql(CLIMB, leaves=linked(bottom, roots), nodes=scratch.write(copied), top_copies=min(MOST_COPIES, max(1, total // GROUP)))
+        upper = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda x: F.lower(F.hex(x.siblings))), "")
+        found = path.groupBy("tree", "pos").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("ids", "children", "subroot", "folded")], upper.alias("upper"))
+        each = found.select("children", "subroot", "upper", F.posexplode(F.arrays_zip("ids", "folded")).alias("i", "leaf"))
+        own = F.concat(F.expr("substring(children, 1, 32 * i)"), F.expr("substring(children, 32 * i + 33)"))
+        out = scratch.write(each.select(F.col("leaf.ids").alias("doc_id"), F.lower(F.hex(F.expr("substring(children, 32 * i + 1, 32)"))).alias("leaf"), "subroot",
+                                        F.sha2(F.concat(F.lower(F.hex(own)), "upper"), 256).alias("proof_sha256"), F.lower(F.hex("leaf.folded")).alias("folded_root")))
     finally:
         spark.conf.set(ROW_LIMIT, before)
     return out.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
