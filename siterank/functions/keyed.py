@@ -43,3 +43,29 @@ def symmetric_beta(alpha: float, stream: str, *parts, seed: int = SEED) -> Colum
 def pick(count: Column, stream: str, *parts, seed: int = SEED) -> Column:
     """Integer in [0, count)."""
     return F.floor(uniform(stream, *parts, seed=seed) * count).cast("bigint")
+
+
+ROUNDS, WALKS = 4, 24
+
+
+def permuted(index: Column, size: Column, stream: str, seed: int = SEED) -> Column:
+    """A keyed permutation of 0 .. size - 1.
+
+    The number is split into two digits below a = ceil(sqrt(size)) and b = ceil(size / a), and each in turn is shifted by a hash of the other,
+    which can be undone. Of the a * b numbers less than a lie beyond the size; one that lands there goes on until it is inside. Each step
+    does so with odds below 1 / sqrt(size), or, for a small size, after all numbers beyond; a number that is still outside is an error.
+    """
+    a = F.ceil(F.sqrt(size.cast("double"))).cast("bigint")
+    b = F.ceil(size / a).cast("bigint")
+
+    def once(v: Column) -> Column:
+        left, right = v % a, F.floor(v / a)
+        for k in range(ROUNDS):
+            if k % 2 == 0:
+                left = (left + pick(a, stream, F.lit(str(k)), right, seed=seed)) % a
+            else:
+                right = (right + pick(b, stream, F.lit(str(k)), left, seed=seed)) % b
+        return right * a + left
+
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALKS)), once(index.cast("bigint")), lambda v, _: F.when(v >= size, once(v)).otherwise(v))
+    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("the permutation did not settle")).cast("bigint"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.operators.order import value_positions
@@ -61,50 +63,109 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool =
     return sums.select(*keys, "n", F.expr(RHO).alias("rho"))
 
 
-def rank_agreement(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool = False) -> DataFrame:
+#: Positions of one side that are counted in one task.
+BUCKET = 1 << 18
+_SUMS = ("w", "_xy", "_xx", "_yy", "tx", "vx", "ux", "ty", "vy", "uy", "txy")
+
+
+def inversions(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Weight of the pairs with x_i < x_j and y_i > y_j, one bit of y's rank at a time.
+
+    Rows that share the higher bits stand together in order of x; those with the bit set that come before those without it are inverted.
+    """
+    if not len(w):
+        return 0.0
+    order = np.lexsort((y, x))  # equal x by ascending y, which inverts nothing
+    rank = np.unique(y, return_inverse=True)[1][order]
+    w, total = w[order].astype(float), 0.0
+    for bit in range(max(1, int(rank.max(initial=0)).bit_length()) - 1, -1, -1):
+        high, one = rank >> (bit + 1), (rank >> bit) & 1
+        head = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
+        passed = np.cumsum(w * one)
+        passed -= np.repeat((passed - w * one)[head], np.diff(np.append(head, len(w))))
+        total += float(np.dot(w * (1 - one), passed))
+        turn = np.argsort(rank >> bit, kind="stable")
+        rank, w = rank[turn], w[turn]
+    return total
+
+
+def _bucket_inversions(keys: Sequence[str], sums_of: Sequence[str]):
+    """One bucket of x (side 0) or of y (side 1) to its inverted weight, and for side 0 the sums and the weight per bucket of y."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        get = lambda c: rows.column(c).to_numpy()
+        first = rows.column("side")[0].as_py() == 0
+        d = inversions(get("gx"), get("by"), get("w"))
+        cells, at = np.unique(get("yb"), return_inverse=True)
+        sums = [float(get(c).sum()) if first else 0.0 for c in sums_of]
+        made = [pa.array([d]), pa.array([rows.column("xb")[0].as_py()], pa.int64()), pa.array([cells if first else []], pa.list_(pa.int64())),
+                pa.array([np.bincount(at, get("w")) if first else []], pa.list_(pa.float64()))]
+        return pa.table([*[rows.column(k).slice(0, 1) for k in keys], *made, *[pa.array([x]) for x in sums]], names=[*keys, "d", "xb", "cells", "cell_w", *sums_of])
+
+    return run
+
+
+def _total_inversions(keys: Sequence[str], sums_of: Sequence[str]):
+    """All buckets of one group: their inverted weights and sums, and the pairs that differ in both buckets by the table of cells."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cells = [(np.full(len(c), x), np.asarray(c), np.asarray(w)) for x, c, w in zip(*(rows.column(n).to_pylist() for n in ("xb", "cells", "cell_w"))) if c]
+        d = float(rows.column("d").to_numpy().sum()) + inversions(*(np.concatenate(x) for x in zip(*cells)))
+        return pa.table([*[rows.column(k).slice(0, 1) for k in keys], pa.array([d]), *[pa.array([float(rows.column(c).to_numpy().sum())]) for c in sums_of]], names=[*keys, "d", *sums_of])
+
+    return run
+
+
+def count_inversions(rows: DataFrame, keys: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """keys, d (weight of the pairs with x before and y above), and the sums of further columns.
+
+    ``rows`` has the order on both sides (bx, by), weight w, their buckets (xb, yb), whether a row's x has a bucket of its own (hx) and whether it
+    may be inverted with rows of other x buckets in its y bucket (twice). A row moves once or twice, and a task holds one bucket.
+    """
+    by_x = F.struct(F.lit(0).alias("side"), F.col("xb").alias("b"), F.when(F.col("hx"), F.col("yb")).otherwise(0).cast("bigint").alias("sub"), F.col("bx").alias("gx"))
+    by_y = F.struct(F.lit(1).alias("side"), F.col("yb").alias("b"), F.lit(0).cast("bigint").alias("sub"), F.col("xb").alias("gx"))
+    dealt = rows.select("*", F.explode(F.when(F.col("twice"), F.array(by_x, by_y)).otherwise(F.array(by_x))).alias("_d")).select("*", "_d.*").drop("_d", "bx", "hx", "twice")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema}
+    head, tail = ", ".join(f"`{k}` {kinds[k]}" for k in keys), "".join(f", {c} double" for c in sums)
+    parts = dealt.groupBy(*keys, "side", "b", "sub").applyInArrow(_bucket_inversions(keys, sums), f"{head}, d double, xb bigint, cells array<bigint>, cell_w array<double>{tail}")
+    return parts.groupBy(*keys).applyInArrow(_total_inversions(keys, sums), f"{head}, d double{tail}")
+
+
+def rank_agreement(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool = False, bucket: int = BUCKET) -> DataFrame:
     """keys, n, rho, tau-b with its score S and a normal-approximation p, without forming pairs.
 
-    Two rows differ first at one bit of their x position and one bit of their y position.
-    Counting rows by (x bit level, y bit level, common prefixes) and the two bits gives all
-    concordant and discordant pairs as sums of products: each row adds (log2 n)^2 counters, which
-    combine map-side, so a hot group costs no more per task than a small one.
+    Discordant pairs are inversions. Rows are dealt by ranges of their x position, where a task counts the inversions among
+    them; dealt again by ranges of y, those of different x ranges; and pairs that differ in both ranges come from the table of weights
+    per (x range, y range), which has (n / bucket)^2 cells. A value that fills more than a range has one of its own: its rows are not
+    inverted among themselves and are spread by the other side. A row moves twice.
     """
     if not keys:
-        return rank_agreement(df.withColumn("_all", F.lit(1)), ["_all"], x, y, bounded).drop("_all")
+        return rank_agreement(df.withColumn("_all", F.lit(1)), ["_all"], x, y, bounded, bucket).drop("_all")
     keys = list(keys)
     tie = lambda s: [
         (F.col("w") * (F.col(f"m{s}") - 1) / 2).alias(f"t{s}"),
         (F.col("w") * (F.col(f"m{s}") - 1).cast("double") * (2 * F.col(f"m{s}") + 5)).alias(f"v{s}"),
         (F.col("w") * (F.col(f"m{s}") - 1).cast("double") * (F.col(f"m{s}") - 2)).alias(f"u{s}"),
     ]
-    per_row = ["w", "_xy", "_xx", "_yy", "tx", "vx", "ux", "ty", "vy", "uy"]
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.col("total").cast("double") + 1)).cast("int"))
-    ranked = average_ranks(df, keys, x, y, bounded).select(*keys, "w", "bx", "by", *_moments(), *tie("x"), *tie("y"), bits.alias("_bits"))
-    levels = F.sequence(F.lit(0), F.col("_bits") - 1)
-    once = lambda c: F.sum(F.when((F.col("lx") == 0) & (F.col("ly") == 0), F.col(c))).alias(c)
-    cell = lambda i, j: F.sum(F.when((F.col("hx") == i) & (F.col("hy") == j), F.col("w")).otherwise(0)).cast("double")
-    nodes = (
-        ranked.select(*keys, "bx", "by", *per_row, "_bits", F.explode(levels).alias("lx"))
-        .select("*", F.explode(levels).alias("ly"))
-        .select(
-            *keys, "lx", "ly", *per_row,
-            F.expr("shiftright(bx, lx + 1)").alias("px"), F.expr("shiftright(by, ly + 1)").alias("py"),
-            F.expr("shiftright(bx, lx) & 1").alias("hx"), F.expr("shiftright(by, ly) & 1").alias("hy"),
-        )
-        .groupBy(*keys, "lx", "ly", "px", "py")
-        .agg((cell(0, 0) * cell(1, 1) - cell(0, 1) * cell(1, 0)).alias("s"), *[once(c) for c in per_row])
-    )
-    out = nodes.groupBy(*keys).agg(F.sum("s").alias("s"), *[F.sum(c).alias(c) for c in per_row]).withColumnRenamed("w", "n")
-    n = F.col("n").cast("double")
+    ranked = average_ranks(df, keys, x, y, bounded)
+    same = F.count(F.lit(1)).over(W.partitionBy(*keys, "x", "y")) if bounded else F.col("w")
+    heavy = lambda s: F.col(f"m{s}") > bucket
+    bucketed = ranked.select(
+        *keys, F.col("w").cast("double").alias("w"), "bx", "by", *[c.cast("double").alias(n) for c, n in zip(_moments(), ("_xy", "_xx", "_yy"))], *tie("x"), *tie("y"),
+        (F.col("w") * (same - 1) / 2).alias("txy"), *[(2 * F.floor(F.col(f"b{s}") / bucket) + heavy(s).cast("int")).cast("bigint").alias(f"{s}b") for s in ("x", "y")],
+        heavy("x").alias("hx"), (~heavy("y") & (F.col("total") > bucket)).alias("twice"))
+    out = count_inversions(bucketed, keys, _SUMS)
+    n = F.col("w")
     pairs = n * (n - 1) / 2
+    score = pairs - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("d")
     denominator = F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))
     variance = (
         (n * (n - 1) * (2 * n + 5) - F.col("vx") - F.col("vy")) / 18
         + F.try_divide(2 * F.col("tx") * F.col("ty"), n * (n - 1))
         + F.try_divide(F.col("ux") * F.col("uy"), 9 * n * (n - 1) * (n - 2))
     )
-    z = F.abs(F.col("s")) / F.sqrt(variance)
-    return out.select(*keys, "n", F.expr(RHO).alias("rho"), "s", F.when(denominator > 0, F.col("s") / denominator).alias("tau"),
+    z = F.abs(score) / F.sqrt(variance)
+    return out.select(*keys, n.cast("bigint").alias("n"), F.expr(RHO).alias("rho"), score.alias("s"), F.when(denominator > 0, score / denominator).alias("tau"),
                       F.when((n > 2) & (variance > 0), two_sided(z)).alias("p"))
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siterank.functions import keyed
 from siterank.operators import metrics
+from siterank.operators.lineage import materialise
+from siterank.operators.order import with_ranks
 
 # Row bands of blocks used for inner validation, with one excluded row on either side.
 VALIDATION_BANDS = [(0, 2), (3, 6), (7, 9)]
@@ -84,13 +87,21 @@ def class_prior(development: DataFrame, test: DataFrame, classes: int) -> DataFr
 
 
 def shuffled(df: DataFrame, column: str, stream: str, seed: int = keyed.SEED) -> DataFrame:
-    """A column dealt out anew by keyed hash; two hash orders inside hash buckets keep every task small."""
-    bucket = lambda name: F.pmod(F.xxhash64(F.lit(name), F.col("id")), F.lit(64))
-    left = df.withColumns({"_u": keyed.uniform(stream + ":a", "id", seed=seed), "_b": bucket(stream)})
-    order = lambda c: F.row_number().over(W.partitionBy("_b").orderBy(c))
-    receivers = left.withColumn("_i", order("_u")).drop(column)
-    givers = left.withColumn("_u2", keyed.uniform(stream + ":b", "id", seed=seed)).withColumn("_i", order("_u2")).select("_b", "_i", column)
-    return receivers.join(givers, ["_b", "_i"]).drop("_u", "_b", "_i").select(*df.columns)
+    """A column dealt out anew: rows are numbered by id, and each takes the value at the keyed permutation of its number."""
+    numbered = with_ranks(df.select("id", column), [], "id", "_i", "ordinal", descending=False, tie="id").withColumn("_i", (F.col("_i") - 1).cast("bigint"))
+    size = df.agg(F.count(F.lit(1)).alias("n"))
+    targets = numbered.withColumn("_n", size.scalar()).select("id", keyed.permuted(F.col("_i"), F.col("_n"), stream, seed).alias("_i"))
+    dealt = targets.join(numbered.select("_i", F.col(column)), "_i").select("id", column)
+    return df.drop(column).join(dealt, "id").select(*df.columns)
+
+
+def out_of_fold(df: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame]) -> DataFrame:
+    """Predictions of every row by a model fitted on the other folds only, gathered into one written table."""
+    parts = []
+    for k in range(folds):
+        model = fit(df.where(F.col(fold) != k))
+        parts.append(predict(model, df.where(F.col(fold) == k)))
+    return materialise(reduce(DataFrame.unionByName, parts))
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], classes: int, repeats: int = 20) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions import keyed
@@ -84,21 +86,91 @@ def rank_intervals(frame: DataFrame) -> DataFrame:
     return scored.select("radius_m", "w_lower", "w_upper", "component_id", rank.alias("rank")).withColumn("top3", F.col("rank") <= 3)
 
 
+TIE, MERGE = 1e-11, 1e-10
+
+
+def top_levels(t: np.ndarray, m: np.ndarray, order: np.ndarray, low: float, high: float, top: int) -> list[tuple[float, float, np.ndarray]]:
+    """The ``top`` highest lines t + w m as w goes from low to high: (from, to, lines by rank), swap by swap.
+
+    Lines that meet at a swap are ordered by slope, then by ``order``. The next swap is where two neighbours of the ranking meet or
+    where a lower line reaches the last one, so no pair of lines is looked at otherwise.
+    """
+    out, w, n, k = [], low, len(t), min(top, len(t))
+    while k and w < high:
+        s = t + m * w
+        near = np.flatnonzero(s >= np.partition(s, n - k)[n - k] - k * TIE)
+        near = near[np.argsort(-s[near], kind="stable")]
+        level = np.cumsum(np.append(0, -np.diff(s[near]) > TIE))
+        best = near[np.lexsort((order[near], -np.round(m[near], 12), level))][:k]
+        rise = np.append(m[best[1:]] - m[best[:-1]], m - m[best[-1]])
+        fall = np.append(s[best[:-1]] - s[best[1:]], s[best[-1]] - s)
+        rise[k - 1 + best] = 0.0
+        after = fall[rise > 1e-12] / rise[rise > 1e-12]
+        after = after[after > MERGE]
+        stop = min(high, w + after.min()) if len(after) else high
+        stop = high if high - stop < MERGE else float(stop)
+        out.append((w, stop, best))
+        w = stop
+    return out
+
+
+def _levels(slab: bool, top: int):
+    """One group of lines to the intervals on which each of them is among the highest."""
+
+    def run(key: tuple, lines: pa.Table) -> pa.Table:
+        part, parts = (key[1].as_py(), key[2].as_py()) if slab else (0, 1)
+        ids = lines.column("component_id").to_pylist()
+        order = np.empty(len(ids), np.int64)
+        order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        found = top_levels(lines.column("t").to_numpy(), lines.column("m").to_numpy(), order, part / parts, (part + 1) / parts, top)
+        rows, held = [], {}
+        for low, high, best in found:
+            now = {(int(j), k + 1): held.get((int(j), k + 1), low) for k, j in enumerate(best)}
+            rows += [(j, rank, start, low) for (j, rank), start in held.items() if (j, rank) not in now]
+            held = now
+        rows += [(j, rank, start, found[-1][1]) for (j, rank), start in held.items()]
+        where = pa.array([r[0] for r in rows], pa.int64())
+        fixed = [lines.column(c).take(where) for c in ("radius_m", "component_id", "t", "m")]
+        return pa.table([*fixed, *[pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int32()), (2, pa.float64()), (3, pa.float64()))]], names=["radius_m", "component_id", "t", "m", "rank", "w_lower", "w_upper"])
+
+    return run
+
+
+def top_intervals(frame: DataFrame, top: int = 3, per_bucket: int = 4096) -> DataFrame:
+    """The maximal weight intervals on which a component holds each rank up to ``top``; radius_m, component_id, rank, w_lower, w_upper.
+
+    A line among the highest of all is among the highest of any bucket of lines at the same weight. Buckets of lines are swept first, and
+    what they leave goes to the slabs of the weight axis where it may count, which are swept again. Only neighbours of
+    the running ranking meet, so the work follows the upper envelope and not the pairs. Components without both scores take no rank.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    schema = f"radius_m {kinds['radius_m']}, component_id {kinds['component_id']}, t double, m double, rank int, w_lower double, w_upper double"
+    lines = frame.select("radius_m", "component_id", F.col(TERRAIN_SCORE).cast("double").alias("t"), (F.col(LANDSCAPE) - F.col(TERRAIN_SCORE)).cast("double").alias("m")).where(
+        F.col("t").isNotNull() & F.col("m").isNotNull())
+    parts = lines.groupBy("radius_m").agg(F.ceil(F.count(F.lit(1)) / per_bucket).cast("int").alias("parts"))
+    dealt = lines.join(parts, "radius_m").withColumn("part", F.pmod(F.xxhash64("component_id"), F.col("parts")))
+    local = dealt.groupBy("radius_m", "part", "parts").applyInArrow(_levels(False, top), schema)
+    slabs = local.join(parts, "radius_m").select("radius_m", "component_id", "t", "m", "parts", F.explode(F.sequence(
+        F.floor(F.col("w_lower") * F.col("parts")).cast("int"), F.least(F.floor(F.col("w_upper") * F.col("parts")).cast("int"), F.col("parts") - 1))).alias("part")).distinct()
+    found = slabs.groupBy("radius_m", "part", "parts").applyInArrow(_levels(True, top), schema)
+    line = W.partitionBy("radius_m", "component_id", "rank").orderBy("w_lower")
+    joined = found.withColumn("_new", (~F.col("w_lower").eqNullSafe(F.lag("w_upper").over(line))).cast("int"))
+    island = joined.withColumn("_g", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    return island.groupBy("radius_m", "component_id", "rank", "_g").agg(F.min("w_lower").alias("w_lower"), F.max("w_upper").alias("w_upper")).drop("_g")
+
+
 def leader_intervals(intervals: DataFrame) -> DataFrame:
-    """Neighbouring intervals with the same leader merged."""
-    ordered = W.partitionBy("radius_m").orderBy("w_lower")
-    lead = intervals.where(F.col("rank") == 1)
-    starts = lead.withColumn("_new", (~F.col("component_id").eqNullSafe(F.lag("component_id").over(ordered))).cast("int"))
-    island = starts.withColumn("_g", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy("radius_m", "component_id", "_g").agg(
-        F.min("w_lower").alias("w_lower"), F.max("w_upper").alias("w_upper")).drop("_g")
+    """The interval of each leader; an envelope of lines holds each line once."""
+    return intervals.where(F.col("rank") == 1).groupBy("radius_m", "component_id").agg(F.min("w_lower").alias("w_lower"), F.max("w_upper").alias("w_upper"))
 
 
-def uniform_top3_mass(intervals: DataFrame) -> DataFrame:
-    """M13d: share of the weight axis on which a component is in the top three."""
+def uniform_top3_mass(intervals: DataFrame, components: DataFrame) -> DataFrame:
+    """M13d: share of the weight axis on which a component is in the top three, for every row of ``components``."""
     width = F.col("w_upper") - F.col("w_lower")
-    return intervals.groupBy("radius_m", "component_id").agg(
-        F.sum(F.when(F.col("top3"), width).otherwise(0.0)).alias("exact_uniform_top3"), F.sum(width).alias("total_weight_mass"))
+    held = intervals.where(F.col("rank") <= 3).groupBy("radius_m", "component_id").agg(F.sum(width).alias("_held"))
+    total = intervals.where(F.col("rank") == 1).groupBy("radius_m").agg(F.sum(width).alias("total_weight_mass"))
+    every = components.select("radius_m", "component_id").distinct().join(total, "radius_m").join(held, ["radius_m", "component_id"], "left")
+    return every.select("radius_m", "component_id", F.coalesce("_held", F.lit(0.0)).alias("exact_uniform_top3"), "total_weight_mass")
 
 
 def response_grid(frame: DataFrame, points: int = 1001) -> DataFrame:

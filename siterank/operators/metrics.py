@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions import keyed
+from siterank.operators.lineage import materialise
 from siterank.operators.order import value_positions
 
 
@@ -159,13 +160,21 @@ def temperature_scaled(p: Column, t: Column) -> Column:
     return F.transform(powers, lambda v: v / total)
 
 
-def fit_temperature(out_of_fold: DataFrame, low: float = 0.25, high: float = 4.0, points: int = 16, rounds: int = 3) -> float:
-    """Temperature with least log loss, by refining a grid; each round is one aggregation of the rows."""
+def log_loss() -> Column:
+    return -F.avg(F.log(F.greatest(F.element_at("p", F.col("y").cast("int") + 1), F.lit(1e-15))))
+
+
+def fit_temperature(out_of_fold: DataFrame, low: float = 0.25, high: float = 4.0, points: int = 16, rounds: int = 3) -> DataFrame:
+    """Model, temperature with the least log loss, by refining a grid for all models at once; each round is one aggregation of the rows.
+
+    The rows must be predictions of models that did not see them.
+    """
+    bounds = out_of_fold.select("model").distinct().select("model", F.lit(low).alias("low"), F.lit(high).alias("high"))
     for _ in range(rounds):
-        step = (high - low) / (points - 1)
-        grid = [low + i * step for i in range(points)]
-        losses = out_of_fold.select("y", "p", F.explode(F.array(*[F.lit(t) for t in grid])).alias("t")).groupBy("t").agg(
-            F.avg(-F.log(F.greatest(F.element_at(temperature_scaled(F.col("p"), F.col("t")), F.col("y").cast("int") + 1), F.lit(1e-15)))).alias("loss"))
-        best = losses.agg(F.min(F.struct("loss", "t"))["t"].alias("t")).first()["t"]
-        low, high = max(low, best - step), min(high, best + step)
-    return float(best)
+        bounds = materialise(bounds)
+        step = (F.col("high") - F.col("low")) / (points - 1)
+        grid = bounds.select("model", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + i * step)).alias("t"))
+        losses = out_of_fold.join(grid, "model").select("model", "y", "t", temperature_scaled(F.col("p"), F.col("t")).alias("p")).groupBy("model", "t").agg(log_loss().alias("loss"))
+        best = losses.groupBy("model").agg(F.min(F.struct(F.round("loss", 12), "t"))["t"].alias("t"))
+        bounds = bounds.drop("t").join(best, "model").select("model", F.greatest("low", F.col("t") - step).alias("low"), F.least("high", F.col("t") + step).alias("high"), "t")
+    return materialise(bounds.select("model", F.col("t").alias("temperature")))

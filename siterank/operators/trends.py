@@ -1,6 +1,7 @@
 """Robust trends: Theil-Sen, its rank interval, residual moving-block bootstrap and false-discovery control.
 
-A series holds one value per calendar period, so its arrays are short; Spark spreads the series and draws.
+The slopes of a long series are never listed: the k-th of them is found by counting how many lie below trial slopes, and a pair
+has a slope below theta exactly if y - theta x inverts it. Series of at most ``SMALL`` points list their slopes in the task that holds them.
 """
 
 from __future__ import annotations
@@ -8,106 +9,169 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions import keyed
-from siterank.operators.agreement import NORMAL_975, rank_agreement
-
-_FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("slope", "intercept", "low", "high", "offset", "lag1")])
-
-
-def _pair_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All pairwise slopes for rows of y that share the abscissa x."""
-    i, j = np.triu_indices(len(x), 1)
-    keep = x[j] != x[i]
-    i, j = i[keep], j[keep]
-    return (y[:, j] - y[:, i]) / (x[j] - x[i])
-
-
-@F.pandas_udf(T.DoubleType())
-def median_slope(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Median pairwise slope of each row; rows with equal abscissa are solved together."""
-    out = np.full(len(ys), np.nan)
-    groups: dict[tuple, list[int]] = {}
-    for k, x in enumerate(xs):
-        groups.setdefault(tuple(x), []).append(k)
-    for x, members in groups.items():
-        step = max(1, 2_000_000 // max(1, len(x) * len(x) // 2))
-        for start in range(0, len(members), step):
-            part = members[start:start + step]
-            slopes = _pair_slopes(np.asarray(x, dtype=float), np.stack([np.asarray(ys.iloc[k], dtype=float) for k in part]))
-            if slopes.shape[1]:
-                out[part] = np.median(slopes, axis=1)
-    return pd.Series(out)
-
-
-@F.pandas_udf(_FIT)
-def _fit(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_fit_one(np.asarray(x, dtype=float), np.asarray(y, dtype=float)) for x, y in zip(xs, ys)], columns=_FIT.names)
-
-
-def _fit_one(x: np.ndarray, y: np.ndarray) -> list[float]:
-    slopes = np.sort(_pair_slopes(x, y[None, :])[0])
-    if not len(slopes):
-        return [np.nan] * 6
-    slope = float(np.median(slopes))
-    n, m = len(y), len(slopes)
-    ties = lambda v: sum(float(k) * (k - 1) * (2 * k + 5) for k in np.unique(v, return_counts=True)[1])
-    sigma = np.sqrt(max((n * (n - 1) * (2 * n + 5) - ties(x) - ties(y)) / 18.0, 0.0))
-    upper = min(int(np.round((m + NORMAL_975 * sigma) / 2)), m - 1)
-    lower = max(int(np.round((m - NORMAL_975 * sigma) / 2)) - 1, 0)
-    offset = float(np.median(y - slope * x))
-    residual = y - offset - slope * x
-    a, b = residual[:-1], residual[1:]
-    scale = float(np.sqrt(((a - a.mean()) ** 2).sum() * ((b - b.mean()) ** 2).sum()))
-    lag1 = float(((a - a.mean()) * (b - b.mean())).sum() / scale) if scale > 0 else np.nan
-    return [slope, float(np.median(y) - slope * np.median(x)), float(slopes[lower]), float(slopes[upper]), offset, lag1]
-
-
-def series_arrays(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Complete (x, y) of each series in order of x."""
-    pair = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_s"))
-    return rows.select(*keys, F.col("_s.x").alias("xs"), F.col("_s.y").alias("ys"))
-
-
-def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Slope, both intercepts, Sen's 95 % interval and the effective sample size per series."""
-    fitted = series_arrays(df, keys, x, y).withColumn("f", _fit("xs", "ys"))
-    n = F.size("xs").cast("double")
-    lag1 = F.nanvl(F.col("f.lag1"), F.lit(None).cast("double"))
-    reduced = F.least(F.greatest(n * (1 - lag1) / F.nullif(1 + lag1, F.lit(0.0)), F.lit(2.0)), n)
-    clean = lambda c: F.nanvl(F.col(f"f.{c}"), F.lit(None).cast("double"))
-    return fitted.select(
-        *keys, F.size("xs").alias("n"), "xs", "ys", clean("slope").alias("slope"), clean("intercept").alias("intercept"),
-        clean("low").alias("slope_low_95"), clean("high").alias("slope_high_95"), clean("offset").alias("residual_offset"),
-        lag1.alias("lag1"), F.coalesce(reduced, n).alias("effective_n"))
+from siterank.operators.agreement import BUCKET, NORMAL_975, correlation, count_inversions, rank_agreement
+from siterank.operators.lineage import materialise
+from siterank.operators.order import quantiles_wide, with_ranks
+
+SMALL = 512
+TRIALS = 7
+ROUNDS = 100
+
+
+def _slopes(rows: pa.Table) -> np.ndarray:
+    """All slopes between points of different x, ascending."""
+    x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+    run, rise = x[:, None] - x, y[:, None] - y
+    return np.sort(rise[run > 0] / run[run > 0])
+
+
+def _listed(keys: Sequence[str]):
+    def run(rows: pa.Table) -> pa.Table:
+        slopes = _slopes(rows)
+        at = [k for k in rows.column("ks")[0].as_py() if 0 <= k < len(slopes)]
+        return pa.table([*[rows.column(k).slice(0, 1) for k in keys], pa.array([slopes[at].tolist() if len(slopes) else []], pa.list_(pa.float64()))], names=[*keys, "slopes"])
+
+    return run
+
+
+def _first_trials(keys: Sequence[str]):
+    """Slopes of sampled points at and around the wanted shares."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        slopes = _slopes(rows)
+        wanted = np.asarray(rows.column("shares")[0].as_py())[:, None] + np.array([-0.2, -0.05, -0.01, 0.0, 0.01, 0.05, 0.2])
+        found = np.unique(np.quantile(slopes, np.clip(wanted, 0, 1))) if len(slopes) else np.zeros(1)
+        return pa.table([*[rows.column(k).slice(0, 1) for k in keys], pa.array([found.tolist()], pa.list_(pa.float64()))], names=[*keys, "thetas"])
+
+    return run
+
+
+def _head(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+
+def slopes_below(points: DataFrame, trials: DataFrame, keys: Sequence[str], bucket: int = BUCKET) -> DataFrame:
+    """keys, theta, below: the number of slopes less than each of ``thetas``.
+
+    Points (pos, x, y) are numbered by x and then y, so points of equal x keep their order under every theta and are never inverted.
+    """
+    keys = list(keys)
+    long = points.join(trials, keys).select(*keys, "pos", F.posexplode("thetas").alias("trial", "theta"), "x", "y").withColumn("by", F.col("y") - F.col("theta") * F.col("x"))
+    group = [*keys, "trial", "theta"]
+    placed = long.repartitionByRange(*group, "by", "pos").withColumn("yb", F.spark_partition_id().cast("bigint"))
+    rows = placed.select(*group, F.lit(1.0).alias("w"), F.col("pos").alias("bx"), "by", F.floor(F.col("pos") / bucket).cast("bigint").alias("xb"), "yb", F.lit(False).alias("hx"), F.lit(True).alias("twice"))
+    return count_inversions(rows, group).select(*keys, "theta", F.col("d").alias("below"))
+
+
+def _searched(points: DataFrame, wanted: DataFrame, keys: list[str], tolerance: float, bucket: int) -> DataFrame:
+    """The wanted order statistics of the slopes of long series, by narrowing [low, high) around each in rounds."""
+    numbered = materialise(with_ranks(points, keys, "x", "pos", "ordinal", descending=False, tie="y"))
+    sample = numbered.join(wanted, keys).where(F.pmod(F.xxhash64("pos"), F.ceil(F.col("n") / (0.75 * SMALL))) == 0)
+    shares = sample.withColumn("shares", F.transform("ks", lambda k: k / (F.col("pairs") - 1)))
+    trials = shares.groupBy(*keys).applyInArrow(_first_trials(keys), f"{_head(points, keys)}, thetas array<double>")
+    infinite = F.lit(float("inf"))
+    run, rise = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    sizes = numbered.groupBy(*keys).agg(F.coalesce(F.nullif(rise / run, F.lit(0.0)), F.lit(1.0)).alias("_size"))
+    state = materialise(wanted.join(sizes, keys).select(*keys, "_size", F.posexplode("ks").alias("_r", "_k"), (-infinite).alias("_low"), infinite.alias("_high")))
+    for _ in range(ROUNDS):
+        below = slopes_below(numbered, trials, keys, bucket)
+        narrowed = state.join(below, keys, "left").groupBy(*keys, "_size", "_r", "_k").agg(
+            F.greatest(F.first("_low"), F.max(F.when(F.col("below") <= F.col("_k"), F.col("theta")))).alias("_low"),
+            F.least(F.first("_high"), F.min(F.when(F.col("below") > F.col("_k"), F.col("theta")))).alias("_high"))
+        state = materialise(narrowed)
+        size = F.abs("_low") + F.abs("_high") + F.col("_size")
+        open_ = state.where((F.col("_low") == -infinite) | (F.col("_high") == infinite) | (F.col("_high") - F.col("_low") > tolerance * size))
+        if open_.isEmpty():
+            return state.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", ((F.col("_low") + F.col("_high")) / 2).alias("s")))), lambda e: e.s).alias("slopes"))
+        steps = F.sequence(F.lit(1), F.lit(TRIALS))
+        far = lambda i: F.pow(F.lit(8.0), i.cast("double")) * F.greatest(F.abs(F.coalesce(F.when(F.col("_low") > -infinite, F.col("_low")), F.when(F.col("_high") < infinite, F.col("_high")), F.lit(1.0))), F.lit(1e-6))
+        inside = F.transform(steps, lambda i: F.when(F.col("_low") == -infinite, F.when(F.col("_high") == infinite, F.when(i % 2 == 0, far(i)).otherwise(-far(i))).otherwise(F.col("_high") - far(i)))
+                             .when(F.col("_high") == infinite, F.col("_low") + far(i)).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * i / (TRIALS + 1)))
+        trials = open_.select(*keys, F.explode(inside).alias("_t")).groupBy(*keys).agg(F.array_sort(F.collect_set("_t")).alias("thetas"))
+    raise RuntimeError("slopes did not settle")
+
+
+def order_slopes(points: DataFrame, wanted: DataFrame, keys: Sequence[str], tolerance: float = 1e-14, bucket: int = BUCKET) -> DataFrame:
+    """keys, slopes: the ``ks``-th smallest (from 0) of the ``pairs`` slopes between the ``n`` points (x, y) of each series."""
+    keys = list(keys)
+    asked = wanted.where("pairs > 0").select(*keys, "n", "pairs", "ks")
+    short = points.join(asked.where(F.col("n") <= SMALL), keys).select(*keys, "x", "y", "ks")
+    listed = short.groupBy(*keys).applyInArrow(_listed(keys), f"{_head(points, keys)}, slopes array<double>")
+    long = asked.where(F.col("n") > SMALL)
+    if long.isEmpty():
+        return listed
+    return listed.unionByName(_searched(points.join(long.select(*keys), keys), long, keys, tolerance, bucket))
+
+
+def series_points(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Complete (x, y) of each series."""
+    return df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def _ties(points: DataFrame, keys: list[str], side: str) -> DataFrame:
+    c = F.col("c").cast("double")
+    return points.groupBy(*keys, side).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.sum(c * (c - 1) / 2).alias("same"), F.sum(c * (c - 1) * (2 * c + 5)).alias(f"v{side}"), F.min(side).alias("least"), F.max(side).alias("most"))
+
+
+def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, tolerance: float = 1e-14, bucket: int = BUCKET) -> DataFrame:
+    """Slope, both intercepts, Sen's 95 % interval, the effective sample size and whether y varies, per series."""
+    keys = list(keys)
+    points = materialise(series_points(df, keys, x, y))
+    by_y = _ties(points, keys, "y").select(*keys, "vy", (F.col("least") < F.col("most")).alias("varies"))
+    stats = _ties(points, keys, "x").drop("least", "most").join(by_y, keys).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2 - F.col("same")).cast("bigint"))
+    n, m = F.col("n").cast("double"), F.col("pairs").cast("double")
+    spread = F.sqrt(F.greatest((n * (n - 1) * (2 * n + 5) - F.col("vx") - F.col("vy")) / 18, F.lit(0.0))) * NORMAL_975
+    last = F.rint((m + spread) / 2)
+    ks = F.array(F.floor((m - 1) / 2), F.floor(m / 2), F.greatest(F.rint((m - spread) / 2) - 1, F.lit(0.0)), F.least(last, m - 1))
+    stats = materialise(stats.withColumn("ks", F.transform(ks, lambda k: k.cast("bigint"))))
+    found = order_slopes(points, stats, keys, tolerance, bucket)
+    at = quantiles_wide(points, keys, {"x": "x", "y": "y"}, {"median": 0.5}).select(*keys, "x_median", "y_median")
+    slope = (F.col("slopes")[0] + F.col("slopes")[1]) / 2
+    fits = stats.join(found, keys, "left").join(at, keys).select(
+        *keys, "n", "pairs", "varies", slope.alias("slope"), (F.col("y_median") - slope * F.col("x_median")).alias("intercept"),
+        F.col("slopes")[2].alias("slope_low_95"), F.col("slopes")[3].alias("slope_high_95"))
+    fits = materialise(fits)
+    level = points.join(fits.select(*keys, "slope"), keys).withColumn("rest", F.col("y") - F.col("slope") * F.col("x"))
+    offset = quantiles_wide(level, keys, {"rest": "rest"}, {"median": 0.5}).select(*keys, F.col("rest_median").alias("residual_offset"))
+    placed = materialise(with_ranks(level.join(offset, keys), keys, "x", "pos", "ordinal", descending=False, tie="y").select(*keys, "pos", (F.col("y") - F.col("residual_offset") - F.col("slope") * F.col("x")).alias("a")))
+    lagged = placed.join(placed.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("a").alias("b")), [*keys, "pos"]).groupBy(*keys).agg(correlation("a", "b").alias("lag1"))
+    out = fits.join(offset, keys, "left").join(lagged, keys, "left")
+    size = F.col("n").cast("double")
+    reduced = F.least(F.greatest(size * (1 - F.col("lag1")) / F.nullif(1 + F.col("lag1"), F.lit(0.0)), F.lit(2.0)), size)
+    return out.withColumn("effective_n", F.coalesce(reduced, size))
 
 
 TREND_COLUMNS = ["n", "slope", "intercept", "slope_low_95", "slope_high_95", "effective_n"]
 
 
-def block_bootstrap(fits: DataFrame, keys: Sequence[str], draws: int = 2000, block: int = 5, seed: int = keyed.SEED) -> DataFrame:
+def block_bootstrap(fits: DataFrame, points: DataFrame, keys: Sequence[str], draws: int = 2000, block: int = 5, seed: int = keyed.SEED) -> DataFrame:
     """M1: residual moving-block draws; one row per (series, draw) with the fitted and the centred-null slope.
 
-    The resampled arrays are built on the JVM from keyed block starts. Adding a constant does not move a
+    Every place of a draw takes the residual of the place its keyed block start points at, by an equi-join. Adding a constant does not move a
     slope, so the null slope is that of the resampled residuals alone.
     """
-    n = F.size("xs")
-    fitted = F.transform("xs", lambda x: F.col("residual_offset") + F.col("slope") * x)
-    residual = F.zip_with("ys", fitted, lambda y, f: y - f)
-    base = fits.where((n >= 8) & (n >= block)).select(*keys, "xs", "slope", fitted.alias("_fit"), residual.alias("_res"))
-    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    choices = F.size("xs") - block + 1
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("xs") / F.lit(float(block))).cast("int") - 1),
-                         lambda k: keyed.pick(choices, "block", *keys, "draw", k, seed=seed).cast("int"))
-    drawn = drawn.withColumn("_start", starts)
-    sample = F.transform(F.sequence(F.lit(0), F.size("xs") - 1),
-                         lambda i: F.element_at("_res", F.element_at("_start", F.floor(i / block).cast("int") + 1) + i % block + 1))
-    drawn = drawn.withColumn("_sample", sample).withColumn("_y", F.zip_with("_fit", "_sample", lambda f, s: f + s))
-    return drawn.select(*keys, "draw", F.col("slope").alias("observed"), median_slope("xs", "_y").alias("slope"),
-                        median_slope("xs", "_sample").alias("null_slope"))
+    keys = list(keys)
+    usable = fits.where((F.col("n") >= 8) & (F.col("n") >= block)).select(*keys, "n", "pairs", "slope", "residual_offset")
+    fit = F.col("residual_offset") + F.col("slope") * F.col("x")
+    placed = with_ranks(points, keys, "x", "pos", "ordinal", descending=False, tie="y").join(usable, keys).select(
+        *keys, (F.col("pos") - 1).alias("i"), "n", "x", fit.alias("fit"), (F.col("y") - fit).alias("res"))
+    placed = materialise(placed)
+    start = keyed.pick(F.col("n") - block + 1, "block", *keys, "draw", F.floor(F.col("i") / block), seed=seed)
+    drawn = placed.drop("res").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("from", start + F.col("i") % block)
+    sampled = drawn.join(placed.select(*keys, F.col("i").alias("from"), "res"), [*keys, "from"])
+    sides = F.array(F.struct(F.lit("slope").alias("side"), (F.col("fit") + F.col("res")).alias("y")), F.struct(F.lit("null_slope").alias("side"), F.col("res").alias("y")))
+    series = [*keys, "draw", "side"]
+    again = sampled.select(*keys, "draw", "x", F.explode(sides).alias("_s")).select(*series[:-1], "_s.side", "x", "_s.y")
+    middle = F.array(F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2))
+    each = usable.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("side", F.explode(F.array(F.lit("slope"), F.lit("null_slope")))).withColumn("ks", middle)
+    found = order_slopes(again, each, series).withColumn("s", (F.col("slopes")[0] + F.col("slopes")[1]) / 2)
+    wide = found.groupBy(*keys, "draw").agg(*[F.max(F.when(F.col("side") == side, F.col("s"))).alias(side) for side in ("slope", "null_slope")])
+    return wide.join(usable.select(*keys, F.col("slope").alias("observed")), keys).select(*keys, "draw", "observed", "slope", "null_slope")
 
 
 def bootstrap_interval(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,10 +196,9 @@ def trend_table(long: DataFrame, keys: Sequence[str], x: str, y: str, draws: int
                 family: Sequence[str] = (), seed: int = keyed.SEED) -> DataFrame:
     """M2: the full trend record of every series, with short or constant series marked and not tested."""
     keys = list(keys)
-    fits = theil_sen(long, keys, x, y)
-    usable = (F.col("n") >= 8) & (F.array_min("ys") < F.array_max("ys"))
-    tested = fits.where(usable)
-    boot = bootstrap_interval(block_bootstrap(tested, keys, draws, block, seed), keys)
+    fits = materialise(theil_sen(long, keys, x, y))
+    usable = (F.col("n") >= 8) & F.col("varies")
+    boot = bootstrap_interval(block_bootstrap(fits.where(usable), series_points(long, keys, x, y), keys, draws, block, seed), keys)
     tau = rank_agreement(long, keys, x, y, bounded=True).select(*keys, F.col("tau").alias("kendall_tau"), F.col("p").alias("kendall_p_unadjusted"))
     out = fits.withColumn("_ok", usable).join(boot, keys, "left").join(tau, keys, "left")
     keep = [c for c in TREND_COLUMNS if c != "n"] + ["kendall_tau", "kendall_p_unadjusted"]

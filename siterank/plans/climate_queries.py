@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siterank.functions.columns import SEASON_DAYS, season, season_year, weather_flag
 from siterank.operators import daily, trends
 from siterank.operators.agreement import paired_agreement
+from siterank.operators.lineage import materialise
 from siterank.plans.bindings import (BASELINE_YEARS, SECOND, WEATHER, ranks_sql, second_product, second_sql, site_daily, site_sql,
                                      weather_daily, weather_sql)
 from siterank.plans.registry import query, r, rounded, table
@@ -403,8 +404,9 @@ bo AS (SELECT metric, quantile_cont(bs.slope, 0.025) AS block_low_95, quantile_c
 @query("m1_block_bootstrap", f"""WITH {site_sql()}, {HALF_SQL}, {LIMIT_SQL}, {metrics_sql('period', 'sh')}, {TREND_LONG_SQL}, {FIT_SQL}, {BOOT_SQL}
 SELECT metric, {r('block_low_95')} AS block_low_95, {r('block_high_95')} AS block_high_95, {r('block_p')} AS block_p FROM bo""")
 def block_bootstrap(spark, folder):
-    fits = trends.theil_sen(half_year_series(spark, folder), ["metric"], "x", "y")
-    out = trends.bootstrap_interval(trends.block_bootstrap(fits, ["metric"], BOOT_DRAWS, BLOCK), ["metric"])
+    series = materialise(half_year_series(spark, folder))
+    fits = materialise(trends.theil_sen(series, ["metric"], "x", "y"))
+    out = trends.bootstrap_interval(trends.block_bootstrap(fits, trends.series_points(series, ["metric"], "x", "y"), ["metric"], BOOT_DRAWS, BLOCK), ["metric"])
     return rounded(out.drop("draws"))
 
 

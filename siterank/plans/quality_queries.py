@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siterank.functions import columns as C
-from siterank.functions.keyed import uniform
+from siterank.functions.keyed import ROUNDS, uniform
 from siterank.operators import benchmark, checks, metrics, sampling, scoring, spatial
 from siterank.operators.lineage import materialise
 from siterank.operators.order import with_percentile
@@ -69,12 +69,31 @@ def capped(spark, folder):
     return rounded(sampling.capped_sample(samples(spark, folder).select("id", "y", "block"), "y", ["id"], CAP))
 
 
-@query("l2_outer_split", f"""WITH {SAMPLES_SQL}, f AS (SELECT y, CAST(floor({UNIFORM_SQL('fold', 'block')} * 5) AS BIGINT) AS fold FROM sb),
+FOLDS = 5
+FOLD_SQL = f"""
+fc AS (SELECT block, y, count(*) AS n FROM sb GROUP BY 1, 2),
+fl AS (SELECT list(y ORDER BY y) AS ys, list(n * 1e0 * n ORDER BY y) AS sq, len(list(y)) AS c FROM (SELECT y, sum(n) AS n FROM fc GROUP BY 1)),
+fb AS (SELECT block, v, row_number() OVER (ORDER BY c * list_sum(list_transform(v, lambda x: x * x)) - list_sum(v) * list_sum(v) DESC, block) AS i
+  FROM (SELECT block, c, list_transform(ys, lambda y: coalesce(m[y], 0)) AS v FROM (SELECT block, map(list(y), list(n)) AS m FROM fc GROUP BY 1), fl)),
+fa(i, block, fold, held) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), list_transform(range({FOLDS} * (SELECT c FROM fl)), lambda x: CAST(0 AS BIGINT))
+  UNION ALL SELECT i, block, f, list_transform(range(len(held)), lambda x: CAST(held[x + 1] + CASE WHEN x // c = f THEN v[x % c + 1] ELSE 0 END AS BIGINT)) FROM (
+    SELECT fb.i, fb.block, held, v, c, list_min(list_transform(range({FOLDS}), lambda f: {{'cost': list_reduce(list_transform(range(c), lambda k: (2 * held[f * c + k + 1] * v[k + 1] + v[k + 1] * v[k + 1]) / sq[k + 1]), lambda a, b: a + b), 'fold': f}}))['fold'] AS f
+    FROM fa JOIN fb ON fb.i = fa.i + 1, fl)),
+fr AS (SELECT y, fold FROM sb JOIN fa USING (block))"""
+
+
+@query("l2_outer_split", f"""WITH RECURSIVE {SAMPLES_SQL}, {FOLD_SQL},
+gy AS (SELECT fold, max(abs(n * 1e0 / a - 2e-1)) AS gap FROM (SELECT fold, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY y) AS a FROM fr GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT g.fold, count(*) FILTER (f.fold = g.fold) AS test_rows, count(DISTINCT CASE WHEN f.fold = g.fold THEN y END) + count(DISTINCT CASE WHEN f.fold <> g.fold THEN y END) AS completeness,
-  abs(count(*) FILTER (f.fold = g.fold) * 1e0 / count(*) - 2e-1) AS p FROM f, (SELECT DISTINCT fold FROM f) g GROUP BY 1)
-SELECT fold, test_rows, completeness, {r('p')} AS size_penalty, row_number() OVER (ORDER BY completeness DESC, round(p, 12), fold) = 1 AS selected FROM s""")
+  abs(count(*) FILTER (f.fold = g.fold) * 1e0 / count(*) - 2e-1) AS p FROM fr f, (SELECT DISTINCT fold FROM fr) g GROUP BY 1)
+SELECT fold, test_rows, completeness, {r('p')} AS size_penalty, {r('gap')} AS largest_share_gap, row_number() OVER (ORDER BY completeness DESC, round(p, 12), fold) = 1 AS selected FROM s JOIN gy USING (fold)""")
 def outer_split(spark, folder):
-    return rounded(sampling.choose_outer_split(samples(spark, folder).select("id", "y", "block"), "y", "block", 5))
+    return rounded(sampling.choose_outer_split(samples(spark, folder).select("id", "y", "block"), "y", "block", FOLDS))
+
+
+@query("l2_stratified_folds", f"WITH RECURSIVE {SAMPLES_SQL}, {FOLD_SQL} SELECT block, fold FROM fa WHERE i > 0")
+def folds(spark, folder):
+    return sampling.stratified_folds(samples(spark, folder).select("id", "y", "block"), "y", "block", FOLDS)
 
 
 def spread(spark, folder):
@@ -250,7 +269,9 @@ def url_inventory(spark, folder):
     return manifest.classify_files(p).select("page_id", "file_type", "workflow_role")
 
 
-@query("p13_footprint_coverage", """SELECT n_nationkey, bx <= 293110 AND bx + 60 >= 293130 AND FALSE OR (bx = 293100 AND b2 = 3748500) AS full_coverage FROM (SELECT n_nationkey, n_nationkey % 5 * 400e0 + 293100e0 AS bx, 3748500e0 - n_nationkey // 5 * 150e0 AS b2 FROM nation)""")
+@query("p13_footprint_coverage", """WITH n AS (SELECT n_nationkey, n_nationkey % 5 * 400e0 + 293100e0 AS bx, 3748500e0 - n_nationkey // 5 * 150e0 AS b2 FROM nation)
+SELECT n_nationkey, bool_and((x BETWEEN bx AND bx + 120 AND y BETWEEN b2 - 120 AND b2 AND NOT (x BETWEEN bx + 30 AND bx + 75 AND y BETWEEN b2 - 75 AND b2 - 30)) OR (x BETWEEN bx + 150 AND bx + 210 AND y BETWEEN b2 - 60 AND b2)) AS full_coverage
+FROM n, (VALUES (293105e0), (293125e0)) c(x), (VALUES (3748480e0), (3748495e0)) d(y) GROUP BY 1""")
 def footprint(spark, folder):
     from siterank.plans.raster_queries import footprints
 
@@ -301,6 +322,26 @@ def controls(spark, folder):
     return rounded(scored(out), 4)
 
 
+def _deal_sql(v: str) -> str:
+    """One pass of the keyed permutation over the number ``v``."""
+    l, rr = f"({v} % a)", f"({v} // a)"
+    for k in range(ROUNDS):
+        mixed = lambda other, size: f"CAST(floor({UNIFORM_SQL('labels', str(k), other)} * {size}) AS BIGINT)"
+        if k % 2 == 0:
+            l = f"(({l} + {mixed(rr, 'a')}) % a)"
+        else:
+            rr = f"(({rr} + {mixed(l, 'b')}) % b)"
+    return f"({rr} * a + {l})"
+
+
+@query("l13_shuffled_labels", f"""WITH RECURSIVE {SAMPLES_SQL}, nn AS (SELECT *, CAST(ceil(n * 1e0 / a) AS BIGINT) AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM sb)),
+ix AS (SELECT id, y, row_number() OVER (ORDER BY id) - 1 AS i FROM sb),
+wk(id, v, step) AS (SELECT id, {_deal_sql('i')}, 1 FROM ix, nn UNION ALL SELECT id, {_deal_sql('v')}, step + 1 FROM wk, nn WHERE v >= n)
+SELECT wk.id, g.y FROM wk JOIN ix g ON g.i = wk.v, nn WHERE v < n""")
+def shuffled_labels(spark, folder):
+    return benchmark.shuffled(samples(spark, folder).select("id", "y"), "y", "labels")
+
+
 def forest(spark, folder, seed=311):
     dev, test = split(spark, folder)
     return benchmark.families(FEATURES, CLASSES, seed)["forest"](5, 5, 20).fit(benchmark.balanced(dev)), test

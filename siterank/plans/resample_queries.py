@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siterank.functions.columns import valid_cell
-from siterank.operators import decision, metrics, raster, resample, scoring
+from siterank.operators import benchmark, decision, metrics, raster, resample, scoring
 from siterank.operators.lineage import materialise
 from siterank.plans import bindings as B
 from siterank.plans.registry import query, r, rounded, table
@@ -274,12 +274,19 @@ def budget(spark, folder):
 K = 10
 
 
-def predictions(spark, folder):
-    """Nearest-centroid class probabilities of the embeddings at two sharpness settings; blocks are a 10 x 10 layout."""
-    e = table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+def vectors(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def centroids(e):
+    """Mean vector of each class, packed in one row."""
     centre = e.select("y", F.posexplode("v").alias("i", "x")).groupBy("y", "i").agg(F.round(F.avg("x"), 9).alias("c")).groupBy("y").agg(
         F.array_sort(F.collect_list(F.struct("i", "c"))).alias("s")).select("y", F.col("s.c").alias("c"))
-    packed = centre.agg(F.array_sort(F.collect_list(F.struct("y", "c"))).alias("l"))
+    return centre.agg(F.array_sort(F.collect_list(F.struct("y", "c"))).alias("l"))
+
+
+def centroid_probabilities(packed, e):
+    """Nearest-centroid class probabilities at two sharpness settings; blocks are a 10 x 10 layout."""
     d2 = lambda v, c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, q: s + q)
     near = e.withColumn("_l", packed.scalar()).withColumn("_d", F.transform("_l", lambda k: d2(F.col("v"), k["c"])))
     models = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(s).alias("s")) for n, s in (("sharp", 8.0), ("soft", 2.0))])
@@ -291,6 +298,11 @@ def predictions(spark, folder):
     return out.select("m.model", F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("block"), "y", F.transform(mixed, lambda q: F.round(q / total, 9)).alias("p"))
 
 
+def predictions(spark, folder):
+    e = vectors(spark, folder)
+    return centroid_probabilities(centroids(e), e)
+
+
 PRED_SQL = f"""
 ev AS (SELECT vec_id, label AS y, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 ce AS (SELECT y AS k, i, round(avg(x), 9) AS c FROM ev GROUP BY 1, 2),
@@ -362,13 +374,42 @@ def calibration_error(spark, folder):
     return rounded(metrics.expected_calibration_error(metrics.calibration(metrics.with_prediction(predictions(spark, folder)))))
 
 
-@query("l11_temperature_scaling")
+OOF, T_POINTS, T_ROUNDS = 5, 16, 3
+OOF_SQL = f"""
+ev AS (SELECT vec_id, vec_id % 100 // 20 AS fold, label AS y, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+ce AS (SELECT f.fold, y AS k, i, round(avg(x), 9) AS c FROM ev, (SELECT DISTINCT fold FROM ev) f WHERE ev.fold <> f.fold GROUP BY 1, 2, 3),
+ds AS (SELECT vec_id, ev.y, k, sum((x - c) * (x - c)) AS d FROM ev JOIN ce USING (fold, i) GROUP BY 1, 2, 3),
+ex AS (SELECT model, vec_id, y, k, exp(-s * d) AS e FROM ds, (VALUES ('sharp', 8e0), ('soft', 2e0)) m(model, s)),
+mx AS (SELECT a.model, a.vec_id, a.y, a.k, a.e + b.e AS e FROM ex a JOIN ex b ON a.model = b.model AND a.vec_id = b.vec_id AND b.k = CASE WHEN a.model = 'soft' THEN (a.k + 9) % 10 ELSE a.k END),
+oo AS (SELECT model, vec_id AS id, y, k, round(e / sum(e) OVER (PARTITION BY model, vec_id), 9) AS p FROM mx)"""
+
+
+def _loss_sql(name: str, grid: str) -> str:
+    """Log loss of every model at the temperatures of ``grid`` (model, t)."""
+    return f"""{name} AS (SELECT model, t, -avg(ln(greatest(q, 1e-15))) AS loss FROM (SELECT model, t, id, y, k, e / sum(e) OVER (PARTITION BY model, t, id) AS q
+  FROM (SELECT o.model, g.t, id, y, k, exp(ln(greatest(p, 1e-12)) / g.t) AS e FROM oo o JOIN {grid} g USING (model))) WHERE y = k GROUP BY 1, 2)"""
+
+
+def _temperature_sql() -> str:
+    out = ["b0 AS (SELECT DISTINCT model, 25e-2 AS low, 4e0 AS high FROM oo)"]
+    for i in range(1, T_ROUNDS + 1):
+        out.append(f"g{i} AS (SELECT model, low + s * ((high - low) / {T_POINTS - 1}) AS t, low, high FROM b{i - 1}, range({T_POINTS}) r(s))")
+        out.append(_loss_sql(f"l{i}", f"g{i}"))
+        out.append(f"b{i} AS (SELECT model, t, greatest(low, t - step) AS low, least(high, t + step) AS high FROM (SELECT model, arg_min(t, {{'l': round(loss, 12), 't': t}}) AS t FROM l{i} GROUP BY 1) JOIN (SELECT model, low, high, (high - low) / {T_POINTS - 1} AS step FROM b{i - 1}) USING (model))")
+    out.append(f"stages AS (SELECT model, 'raw' AS stage, 1e0 AS t FROM b0 UNION ALL SELECT model, 'scaled', t FROM b{T_ROUNDS})")
+    out.append(_loss_sql("lb", "stages"))
+    return ", ".join(out)
+
+
+@query("l11_temperature_scaling", f"WITH {OOF_SQL}, {_temperature_sql()} SELECT model, stage, {r('t', 4)} AS t, {r('loss')} AS log_loss FROM stages JOIN lb USING (model, t)")
 def temperature(spark, folder):
-    p = predictions(spark, folder).where(F.col("model") == "soft")
-    t = metrics.fit_temperature(p)
-    scaled = p.withColumn("p", metrics.temperature_scaled(F.col("p"), F.lit(t)))
-    both = p.withColumns({"model": F.lit("raw"), "t": F.lit(1.0)}).unionByName(scaled.withColumns({"model": F.lit("scaled"), "t": F.lit(t)}))
-    return rounded(metrics.probability_losses(both, ["model", "t"]), 4)
+    e = vectors(spark, folder).withColumn("fold", F.floor(F.col("vec_id") % 100 / 20))
+    held_out = benchmark.out_of_fold(e, "fold", OOF, centroids, centroid_probabilities)
+    best = metrics.fit_temperature(held_out, points=T_POINTS, rounds=T_ROUNDS)
+    each = held_out.join(best, "model")
+    stages = F.array(F.struct(F.lit("raw").alias("stage"), F.lit(1.0).alias("t")), F.struct(F.lit("scaled").alias("stage"), F.col("temperature").alias("t")))
+    scaled = each.select("model", "y", "p", F.explode(stages).alias("s")).select("model", "y", "s.stage", "s.t", metrics.temperature_scaled(F.col("p"), F.col("s.t")).alias("p"))
+    return scaled.groupBy("model", "stage", "t").agg(metrics.log_loss().alias("log_loss")).select("model", "stage", (F.round("t", 4) + 0.0).alias("t"), (F.round("log_loss", 6) + 0.0).alias("log_loss"))
 
 
 BLOCK_DRAWS = 30

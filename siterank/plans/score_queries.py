@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siterank.operators import decision, scoring
 from siterank.operators.agreement import rank_agreement, spearman_interval
+from siterank.operators.lineage import materialise
 from siterank.operators.order import with_ranks
 from siterank.plans.bindings import LAST_EPOCH, ranks_sql, score_sql, score_table
 from siterank.plans.registry import query, r, rounded
@@ -402,14 +403,15 @@ ld AS (SELECT *, CASE WHEN component_id IS DISTINCT FROM lag(component_id) OVER
 g AS (SELECT *, sum(nw) OVER (PARTITION BY radius_m ORDER BY w_lower) AS g FROM ld)
 SELECT radius_m, component_id, {r('min(w_lower)')} AS w_lower, {r('max(w_upper)')} AS w_upper FROM g GROUP BY radius_m, component_id, g""")
 def leaders(spark, folder):
-    return rounded(decision.leader_intervals(decision.rank_intervals(frame(spark, folder)[0])))
+    return rounded(decision.leader_intervals(decision.top_intervals(frame(spark, folder)[0], 1)))
 
 
 @query("m13_uniform_top3_mass", f"""WITH {score_sql()}, {BREAKS_SQL}
 SELECT radius_m, component_id, {r('sum(CASE WHEN rank <= 3 THEN w_upper - w_lower ELSE 0e0 END)')} AS exact_uniform_top3, {r('sum(w_upper - w_lower)')} AS total_weight_mass
 FROM iv GROUP BY ALL""")
 def top3_mass(spark, folder):
-    return rounded(decision.uniform_top3_mass(decision.rank_intervals(frame(spark, folder)[0])))
+    lines = materialise(frame(spark, folder)[0])
+    return rounded(decision.uniform_top3_mass(decision.top_intervals(lines), lines))
 
 
 @query("m13_response_grid", f"""WITH {score_sql()}

@@ -53,17 +53,21 @@ def test_weighting_baselines(frame):
 
 
 def test_exact_leaders(frame):
-    intervals = decision.rank_intervals(frame).cache()
+    intervals = decision.top_intervals(frame).cache()
     leaders = [(r["component_id"], r["w_lower"], r["w_upper"]) for r in decision.leader_intervals(intervals).orderBy("w_lower").collect()]
     assert [c for c, _, _ in leaders] == ["c17", "c09", "c08", "c04"]
     assert [u for _, _, u in leaders] == pytest.approx([0.1047120418848164, 0.7692307692307689, 0.7857142857142856, 1.0], abs=1e-12)
-    assert intervals.select("w_lower").distinct().count() == 69
-    mass = decision.uniform_top3_mass(intervals).agg(F.sum("exact_uniform_top3"), F.max("total_weight_mass"), F.min("total_weight_mass")).first()
+    everything = decision.rank_intervals(frame).cache()
+    assert everything.select("w_lower").distinct().count() == 69
+    mass = decision.uniform_top3_mass(intervals, frame).agg(F.sum("exact_uniform_top3"), F.max("total_weight_mass"), F.min("total_weight_mass")).first()
     assert tuple(mass) == pytest.approx((3.0, 1.0, 1.0), abs=1e-9)
     # Monte Carlo over uniform weights agrees with the exact mass
-    sampled = decision.summarise_ranks(decision.beta_weight_ranks(frame, [1.0], draws=3000), ["component_id"])
-    gap = sampled.join(decision.uniform_top3_mass(intervals), "component_id").agg(F.max(F.abs(F.col("probability_top_3") - F.col("exact_uniform_top3")))).first()[0]
-    assert gap < 0.03
+    sampled = decision.summarise_ranks(decision.beta_weight_ranks(frame, [1.0], draws=20_000), ["component_id"])
+    gap = sampled.join(decision.uniform_top3_mass(intervals, frame), "component_id").agg(F.max(F.abs(F.col("probability_top_3") - F.col("exact_uniform_top3")))).first()[0]
+    assert gap < 0.015
+    # the swept levels are those of the full arrangement
+    both = decision.uniform_top3_mass(everything, frame).join(decision.uniform_top3_mass(intervals, frame).withColumnRenamed("exact_uniform_top3", "swept"), ["radius_m", "component_id"])
+    assert both.count() == 17 and both.agg(F.max(F.abs(F.col("exact_uniform_top3") - F.col("swept")))).first()[0] < 1e-9
 
 
 def test_annual_trends(spark):

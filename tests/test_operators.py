@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siterank.functions import columns as C, geodesy, keyed
-from siterank.operators import checks, daily, metrics, raster, sampling, spatial, terrain, trends
+from siterank.operators import benchmark, checks, daily, decision, metrics, raster, sampling, spatial, terrain, trends
 from siterank.operators.agreement import rank_agreement
 from siterank.operators.order import quantiles, with_percentile, with_ranks
 from siterank.sources import grids, manifest, tables, vectors, weather
@@ -58,6 +58,21 @@ def test_kendall_counts_equal_pairs(spark):
     for bounded in (True, False):
         got = rank_agreement(df, [], "x", "y", bounded).first()
         assert got["s"] == s and got["n"] == 150
+        # ranges of a few positions: ties larger than a range, pairs in one range and across ranges
+        small = rank_agreement(df, [], "x", "y", bounded, bucket=4).first()
+        assert small["s"] == s and small["tau"] == got["tau"] and small["rho"] == got["rho"]
+
+
+def test_kendall_of_skewed_keys(spark):
+    """A third of all rows share one x, another third one y; no range holds them all."""
+    rows = [(0, 5 if i % 3 == 0 else (i * 37) % 91, 4 if i % 3 == 1 else (i * 53) % 97) for i in range(600)] + [(None, i % 5, i % 7) for i in range(35)]
+    df = spark.createDataFrame(rows, "k int, x int, y int")
+    want = {}
+    for key in (0, None):
+        part = [(x, y) for k, x, y in rows if k == key]
+        want[key] = sum(int(np.sign((a - c) * (b - d))) for i, (a, b) in enumerate(part) for c, d in part[:i])
+    got = rank_agreement(df.withColumn("k", F.coalesce("k", F.lit(-1))), ["k"], "x", "y", bucket=50).collect()
+    assert {r["k"]: r["s"] for r in got} == {0: want[0], -1: want[None]}
 
 
 def test_runs_windows_and_gaps(spark):
@@ -124,12 +139,25 @@ def test_flow_and_distance_against_loops(spark):
             loops[cell] += 1
             cell = to[cell]
     assert flow == loops
-    targets = [(0, 0), (11, 8)]
-    near = spatial.nearest_on_grid(_dem(spark, z), spark.createDataFrame(targets, ["row", "col"]), [], cy, cx, tile=2)
-    got = {(r["row"], r["col"]): r["distance"] for r in near.collect()}
-    assert len(got) == 108
-    for (r, c), d in got.items():
-        assert d == pytest.approx(min(math.hypot((r - a) * cy, (c - b) * cx) for a, b in targets))
+    for targets in ([(0, 0), (11, 8)], [(2, 2), (2, 3), (3, 2)], [(5, 4)], [tuple(p) for p in rng.integers(-4, 15, (20, 2)).tolist()]):
+        near = spatial.nearest_on_grid(_dem(spark, z), spark.createDataFrame(targets, ["row", "col"]), [], cy, cx)
+        got = {(r["row"], r["col"]): r["distance"] for r in near.collect()}
+        assert len(got) == 108
+        for (r, c), d in got.items():
+            assert d == pytest.approx(min(math.hypot((r - a) * cy, (c - b) * cx) for a, b in targets), abs=1e-12)
+    none = spatial.nearest_on_grid(_dem(spark, z), spark.createDataFrame([], "row long, col long"), [], cy, cx)
+    assert none.count() == 108 and none.where("distance is not null").isEmpty()
+
+
+def test_distances_of_clustered_targets(spark):
+    """All targets in one corner of a wide grid: two passes, no rounds, and keys are kept."""
+    cells = spark.range(300 * 200).select(F.expr("id div 200").alias("row"), (F.col("id") % 200).alias("col"), (F.col("id") % 3).alias("g"))
+    targets = cells.where("row < 3 and col < 3").select("row", "col")
+    far = spatial.nearest_on_grid(cells, targets, ["g"], 30.0, 25.0)
+    dr, dc = F.greatest(F.col("row") - 2, F.lit(0)) * 30.0, F.greatest(F.col("col") - 2, F.lit(0)) * 25.0
+    assert far.count() == 60_000 and far.where(F.abs(F.col("distance") - F.sqrt(dr * dr + dc * dc)) > 1e-9).isEmpty()
+    plan = spatial.nearest_on_grid(cells, targets, [], 30.0, 25.0)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" not in plan
 
 
 def test_cycle_is_reported(spark):
@@ -244,5 +272,82 @@ def test_sinks_manifest_and_checks(spark, tmp_path):
 
 def test_temperature_recovers_sharpness(spark):
     rows = [(i % 2, [0.7, 0.3] if (i % 10 < 9) == (i % 2 == 0) else [0.3, 0.7]) for i in range(200)]
-    t = metrics.fit_temperature(spark.createDataFrame(rows, "y int, p array<double>"))
-    assert 0.25 <= t < 1.0
+    df = spark.createDataFrame(rows, "y int, p array<double>").withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    found = metrics.fit_temperature(df).collect()
+    assert sorted(r["model"] for r in found) == ["a", "b"] and all(0.25 <= r["temperature"] < 1.0 for r in found)
+
+
+def _brute_slopes(x, y):
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    run, rise = x[:, None] - x, y[:, None] - y
+    return np.sort(rise[run > 0] / run[run > 0])
+
+
+def test_slopes_found_by_counting_equal_listed_ones(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    series = {"noise": (np.arange(60), rng.normal(size=60) + 0.3 * np.arange(60)), "ties": (rng.integers(0, 12, 70), rng.integers(0, 9, 70)), "down": (np.arange(40) / 4, -2.5 * np.arange(40)), "flat": (np.arange(30), np.zeros(30)), "short": ([1, 2], [5, 9]), "one": ([1], [1]), "same": ([3, 3, 3], [1, 2, 4])}
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (x, y) in series.items() for a, b in zip(x, y)] + [("noise", None, 1.0)], "k string, x double, y double").repartition(3)
+    listed = {r["k"]: r for r in trends.theil_sen(df, ["k"], "x", "y").collect()}
+    for name, (x, y) in series.items():
+        slopes = _brute_slopes(x, y)
+        if len(slopes):
+            assert listed[name]["slope"] == pytest.approx(float(np.median(slopes)), abs=1e-12) and listed[name]["pairs"] == len(slopes)
+            assert listed[name]["residual_offset"] == pytest.approx(float(np.median(np.asarray(y, float) - listed[name]["slope"] * np.asarray(x, float))), abs=1e-9)
+        else:
+            assert listed[name]["slope"] is None
+    monkeypatch.setattr(trends, "SMALL", 20)
+    counted = {r["k"]: r for r in trends.theil_sen(df, ["k"], "x", "y", tolerance=1e-12, bucket=16).collect()}
+    for name in series:
+        for c in ("slope", "slope_low_95", "slope_high_95", "intercept", *(() if name == "down" else ("lag1", "effective_n"))):  # a line leaves no residuals
+            a, b = listed[name][c], counted[name][c]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-8)), (name, c)
+
+
+def test_million_points(spark):
+    """A series far beyond any listing of its slopes; half of the points lie on a line."""
+    x = F.col("id").cast("double")
+    noise = F.when(F.col("id") % 2 == 0, 0.0).otherwise((keyed.uniform("n", "id") - 0.5) * 1000)
+    points = spark.range(1_000_000).select(F.lit("s").alias("k"), x.alias("x"), (x * 0.75 + noise).alias("y"))
+    stats = points.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2")).withColumn("ks", F.array(F.expr("pairs div 2")))
+    got = trends.order_slopes(points, stats, ["k"], tolerance=1e-5).first()["slopes"]
+    assert got[0] == pytest.approx(0.75, abs=1e-5)
+
+
+def test_top_levels_in_small_buckets(spark):
+    """Buckets of five lines and the slabs after them give the levels of one sweep."""
+    rng = np.random.default_rng(8)
+    rows = [(int(radius), f"c{i:03d}", float(a), float(b)) for radius in (250, 500) for i, (a, b) in enumerate(rng.integers(0, 40, (60, 2)) / 40)] + [(500, "none", None, 0.5)]
+    frame = spark.createDataFrame(rows, ["radius_m", "component_id", decision.LANDSCAPE, decision.TERRAIN_SCORE])
+    order = lambda df: [(r["radius_m"], r["rank"], r["component_id"], round(r["w_lower"], 9), round(r["w_upper"], 9)) for r in df.orderBy("radius_m", "rank", "w_lower").collect()]
+    assert order(decision.top_intervals(frame, 3, 5)) == order(decision.top_intervals(frame, 3, 4096))
+    steep = spark.createDataFrame([(1, f"t{i:02d}", 2 * (i / 30) - (i / 30) ** 2 - (i / 30) ** 2 + (i / 30) ** 2, (i / 30) ** 2 * -1.0) for i in range(31)], ["radius_m", "component_id", decision.LANDSCAPE, decision.TERRAIN_SCORE])
+    assert decision.leader_intervals(decision.top_intervals(steep, 1, 4)).count() == decision.leader_intervals(decision.top_intervals(steep, 1)).count() > 10
+
+
+def test_keyed_permutation(spark):
+    for n in (1, 2, 3, 7, 100, 5003):
+        got = [r[0] for r in spark.range(n).select(keyed.permuted(F.col("id"), F.lit(n).cast("bigint"), "p")).collect()]
+        assert sorted(got) == list(range(n))
+    assert sum(i == v for i, v in enumerate(got)) < 20
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("y"), F.lit("kept").alias("z"))
+    mixed = benchmark.shuffled(df, "y", "s")
+    assert mixed.columns == df.columns and mixed.groupBy("y").count().exceptAll(df.groupBy("y").count()).isEmpty() and mixed.select("id").distinct().count() == 500
+
+
+def test_stratified_folds(spark):
+    rows = [(b, (b * b + i) % 5 if b % 4 else 3, 1) for b in range(80) for i in range(3 + b % 11)]
+    df = spark.createDataFrame(rows, "block long, y long, n long")
+    for chunk in (1 << 16, 30):
+        dealt = sampling.stratified_folds(df, "y", "block", 5, chunk=chunk)
+        assert dealt.count() == dealt.select("block").distinct().count() == 80
+        counts = df.join(dealt, "block").groupBy("y", "fold").count().groupBy("y").pivot("fold").sum("count").na.fill(0).collect()
+        largest = df.groupBy("block", "y").count().agg(F.max("count")).first()[0]
+        chunks = -(-80 // chunk)
+        assert all(max(r[1:]) - min(r[1:]) <= 2 * largest * chunks for r in counts)
+
+
+def test_no_row_is_scored_by_a_model_that_saw_it(spark):
+    df = spark.range(100).select("id", (F.col("id") % 4).alias("fold"))
+    seen = benchmark.out_of_fold(df, "fold", 4, lambda train: {r["fold"] for r in train.select("fold").distinct().collect()},
+                                 lambda folds, rows: rows.withColumn("seen", F.col("fold").isin(*folds)))
+    assert seen.count() == 100 and seen.where("seen").isEmpty()
