@@ -99,36 +99,67 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     return base.mapInArrow(encode_batches(path, definition, offsets, piece_bytes), schema).withColumnRenamed("id", id_column)
 
 
+def token_bytes(ids: np.ndarray, before: np.ndarray, table) -> tuple[pa.Array, pa.Array]:
+    """Little-endian ids and decoded bytes of each text; ``before`` is the number of ids before each text and at the end."""
+    data, starts, sizes = table
+    decoded = data[spread(sizes[ids], starts[ids])]
+    ends = np.append(0, np.cumsum(sizes[ids]))[before]
+    binary = lambda offsets, values: pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+    return binary(4 * before, np.ascontiguousarray(ids, "<u4")), binary(ends, decoded)
+
+
 def decode_batches(table, piece_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, starts, sizes = table.value
-        coded = np.arange(len(sizes)).astype("<u4")
         for batch in batches:
             for first in range(0, batch.num_rows, piece_rows):
                 part = batch.slice(first, piece_rows)
                 ids = part.column("ids")
-                counts = np.diff(ids.offsets.to_numpy())
-                flat = ids.flatten().to_numpy()
-                bytes_ = data[spread(sizes[flat], starts[flat])]
-                ends = np.append(0, np.cumsum(sizes[flat]))[np.append(0, np.cumsum(counts))]
-                words = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(4 * np.append(0, np.cumsum(counts)).astype(np.int64)), pa.py_buffer(coded[flat])])
-                blob = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bytes_)])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], words.cast(pa.binary()), blob.cast(pa.binary())], names=[*part.schema.names, "ids_le32", "decoded"])
+                before = np.append(0, np.cumsum(np.diff(ids.offsets.to_numpy())))
+                words, blob = token_bytes(ids.flatten().to_numpy(), before, table.value)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], words, blob], names=[*part.schema.names, "ids_le32", "decoded"])
 
     return run
 
 
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes one after another, their starts and sizes, by the reversed table of byte characters."""
+    shown = byte_characters()
+    back = {c: b for b, c in enumerate(shown)}
+    spelled = ["".join(shown[b] for b in token) for token in read_ranks(path)]  # as the library keeps them
+    tokens = [bytes(back[c] for c in token) for token in spelled]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def coded_batches(path: str, definition, table, piece_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, cache = _worker(path, definition)
+        for piece in pieces(batches, "text", piece_bytes):
+            ids, before = encode_texts(column(piece, "text").to_pylist(), tokenizer, cache)
+            words, blob = token_bytes(ids, before, table.value)
+            yield pa.RecordBatch.from_arrays([column(piece, "id"), pa.array(np.diff(before), pa.int64()), words, blob], names=["id", "n_tokens", "ids_le32", "decoded"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", piece_bytes: int = 1 << 20) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_le32 and decoded, by ``encode`` and ``decode`` in one pass over the texts.
+
+    Null counts as empty text, which has no ids. Texts of any length are encoded whole, repeated rows and ids are kept as they come, other columns are not
+    read, and an empty table gives none.
+    """
+    context = docs.sparkSession.sparkContext
+    definition, table = context.broadcast(rank_tokenizer(read_ranks(path), pattern).to_str()), context.broadcast(byte_table(path))
+    base = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    return base.mapInArrow(coded_batches(path, definition, table, piece_bytes), "id long, n_tokens long, ids_le32 binary, decoded binary").withColumnRenamed("id", id_column)
+
+
 def decode(encoded: DataFrame, path: str, piece_rows: int = 400) -> DataFrame:
     """The rows with ``ids_le32``, the ids as little-endian 32-bit integers, and ``decoded``, their bytes: each token's characters looked up in the reversed byte table.
 
     Bytes of a character that tokens split are simply joined; ``decoded_text`` makes text of them. Null ids give no bytes.
     """
-    back = {c: b for b, c in enumerate(byte_characters())}
-    shown = byte_characters()
-    spelled = ["".join(shown[b] for b in token) for token in read_ranks(path)]  # as the library keeps them
-    tokens = [bytes(back[c] for c in token) for token in spelled]
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    table = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes))
+    table = encoded.sparkSession.sparkContext.broadcast(byte_table(path))
     rows = encoded.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     return rows.mapInArrow(decode_batches(table, piece_rows), T.StructType([*rows.schema.fields, T.StructField("ids_le32", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
 

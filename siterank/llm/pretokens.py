@@ -107,32 +107,38 @@ def spread(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class IdCache:
-    """Token ids by hash of the pre-token, kept by a worker process as bytes; emptied when it holds more than ``most`` entries."""
+    """Token ids by hash of the pre-token, kept by a worker process in flat arrays of at most ``budget`` bytes; beyond that only the entries of
+    the present texts stay."""
 
-    def __init__(self, encode, most: int = 1 << 19):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode, budget: int = 24 << 20):
+        self.encode, self.budget = encode, budget
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Entries in ascending order of hash, their ids one after another in ``flat``."""
+        self.hashes, self.sizes, self.starts, self.flat = hashes, sizes, np.cumsum(sizes) - sizes, flat
 
     def ids(self, pre: PreTokens) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and the number of ids before each text."""
         hashes, where, inverse = distinct(pre.hashes)
-        names = hashes.tolist()
-        found = list(map(self.known.get, names))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-            coded = self.encode(pre.strings(where[missing]))
-            ends = np.cumsum([len(x) for x in coded])
-            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1])).tobytes()
-            start = 0
-            for i, end in zip(missing, (4 * ends).tolist()):
-                found[i] = self.known[names[i]] = flat[start:end]
-                start = end
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        starts = np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        if new.any():
+            coded = self.encode(pre.strings(where[new]))
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+            if 24 * (len(self.hashes) + len(sizes)) + self.flat.nbytes + flat.nbytes > self.budget:  # only what these texts use
+                used = at[~new]
+                self._keep(self.hashes[used], self.sizes[used], self.flat[spread(self.sizes[used], self.starts[used])])
+                at = np.searchsorted(self.hashes, hashes)
+            counts, starts = np.insert(self.sizes, at[new], sizes), np.insert(self.starts, at[new], len(self.flat) + np.cumsum(sizes) - sizes)
+            self.hashes, self.sizes, self.starts, self.flat = np.insert(self.hashes, at[new], hashes[new]), counts, starts, np.concatenate([self.flat, flat])
+            at = np.searchsorted(self.hashes, hashes)
+        sizes, starts = self.sizes[at], self.starts[at]
         counts = sizes[inverse]
-        ids = flat[spread(counts, starts[inverse])]
+        ids = self.flat[spread(counts, starts[inverse])]
         before = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=before[1:])
         return ids, before[pre.at]

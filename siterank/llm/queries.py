@@ -85,8 +85,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_files.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), path, tokenizer_files.PATTERN), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le32", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_bpe.round_trip(documents(spark, sf_dir), path, tokenizer_files.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids_le32", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op9_document_fingerprints")

@@ -175,6 +175,23 @@ def test_token_counts(docs, texts):
     assert rows(token_counts.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
 
 
+def test_id_cache_stays_within_its_budget():
+    from siterank.llm.pretokens import IdCache, PreTokens
+
+    calls = []
+    code = lambda strings: [calls.append(s) or [ord(c) for c in s] for s in strings]
+    texts = [" ".join(f"w{(i * k) % 400}" for k in range(60)) for i in range(40)]
+    for budget in (1, 4_000, 1 << 24):
+        cache = IdCache(code, budget)
+        for start in range(0, 40, 4):
+            pre = PreTokens(texts[start : start + 4], words_only=False)
+            ids, before = cache.ids(pre)
+            want = [[ord(c) for c in t] for t in texts[start : start + 4]]
+            assert [ids[before[i] : before[i + 1]].tolist() for i in range(4)] == want
+        assert budget > 4_000 or len(cache.hashes) < 260
+    assert len(calls) > 2 * len(cache.hashes)
+
+
 def test_byte_bpe(docs, texts):
     import tiktoken
 
@@ -188,6 +205,8 @@ def test_byte_bpe(docs, texts):
         assert found[i].ids == library.encode_ordinary(t or "")
         assert bytes(found[i].decoded) == (t or "").encode()
         assert bytes(found[i].ids_le32) == np.array(found[i].ids, "<u4").tobytes()
+    whole = byte_bpe.round_trip(docs, path, tokenizer_files.PATTERN)
+    assert whole.count() == docs.count() and all(bytes(r.ids_le32) == bytes(found[r.doc_id].ids_le32) and bytes(r.decoded) == bytes(found[r.doc_id].decoded) and 4 * r.n_tokens == len(r.ids_le32) for r in whole.collect())
     spans = {r.doc_id: r for r in byte_bpe.encode(docs.filter("length(text) < 200"), path, tokenizer_files.PATTERN, offsets=True).collect()}
     for i, r in spans.items():
         assert r.ids == found[i].ids
