@@ -344,6 +344,26 @@ def test_html_text_of_copies(spark):
     assert found == {i: ("Title\nFirst.\nInner box", "Plain\nNo article.", "Title\nFirst.")[i // 10] for i in range(30)}
 
 
+def test_html_text_of_named_wrappers():
+    """Names that only contain a furniture word mark nothing, and what holds the article is never furniture."""
+    for open_ in ('<div class="layout no-sidebar">', '<div class="with-comments">', '<div id="search-results">', '<section class="post-reply">', '<div class="sidebar">'):
+        page = f'<html><body><nav>m</nav>{open_}<article><p>One.</p><p class="notice-board">Two.</p><p class="share-price">Three.</p><div class="share-buttons">x</div></article></{open_[1:].split()[0]}></body></html>'
+        assert html_text.main_text(page, frozenset()) == "One.\nTwo.\nThree."
+    aside = '<body><div class="sidebar"><article>Teaser</article></div><article><p>Main.</p></article><div class="site-footer">f</div></body>'
+    assert html_text.main_text(aside, frozenset()) == "Main."
+
+
+def test_html_text_of_a_large_host(spark):
+    """A block on a twentieth of a host's pages is template; ids may repeat or be null, and a page may be very long."""
+    long = "<article>" + "<p>" + "word " * 400_000 + "</p></article>"
+    pages = [(i if i % 50 else None, f"https://big.example/{i}", f"<body>{'<div>Buy now</div>' if i % 20 == 0 else ''}<div>own {i}</div><div><p>para {i}</p></div></body>") for i in range(1200)]
+    pages += [(7, "https://other.example/", long), (7, "https://other.example/", long), (8, "https://x.example/", "<div>" * 2000 + "deep")]
+    found = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    got = {r.url: r.text for r in html_text.extract_text(found).collect()}
+    assert all(got[f"https://big.example/{i}"] == f"own {i}\npara {i}" for i in range(1200)) and got["https://x.example/"] == "deep"
+    assert html_text.extract_text(found).count() == len(pages) and got["https://other.example/"].count("word") == 400_000
+
+
 def test_language_model(docs, texts):
     held = crc_mod("doc_id", 7) == 2
     found = {r.doc_id: r for r in language_model.score_documents(docs, held, shortlist=50, known=100).collect()}
