@@ -49,7 +49,8 @@ def rank_tokenizer(tokens: list[bytes], pattern: str) -> Tokenizer:
     return made
 
 
-def _worker(path: str, definition) -> tuple[Tokenizer, IdCache]:
+def worker_state(path: str, definition) -> tuple[Tokenizer, IdCache]:
+    """The tokenizer and cache of a worker process, made once for all its tasks."""
     if path not in _state:
         tokenizer = Tokenizer.from_str(definition.value)
         _state[path] = tokenizer, IdCache(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
@@ -73,7 +74,7 @@ def encode_texts(texts: list[str], tokenizer: Tokenizer, cache: IdCache, special
 
 def encode_batches(path: str, definition, offsets: bool, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _worker(path, definition)
+        tokenizer, cache = worker_state(path, definition)
         for table in pieces(batches, "text", piece_bytes):
             texts = column(table, "text").to_pylist()
             if offsets:
@@ -133,7 +134,7 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def coded_batches(path: str, definition, table, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _worker(path, definition)
+        tokenizer, cache = worker_state(path, definition)
         for piece in pieces(batches, "text", piece_bytes):
             ids, before = encode_texts(column(piece, "text").to_pylist(), tokenizer, cache)
             words, blob = token_bytes(ids, before, table.value)

@@ -21,9 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from siterank.llm.byte_bpe import encode_texts
+from siterank.llm.byte_bpe import encode_texts, worker_state
 from siterank.llm.common import Scratch, column, pieces
-from siterank.llm.pretokens import IdCache
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -135,14 +134,11 @@ def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 400,
 PIECE = "id long, piece int, start long, length long, ids_crc32 long, task int, turn long"
 
 
-def piece_batches(path: str, definition, capacity: int, end: int, special: tuple[str, ...], piece_bytes: int, state: dict):
+def piece_batches(path: str, definition, capacity: int, end: int, special: tuple[str, ...], piece_bytes: int):
     """Pieces of each document with their number among those of the same length in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in state:
-            tokenizer = Tokenizer.from_str(definition.value)
-            state[path] = tokenizer, IdCache(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
-        tokenizer, cache = state[path]
+        tokenizer, cache = worker_state(path, definition)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for table in pieces(batches, "text", piece_bytes):
             ids, at = encode_texts(column(table, "text").to_pylist(), tokenizer, cache, special)
@@ -198,7 +194,7 @@ def place_batches(shared):
     return run
 
 
-def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 2048, end: int = 0, rounds: int = 400, piece_bytes: int = 2 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 2048, end: int = 0, rounds: int = 400, piece_bytes: int = 1 << 20) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end``. One longer than the capacity is cut into full pieces behind a first shorter one. Null
@@ -211,7 +207,7 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     definition = spark.sparkContext.broadcast(tokenizer.to_str())
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    found = scratch.write(base.mapInArrow(piece_batches(path, definition, capacity, end, special, piece_bytes, {}), PIECE))
+    found = scratch.write(base.mapInArrow(piece_batches(path, definition, capacity, end, special, piece_bytes), PIECE))
     each = found.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = each.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
