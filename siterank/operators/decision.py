@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions import keyed
-from siterank.operators.order import inventory_rank
+from siterank.operators.order import inventory_rank, numbered
 from siterank.operators.scoring import CLIMATE, LANDSCAPE, TERRAIN_MODELS, TERRAIN_SCORE
 
 RESIDUAL_TOLERANCE = 1e-9
@@ -281,19 +281,17 @@ def budget_curve(ranks: DataFrame, top: int = 3) -> DataFrame:
     Per scenario only the ``top`` members matter: with their positions in the order, the k-th budget
     covers those at or before k, so the curve comes from counts per position.
     """
-    order = ranks.groupBy("component_id").agg(F.avg((F.col("rank") <= top).cast("int")).alias("a")).withColumn(
-        "inspection_budget_k", F.row_number().over(W.orderBy(F.col("a").desc(), "component_id")))
+    shares = ranks.groupBy("component_id").agg(F.avg((F.col("rank") <= top).cast("int")).alias("a"))
+    order = numbered(shares, [F.col("a").desc(), "component_id"], "inspection_budget_k").withColumn("inspection_budget_k", F.col("inspection_budget_k") + 1)
     placed = ranks.where(F.col("rank") <= top).join(order.select("component_id", "inspection_budget_k"), "component_id")
     scenario = placed.groupBy("spatial_state_id", "terrain_model", "g").agg(
         F.max("inspection_budget_k").alias("last"), F.count(F.lit(1)).alias("size"))
     full = scenario.where(F.col("size") == top).groupBy(F.col("last").alias("inspection_budget_k")).agg(F.count(F.lit(1)).alias("full"))
     hits = placed.groupBy("inspection_budget_k").agg(F.count(F.lit(1)).alias("hits"))
     total = scenario.agg(F.count(F.lit(1)))
-    run = W.orderBy("inspection_budget_k").rowsBetween(W.unboundedPreceding, 0)
-    curve = (order.join(full, "inspection_budget_k", "left").join(hits, "inspection_budget_k", "left")
-             .withColumn("_n", total.scalar())
-             .withColumn("_f", F.sum(F.coalesce("full", F.lit(0))).over(run) / F.col("_n"))
-             .withColumn("_h", F.sum(F.coalesce("hits", F.lit(0))).over(run) / F.col("_n")))
+    each = order.join(full, "inspection_budget_k", "left").join(hits, "inspection_budget_k", "left")
+    sums = {"_sf": F.coalesce("full", F.lit(0)).cast("bigint"), "_sh": F.coalesce("hits", F.lit(0)).cast("bigint")}
+    curve = numbered(each, ["inspection_budget_k"], "_place", sums).withColumn("_n", total.scalar()).withColumns({"_f": F.col("_sf") / F.col("_n"), "_h": F.col("_sh") / F.col("_n")})
     return curve.select("inspection_budget_k", F.col("component_id").alias("component_added"),
                         (F.lit(top) - F.col("_h")).alias("expected_top3_missed"), F.col("_f").alias("probability_full_coverage"),
                         (F.coalesce("full", F.lit(0)) / F.col("_n")).alias("marginal_coverage_gain"))

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siterank.functions import keyed
 from siterank.operators.lineage import materialise
-from siterank.operators.order import value_positions
+from siterank.operators.order import numbered, value_positions
 
 
 def with_prediction(predictions: DataFrame) -> DataFrame:
@@ -121,8 +121,8 @@ def block_draws(predicted: DataFrame, classes: int, draws: int = 2000, keys: Seq
     """
     keys = list(keys)
     cells = predicted.groupBy(*keys, "block", "y", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    blocks = predicted.select("block").distinct()
-    slots = blocks.withColumns({"slot": F.row_number().over(W.orderBy("block")) - 1, "blocks": F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))})
+    slots = numbered(predicted.select("block").distinct(), ["block"], "slot")
+    slots = slots.withColumn("blocks", slots.agg(F.count(F.lit(1)).alias("n")).scalar())
     picks = slots.select("slot", "blocks", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(
         "draw", keyed.pick(F.col("blocks"), "test_blocks", "draw", "slot", seed=seed).alias("slot")).groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("times"))
     weighted = picks.join(slots.select("slot", "block"), "slot").join(cells, "block").groupBy("draw", *keys, "y", "prediction").agg(

@@ -62,6 +62,31 @@ def value_positions(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], output: str, sums: dict[str, str | Column] | None = None) -> DataFrame:
+    """Rows with their dense place from 0 in the order given, and running sums up to and including each row.
+
+    Rows are sorted by ranges over all tasks. The ranges' sizes and sums, one row each, are added up on the driver and give every
+    range its offset, so no window runs over all rows.
+    """
+    sums = {k: _col(c) for k, c in (sums or {}).items()}
+    keys = [_col(c) for c in order]
+    placed = materialise(df.withColumns({f"_s_{k}": c for k, c in sums.items()}).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_s_{k}").alias(f"_o_{k}") for k in sums]).collect()
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    wide = {k: kinds[f"_s_{k}"] in ("double", "float") for k in sums}
+    before, rows = [0, *[0.0 if wide[k] else 0 for k in sums]], []
+    for r in sorted(ranges):
+        rows.append((r[0], *before))
+        before = [b + (x or 0) for b, x in zip(before, r[1:])]
+    schema = "_range bigint, _n bigint" + "".join(f", _o_{k} {'double' if wide[k] else 'bigint'}" for k in sums)
+    offsets = df.sparkSession.createDataFrame(rows, schema)
+    inside = W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    out = placed.join(offsets, "_range").withColumn(output, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_n"))
+    out = out.withColumns({k: F.col(f"_o_{k}") + F.sum(f"_s_{k}").over(inside) for k in sums})
+    return out.select(*df.columns, output, *sums)
+
+
 def _at(probability: float) -> tuple[Column, Column, Column]:
     h = (F.col("total") - 1) * F.lit(float(probability))
     low, high = F.floor(h), F.ceil(h)

@@ -111,8 +111,8 @@ def terrain_metrics(points: DataFrame, terrain_cells: DataFrame, radius: int, la
     """The three terrain summaries of every (displaced) point; a disc holds a fixed number of cells."""
     joined = lonlat_disc_cells(points, [radius], lat0, lon0, step, keys).join(terrain_cells, ["row", "col"])
     return joined.groupBy(*keys).agg(
-        F.percentile("slope", F.lit(0.9)).alias("slope_p90_deg"), F.percentile("wetness", F.lit(0.9)).alias("twi_proxy_p90"),
-        F.percentile("drainage_distance", F.lit(0.5)).alias("drainage_distance_median_m"))
+        F.round(F.percentile("slope", F.lit(0.9)), 9).alias("slope_p90_deg"), F.round(F.percentile("wetness", F.lit(0.9)), 9).alias("twi_proxy_p90"),
+        F.round(F.percentile("drainage_distance", F.lit(0.5)), 9).alias("drainage_distance_median_m"))
 
 
 def displacement_ranks(points: DataFrame, cells: DataFrame, terrain_cells: DataFrame, radius: int, grid: tuple[float, float, float],
@@ -158,7 +158,7 @@ def joint_draws(points: DataFrame, cells: DataFrame, terrain_cells: DataFrame, r
     model = F.element_at(F.array(*[F.lit(m) for m in TERRAIN_MODELS]), keyed.pick(F.lit(3), "model", *setting, seed=seed).cast("int") + 1)
     both = both.withColumns({"landscape_weight": keyed.symmetric_beta(alpha, "weight", *setting, seed=seed), "terrain_model": model})
     terrain = F.coalesce(*[F.when(F.col("terrain_model") == m, F.col(m)) for m in TERRAIN_MODELS])
-    scored = both.withColumn("score", F.col("landscape_weight") * F.col(LANDSCAPE) + (1 - F.col("landscape_weight")) * terrain)
+    scored = both.withColumn("score", F.round(F.col("landscape_weight") * F.col(LANDSCAPE) + (1 - F.col("landscape_weight")) * terrain, 12))  # equal scores tie, whatever the order of their sums
     rank = inventory_rank(setting, "score", "ordinal", "component_id")
     return scored.select(*setting, "block_size_m", F.lit(float(reach)).alias("maximum_displacement_m"), "landscape_weight", "terrain_model",
                          "component_id", "score", rank.alias("rank")).withColumns({"top3": F.col("rank") <= 3, "top5": F.col("rank") <= 5})

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions.geodesy import circle_overlap
+from siterank.operators.order import numbered
 from siterank.operators.raster import around
 
 EDGE_TOLERANCE = 1e-10
@@ -100,7 +101,7 @@ def weather_cells(responses: DataFrame, order: str) -> DataFrame:
     keyed = responses.withColumns({"returned_latitude": F.round("latitude", 6), "returned_longitude": F.round("longitude", 6)})
     key = ["returned_latitude", "returned_longitude"]
     first = keyed.groupBy(*key).agg(F.min(order).alias("_first"))
-    number = first.withColumn("_i", F.row_number().over(W.orderBy("_first")))
+    number = numbered(first, ["_first", *key], "_i").withColumn("_i", F.col("_i") + 1)
     label = F.concat(F.lit("OM_"), F.lpad(F.col("_i").cast("string"), 2, "0"))
     long_label = F.when(F.col("_i") > 99, F.concat(F.lit("OM_"), F.col("_i").cast("string"))).otherwise(label)
     return keyed.join(number.select(*key, long_label.alias("weather_cell_id")), key)

@@ -1,15 +1,17 @@
 """Elevation grids: focal statistics, slope, flow routing, wetness, drainage distance and support summaries.
 
-Grids are (row, col, elev) rectangles. Windows run along one row or one column, so a task holds the side of
-the grid and never its area; flow accumulation and distances are rounds of equi joins with written tables.
+Grids are (row, col, elev) cells, of which some may be missing. Neighbourhoods are found by position inside tiles that receive the border cells of
+their neighbours; flow accumulation is rounds of equi joins with written tables, and distances take two passes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from siterank.operators.lineage import materialise
 from siterank.operators.order import quantiles_wide
@@ -19,66 +21,100 @@ from siterank.operators.spatial import nearest_on_grid
 DIRECTIONS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def _line(axis: str) -> W:
-    return W.partitionBy("row").orderBy("col") if axis == "col" else W.partitionBy("col").orderBy("row")
-
-
-def _moving_sum(value: str, axis: str, half: int) -> Column:
-    """Sum over 2 half + 1 cells along one axis, the edge cell repeated outside the grid; NULL if a cell is missing."""
-    line = _line(axis)
-    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    near = line.rowsBetween(-half, half)
-    before = F.greatest(F.lit(half) - (F.col(axis) - F.min(axis).over(whole)), F.lit(0))
-    after = F.greatest(F.lit(half) - (F.max(axis).over(whole) - F.col(axis)), F.lit(0))
-    total = F.sum(value).over(near) + before * F.first(value).over(whole) + after * F.last(value).over(whole)
-    return F.when(F.count(value).over(near) == F.count(F.lit(1)).over(near), total)
-
-
-def focal_sum(cells: DataFrame, values: Sequence[str], size: int) -> DataFrame:
-    """Separable square focal sums, one output ``<value>_sum`` per input."""
-    half = size // 2
-    first = cells.withColumns({f"_{v}": _moving_sum(v, "row", half) for v in values})
-    return first.withColumns({f"{v}_sum": _moving_sum(f"_{v}", "col", half) for v in values}).drop(*[f"_{v}" for v in values])
-
-
-def roughness(cells: DataFrame, tri_size: int = 3, tpi_size: int = 33) -> DataFrame:
-    """G1: TRI (focal standard deviation) and TPI (elevation less focal mean)."""
-    n, m = tri_size * tri_size, tpi_size * tpi_size
-    small = focal_sum(cells.withColumn("_sq", F.col("elev") * F.col("elev")), ["elev", "_sq"], tri_size)
-    mean = F.col("elev_sum") / n
-    tri = F.sqrt(F.greatest(F.col("_sq_sum") / n - mean * mean, F.lit(0.0)))
-    wide = focal_sum(small.withColumn("tri", tri).drop("elev_sum", "_sq", "_sq_sum"), ["elev"], tpi_size)
-    return wide.withColumn("tpi", F.col("elev") - F.col("elev_sum") / m).drop("elev_sum")
-
-
-def _gradient(axis: str, step: float) -> Column:
-    line = _line(axis)
-    back, ahead, here = F.lag("elev").over(line), F.lead("elev").over(line), F.col("elev")
-    pos = F.col(axis)
-    has_back, has_ahead = F.lag(pos).over(line).isNotNull(), F.lead(pos).over(line).isNotNull()
-    return (F.when(has_back & has_ahead, (ahead - back) / (2 * step)).when(has_ahead, (ahead - here) / step).when(has_back, (here - back) / step))
-
-
-def slope(cells: DataFrame, cell_y: float, cell_x: float) -> DataFrame:
-    """Central differences, one-sided at the edges, in degrees."""
-    g = cells.withColumns({"_gy": _gradient("row", cell_y), "_gx": _gradient("col", cell_x)})
-    return g.withColumn("slope_deg", F.degrees(F.atan(F.hypot("_gx", "_gy")))).drop("_gx", "_gy")
-
-
-def d8_receiver(cells: DataFrame, cell_y: float, cell_x: float) -> DataFrame:
-    """The strictly steepest lower neighbour in single precision; the first direction wins a tie."""
-    vertical, across = _line("row"), _line("col")
-    step = cells.withColumns({"_u": F.lag("elev").over(vertical), "_d": F.lead("elev").over(vertical)})
-    sides = {(-1, 0): F.col("_u"), (1, 0): F.col("_d")}
-    for dr, source in ((-1, "_u"), (0, "elev"), (1, "_d")):
-        sides[(dr, -1)], sides[(dr, 1)] = F.lag(source).over(across), F.lead(source).over(across)
-    step = step.withColumns({f"_z{i}": sides[d] for i, d in enumerate(DIRECTIONS)})
-    options = []
-    for i, (dr, dc) in enumerate(DIRECTIONS):
-        fall = ((F.col("elev") - F.col(f"_z{i}")) / F.lit(math.hypot(cell_y * dr, cell_x * dc))).cast("float")
-        options.append(F.when(fall > 0, F.struct(fall.alias("fall"), F.lit(-i).alias("order"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"))))
-    best = F.array_max(F.array(*options))
-    return step.withColumn("_best", best).select(*cells.columns, F.col("_best.row").alias("to_row"), F.col("_best.col").alias("to_col"))
+TILE = 128
+
+
+class Tile:
+    """A square of the grid with a rim of its neighbours' cells: elevations by position, NaN where no cell is."""
+
+    def __init__(self, cells: pa.Table, tile_row: int, tile_col: int, side: int, halo: int):
+        rows, cols = (cells.column(c).to_numpy() for c in ("row", "col"))
+        own = (rows // side == tile_row) & (cols // side == tile_col)
+        i, j = rows - tile_row * side + halo, cols - tile_col * side + halo
+        self.grid = np.full((side + 2 * halo,) * 2, np.nan)
+        self.grid[i, j] = cells.column("elev").cast(pa.float64()).to_numpy(zero_copy_only=False)
+        self.cells, self.i, self.j, self.halo = cells.filter(pa.array(own)), i[own], j[own], halo
+        edge = cells.column("_extent")[0].as_py()
+        at = np.arange(side + 2 * halo)
+        self.inside = tuple(np.clip(at, edge[f"{c}_low"] - t * side + halo, edge[f"{c}_high"] - t * side + halo) for c, t in (("row", tile_row), ("col", tile_col)))
+
+    def beside(self, dr: int, dc: int) -> np.ndarray:
+        """The neighbour of each own cell in one direction."""
+        return self.grid[self.i + dr, self.j + dc]
+
+    def focal_sum(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Sum of the square around each own cell, edge cells repeated outside the grid; NaN if a cell in reach is missing."""
+        edged = values[np.ix_(np.clip(self.inside[0], 0, len(values) - 1), np.clip(self.inside[1], 0, len(values) - 1))]
+        sums = []
+        for part in (np.nan_to_num(edged), np.isfinite(edged).astype(float)):
+            for axis in (0, 1):
+                run = np.cumsum(np.insert(part, 0, 0.0, axis=axis), axis=axis)
+                part = np.take(run, range(size, run.shape[axis]), axis=axis) - np.take(run, range(run.shape[axis] - size), axis=axis)
+            sums.append(part[self.i - size // 2, self.j - size // 2])
+        return np.where(sums[1] == size * size, sums[0], np.nan)
+
+
+def by_tiles(cells: DataFrame, halo: int, outputs: dict[str, str], compute: Callable[[Tile], dict[str, np.ndarray]], side: int = TILE) -> DataFrame:
+    """``cells`` with columns computed from each cell's neighbours by position.
+
+    Tiles receive the border cells of their neighbours, so a cell near a border moves up to four times and no row or column of the grid meets in one task.
+    """
+    ends = cells.agg(F.struct(*[f(c).alias(f"{c}_{n}") for c in ("row", "col") for n, f in (("low", F.min), ("high", F.max))]))
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side)))
+    dealt = cells.withColumn("_extent", ends.scalar()).withColumn("_tr", reach("row")).withColumn("_tc", reach("col"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        tile = Tile(rows, key[0].as_py(), key[1].as_py(), side, halo)
+        out = tile.cells.drop_columns(["_extent", "_tr", "_tc"])
+        if out.num_rows:
+            made = compute(tile)
+        for name, kind in outputs.items():
+            kind_ = pa.float64() if kind == "double" else pa.int64()
+            out = out.append_column(name, pa.array(made[name], kind_, from_pandas=True) if out.num_rows else pa.array([], kind_))
+        return out
+
+    schema = T.StructType([*cells.schema.fields, *[T.StructField(n, T.DoubleType() if k == "double" else T.LongType()) for n, k in outputs.items()]])
+    return dealt.groupBy("_tr", "_tc").applyInArrow(run, schema)
+
+
+def roughness(cells: DataFrame, tri_size: int = 3, tpi_size: int = 33, side: int = TILE) -> DataFrame:
+    """G1: TRI (focal standard deviation) and TPI (elevation less focal mean); NULL where a cell in reach is missing."""
+    def compute(tile: Tile) -> dict[str, np.ndarray]:
+        n, m = tri_size * tri_size, tpi_size * tpi_size
+        mean = tile.focal_sum(tile.grid, tri_size) / n
+        spread = tile.focal_sum(tile.grid * tile.grid, tri_size) / n - mean * mean
+        return {"tri": np.sqrt(np.maximum(spread, 0.0)), "tpi": tile.beside(0, 0) - tile.focal_sum(tile.grid, tpi_size) / m}
+
+    return by_tiles(cells, max(tri_size, tpi_size) // 2, {"tri": "double", "tpi": "double"}, compute, side)
+
+
+def slope(cells: DataFrame, cell_y: float, cell_x: float, side: int = TILE) -> DataFrame:
+    """Central differences, one-sided at the edges and beside missing cells, in degrees; NULL for a cell alone on an axis."""
+    def gradient(back: np.ndarray, here: np.ndarray, ahead: np.ndarray, step: float) -> np.ndarray:
+        central = (ahead - back) / (2 * step)
+        return np.where(np.isfinite(central), central, np.where(np.isfinite(ahead), (ahead - here) / step, (here - back) / step))
+
+    def compute(tile: Tile) -> dict[str, np.ndarray]:
+        here = tile.beside(0, 0)
+        down, across = gradient(tile.beside(-1, 0), here, tile.beside(1, 0), cell_y), gradient(tile.beside(0, -1), here, tile.beside(0, 1), cell_x)
+        return {"slope_deg": np.degrees(np.arctan(np.hypot(down, across)))}
+
+    return by_tiles(cells, 1, {"slope_deg": "double"}, compute, side)
+
+
+def d8_receiver(cells: DataFrame, cell_y: float, cell_x: float, side: int = TILE) -> DataFrame:
+    """The strictly steepest lower neighbour in single precision; the first direction wins a tie, a missing neighbour receives nothing."""
+    def compute(tile: Tile) -> dict[str, np.ndarray]:
+        here = tile.beside(0, 0)
+        falls = np.stack([((here - tile.beside(dr, dc)) / math.hypot(cell_y * dr, cell_x * dc)).astype(np.float32) for dr, dc in DIRECTIONS])
+        falls = np.where(falls > 0, falls, np.float32(0))
+        best = falls.argmax(0)
+        moves = np.array(DIRECTIONS)[best]
+        flat = falls.max(0) <= 0
+        rows, cols = (tile.cells.column(c).to_numpy().astype(float) for c in ("row", "col"))
+        return {"to_row": np.where(flat, np.nan, rows + moves[:, 0]), "to_col": np.where(flat, np.nan, cols + moves[:, 1])}
+
+    return by_tiles(cells, 1, {"to_row": "bigint", "to_col": "bigint"}, compute, side)
 
 
 def flow_accumulation(receivers: DataFrame, width: int) -> DataFrame:

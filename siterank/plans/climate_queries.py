@@ -390,7 +390,7 @@ def theil_sen(spark, folder):
     return rounded(trends.theil_sen(half_year_series(spark, folder), ["metric"], "x", "y").select("metric", *trends.TREND_COLUMNS))
 
 
-BOOT_DRAWS, BLOCK = 60, 5
+BOOT_DRAWS, BLOCK = 2000, 5
 BOOT_SQL = f"""
 st AS (SELECT metric, n, draw, k, CAST(floor({UNIFORM_SQL('block', 'metric', 'draw', 'k')} * (n - {BLOCK} + 1)) AS BIGINT) AS start
   FROM ft, range({BOOT_DRAWS}) d(draw), range(20) b(k) WHERE k < ceil(n / {BLOCK}e0)),

@@ -248,12 +248,15 @@ def topk(spark, folder):
     return k.groupBy("radius_m").agg(*[F.count_if((F.col("a") <= n) & (F.col("b") <= n)).alias(f"top{n}_overlap") for n in (3, 5)])
 
 
-@query("s3_map_json_pivot", """WITH e AS (SELECT CAST(ts AS DATE) AS date, event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
-SELECT date, max(k) FILTER (event_type = 'click') AS click, max(k) FILTER (event_type = 'error') AS error, count(*) AS n FROM e GROUP BY 1""")
+EVENTS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("s3_map_json_pivot", f"""WITH e AS (SELECT CAST(ts AS DATE) AS date, event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+SELECT date, {', '.join(f"max(k) FILTER (event_type = '{t}') AS {t}" for t in EVENTS)}, count(*) AS n FROM e GROUP BY 1""")
 def map_json(spark, folder):
     e = table(spark, folder, "events").select(F.to_date("ts").alias("date"), "event_type", F.explode(F.from_json("props", "map<string,double>")).alias("key", "k"))
-    hit = lambda t: F.max(F.when(F.col("event_type") == t, F.col("k")))
-    return e.where(F.col("key") == "k").groupBy("date").agg(hit("click").alias("click"), hit("error").alias("error"), F.count(F.lit(1)).alias("n"))
+    hit = lambda t: F.max(F.when(F.col("event_type") == t, F.col("k"))).alias(t)
+    return e.where(F.col("key") == "k").groupBy("date").agg(*[hit(t) for t in EVENTS], F.count(F.lit(1)).alias("n"))
 
 
 @query("s10_table_manifest")

@@ -14,7 +14,7 @@ from siterank.plans.bindings import score_sql, score_table
 
 GRID = (B.GRID_XMIN, B.GRID_YMAX, B.CELL)
 LAST = B.LAST_EPOCH
-RADIUS, DRAWS = 240, 40
+RADIUS, DRAWS = 240, 2000
 LAT0, LON0, STEP = 34.0, 72.0, 1 / 3600
 
 
@@ -85,7 +85,7 @@ def m3(spark, folder):
     return rounded(decision.summarise_ranks(draws, ["component_id"], "score"), 9)
 
 
-SIZES = [60, 90, 150]
+SIZES = [90, 150, 300]
 
 
 def shared_medians_sql(source: str, keys: str, stream_keys: tuple) -> str:
@@ -101,7 +101,7 @@ me AS (SELECT * FROM w_ndvi JOIN w_ndbi USING ({keys}, component_id) JOIN w_mndw
 
 M4_SQL = f"""
 bs AS (SELECT block_size_m, component_id, (row // k) * (({B.width_sql('part')} + k - 1) // k) + col // k AS block, count(*) AS cells, median(ndvi) AS ndvi, median(ndbi) AS ndbi, median(mndwi) AS mndwi
-  FROM dj, (VALUES (60, 2), (90, 3), (150, 5)) t(block_size_m, k) GROUP BY 1, 2, 3),
+  FROM dj, (VALUES (90, 3), (150, 5), (300, 10)) t(block_size_m, k) GROUP BY 1, 2, 3),
 bd AS (SELECT * FROM bs, range({DRAWS}) d(draw)),
 {shared_medians_sql('bd', 'block_size_m, draw', ('block_size_m', 'draw'))},
 s2 AS (SELECT block_size_m, draw, component_id, (l + terrain) / 2e0 AS score FROM (SELECT *, {landscape_sql('block_size_m, draw')} AS l FROM me) q JOIN fx USING (component_id)),
@@ -138,7 +138,7 @@ mv AS (SELECT * REPLACE (x + dx AS x, y + dy AS y, longitude + dx / (111320e0 *
 def terrain_disc_sql(keys: str) -> str:
     k = ", ".join(f"p.{x}" for x in keys.split(", "))
     return f"""
-td AS (SELECT {k}, quantile_cont(slope, 0.9) AS s, quantile_cont(wetness, 0.9) AS w, median(dd) AS d FROM mv p JOIN tc c
+td AS (SELECT {k}, round(quantile_cont(slope, 0.9), 9) AS s, round(quantile_cont(wetness, 0.9), 9) AS w, round(median(dd), 9) AS d FROM mv p JOIN tc c
   ON pow((72e0 + c.col * (1 / 3600e0) - p.longitude) * (111320e0 * cos(radians(p.latitude))), 2) + pow((34e0 - c.row * (1 / 3600e0) - p.latitude) * 111132e0, 2) <= {RADIUS} * {RADIUS} GROUP BY ALL)"""
 
 
@@ -157,7 +157,7 @@ def m5(spark, folder):
     return rounded(decision.summarise_ranks(draws, ["reach_m", "component_id"]))
 
 
-STATES, DECISIONS = 10, 6
+STATES, DECISIONS = 500, 10
 
 
 def joint(spark, folder):
@@ -167,7 +167,7 @@ def joint(spark, folder):
 
 _cor = lambda a, b: f"abs(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})))"
 M7_SQL = f"""
-dr AS (SELECT s.*, spatial_state_id, [60, 90, 150][CAST(floor({UNIFORM_SQL('size', 'spatial_state_id')} * 3) AS BIGINT) + 1] AS block_size_m FROM sites s, range({STATES}) t(spatial_state_id)),
+dr AS (SELECT s.*, spatial_state_id, [90, 150, 300][CAST(floor({UNIFORM_SQL('size', 'spatial_state_id')} * 3) AS BIGINT) + 1] AS block_size_m FROM sites s, range({STATES}) t(spatial_state_id)),
 {moved_sql('dr', ('spatial_state_id',), '120e0')}, {disc_sql('mv', 'spatial_state_id, block_size_m, component_id')},
 bs AS (SELECT spatial_state_id, block_size_m, component_id, (row // (block_size_m // 30)) * (({B.width_sql('part')} + block_size_m // 30 - 1) // (block_size_m // 30)) + col // (block_size_m // 30) AS block,
   count(*) AS cells, median(ndvi) AS ndvi, median(ndbi) AS ndbi, median(mndwi) AS mndwi FROM dj GROUP BY 1, 2, 3, 4),
@@ -180,7 +180,7 @@ tm AS (SELECT t.*, (a + b + c) / 3e0 AS equal_factors, i0 / (i0 + i1 + i2) * a +
 jd AS (SELECT spatial_state_id, decision_setting_id, component_id, l, {UNIFORM_SQL('weight', 'spatial_state_id', 'decision_setting_id')} AS w,
   ['equal_factors', 'correlation_adjusted', 'reduced_slope_drainage'][CAST(floor({UNIFORM_SQL('model', 'spatial_state_id', 'decision_setting_id')} * 3) AS BIGINT) + 1] AS model, equal_factors, correlation_adjusted, reduced_slope_drainage
   FROM ls JOIN tm USING (spatial_state_id, component_id), range({DECISIONS}) d(decision_setting_id)),
-x0 AS (SELECT *, w * l + (1 - w) * CASE model WHEN 'equal_factors' THEN equal_factors WHEN 'correlation_adjusted' THEN correlation_adjusted ELSE reduced_slope_drainage END AS score FROM jd),
+x0 AS (SELECT *, round(w * l + (1 - w) * CASE model WHEN 'equal_factors' THEN equal_factors WHEN 'correlation_adjusted' THEN correlation_adjusted ELSE reduced_slope_drainage END, 12) AS score FROM jd),
 x AS (SELECT *, row_number() OVER (PARTITION BY spatial_state_id, decision_setting_id ORDER BY score DESC, component_id) AS rank FROM x0)"""
 
 
@@ -198,7 +198,7 @@ def m7_summary(spark, folder):
 # --- M9 to M12 on a decision table over epochs ---------------------------------------
 
 L = scoring.LANDSCAPE
-DEC, STEPS = 10, 20
+DEC, STEPS = 10, 200
 STATES_SQL = f"""
 st AS (SELECT s.epoch_id AS spatial_state_id, s.component_id, s.{L} AS l, t.equal_factors AS t0, t.correlation_adjusted AS t1, t.reduced_slope_drainage AS t2
   FROM scores s JOIN tf t ON t.component_id = s.component_id AND t.radius_m = s.radius_m WHERE s.radius_m = 1000)"""
@@ -412,7 +412,7 @@ def temperature(spark, folder):
     return scaled.groupBy("model", "stage", "t").agg(metrics.log_loss().alias("log_loss")).select("model", "stage", (F.round("t", 4) + 0.0).alias("t"), (F.round("log_loss", 6) + 0.0).alias("log_loss"))
 
 
-BLOCK_DRAWS = 30
+BLOCK_DRAWS = 2000
 BLOCK_SQL = f"""
 bk AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS slot, count(*) OVER () AS nb FROM (SELECT DISTINCT block FROM pd)),
 pk AS (SELECT draw, CAST(floor({UNIFORM_SQL('test_blocks', 'draw', 'slot')} * nb) AS BIGINT) AS slot FROM bk, range({BLOCK_DRAWS}) d(draw)),

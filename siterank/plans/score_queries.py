@@ -351,7 +351,7 @@ def kendall_lines(spark, folder):
 
 # --- M6, M8, M13 ---------------------------------------------------------------------
 
-DRAWS = 400
+DRAWS, GRID_POINTS = 50_000, 1001
 UNIFORM_SQL = lambda stream, *parts: ("(CAST(('0x' || substr(md5('311|" + stream + "|' || " + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
                                       + "), 1, 13)) AS BIGINT) / 4503599627370496e0)")
 SUMMARY_SQL = lambda keys: f"""SELECT {keys}, {r('quantile_cont(rank, 0.5)')} AS rank_median, {r('quantile_cont(rank, 0.025)')} AS rank_ci_low_95,
@@ -415,7 +415,7 @@ def top3_mass(spark, folder):
 
 
 @query("m13_response_grid", f"""WITH {score_sql()}
-SELECT radius_m, component_id, {r('g / 100e0')} AS landscape_weight, row_number() OVER (PARTITION BY radius_m, g ORDER BY {T} + g / 100e0 * ({L} - {T}) DESC, component_id) AS rank
-FROM frame, range(101) t(g)""")
+SELECT radius_m, component_id, {r(f'g / {GRID_POINTS - 1}e0')} AS landscape_weight, row_number() OVER (PARTITION BY radius_m, g ORDER BY {T} + g / {GRID_POINTS - 1}e0 * ({L} - {T}) DESC, component_id) AS rank
+FROM frame, range({GRID_POINTS}) t(g)""")
 def response_grid(spark, folder):
-    return rounded(decision.response_grid(frame(spark, folder)[0], 101))
+    return rounded(decision.response_grid(frame(spark, folder)[0], GRID_POINTS))

@@ -13,6 +13,7 @@ from siterank.plans.resample_queries import LAT0, LON0, STEP, SITES_SQL, sites
 from siterank.functions.columns import block_id, split_role
 
 CELL_Y, CELL_X = 30.87, 25.7
+TPI = 33
 
 
 def dem_width(spark, folder) -> int:
@@ -33,15 +34,16 @@ dem AS (SELECT o_orderkey // w AS row, o_orderkey % w AS col, round(o_totalprice
 
 
 def focal_sql(size: int, value: str) -> str:
+    """Sums along the columns, then of these along the rows, with edge cells repeated."""
     k = size // 2
-    return f"""SELECT a.row, a.col, sum({value}) AS v FROM dem a, wq, range(-{k}, {k + 1}) r(dr), range(-{k}, {k + 1}) c(dc), dem b
-  WHERE b.row = least(greatest(a.row + dr, 0), n // w - 1) AND b.col = least(greatest(a.col + dc, 0), w - 1) GROUP BY 1, 2"""
+    return f"""SELECT a.row, a.col, sum(b.v) AS v FROM dem a, wq, range(-{k}, {k + 1}) c(dc), (SELECT a.row, a.col, sum({value}) AS v FROM dem a, wq, range(-{k}, {k + 1}) r(dr), dem b
+  WHERE b.row = least(greatest(a.row + dr, 0), n // w - 1) AND b.col = a.col GROUP BY 1, 2) b WHERE b.row = a.row AND b.col = least(greatest(a.col + dc, 0), w - 1) GROUP BY 1, 2"""
 
 
-@query("g1_roughness", f"""WITH {DEM_SQL}, s AS ({focal_sql(3, 'b.elev')}), q AS ({focal_sql(3, 'b.elev * b.elev')}), t AS ({focal_sql(5, 'b.elev')})
-SELECT row, col, {r('sqrt(greatest(q.v / 9 - (s.v / 9) * (s.v / 9), 0))')} AS tri, {r('elev - t.v / 25', 7)} AS tpi FROM dem JOIN s USING (row, col) JOIN q USING (row, col) JOIN t USING (row, col)""")
+@query("g1_roughness", f"""WITH {DEM_SQL}, s AS ({focal_sql(3, 'b.elev')}), q AS ({focal_sql(3, 'b.elev * b.elev')}), t AS ({focal_sql(TPI, 'b.elev')})
+SELECT row, col, {r('sqrt(greatest(q.v / 9 - (s.v / 9) * (s.v / 9), 0))')} AS tri, {r(f'elev - t.v / {TPI * TPI}', 7)} AS tpi FROM dem JOIN s USING (row, col) JOIN q USING (row, col) JOIN t USING (row, col)""")
 def roughness(spark, folder):
-    out = terrain.roughness(dem(spark, folder), 3, 5)
+    out = terrain.roughness(dem(spark, folder), 3, TPI)
     return out.select("row", "col", (F.round("tri", 6) + 0.0).alias("tri"), (F.round("tpi", 7) + 0.0).alias("tpi"))
 
 

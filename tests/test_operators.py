@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siterank.functions import columns as C, geodesy, keyed
 from siterank.operators import benchmark, checks, daily, decision, metrics, raster, sampling, spatial, terrain, trends
 from siterank.operators.agreement import rank_agreement
-from siterank.operators.order import quantiles, with_percentile, with_ranks
+from siterank.operators.order import numbered, quantiles, with_percentile, with_ranks
 from siterank.sources import grids, manifest, tables, vectors, weather
 
 
@@ -160,6 +160,35 @@ def test_distances_of_clustered_targets(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" not in plan
 
 
+def test_neighbourhoods_of_a_grid_with_gaps(spark):
+    """Absent cells give NULL or one-sided values, whatever the tile; neighbours are those by position."""
+    rng = np.random.default_rng(12)
+    z = rng.integers(0, 60, (23, 19)).astype(float)
+    gone = {(int(a), int(b)) for a, b in rng.integers(0, 19, (25, 2))} | {(7, c) for c in range(19)}
+    cells = spark.createDataFrame([(r - 4, c - 3, float(z[r, c]), "kept") for r in range(23) for c in range(19) if (r, c) not in gone], "row bigint, col bigint, elev double, note string")
+    have = {(r - 4, c - 3): z[r, c] for r in range(23) for c in range(19) if (r, c) not in gone}
+    low, high = (min(k[0] for k in have), min(k[1] for k in have)), (max(k[0] for k in have), max(k[1] for k in have))
+    for side in (5, 128):
+        rough = {(r["row"], r["col"]): r for r in terrain.roughness(cells, 3, 7, side).collect()}
+        steep = {(r["row"], r["col"]): r["slope_deg"] for r in terrain.slope(cells, 3.0, 2.0, side).collect()}
+        flows = {(r["row"], r["col"]): (r["to_row"], r["to_col"]) for r in terrain.d8_receiver(cells, 3.0, 2.0, side).collect()}
+        assert set(rough) == set(steep) == set(flows) == set(have) and rough[next(iter(have))]["note"] == "kept"
+        for (r, c), h in have.items():
+            clamp = lambda dr, dc: have.get((min(max(r + dr, low[0]), high[0]), min(max(c + dc, low[1]), high[1])))
+            square = lambda k: [clamp(dr, dc) for dr in range(-k, k + 1) for dc in range(-k, k + 1)]
+            small, wide = square(1), square(3)
+            assert rough[r, c]["tri"] == (None if None in small else pytest.approx(float(np.std(small)), abs=1e-9))
+            assert rough[r, c]["tpi"] == (None if None in wide else pytest.approx(h - float(np.mean(wide)), abs=1e-9))
+            grads = []
+            for (a, b), step in ((((-1, 0), (1, 0)), 3.0), (((0, -1), (0, 1)), 2.0)):
+                back, ahead = have.get((r + a[0], c + a[1])), have.get((r + b[0], c + b[1]))
+                grads.append((ahead - back) / (2 * step) if None not in (back, ahead) else (ahead - h) / step if ahead is not None else (h - back) / step if back is not None else None)
+            assert steep[r, c] == (None if None in grads else pytest.approx(math.degrees(math.atan(math.hypot(*grads))), abs=1e-9))
+            falls = [(np.float32((h - have[r + dr, c + dc]) / math.hypot(3.0 * dr, 2.0 * dc)), -i, (r + dr, c + dc)) for i, (dr, dc) in enumerate(terrain.DIRECTIONS) if (r + dr, c + dc) in have]
+            best = max(falls, default=(0,))
+            assert flows[r, c] == (best[2] if best[0] > 0 else (None, None))
+
+
 def test_cycle_is_reported(spark):
     loop = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 0)], ["row", "col", "to_row", "to_col"])
     with pytest.raises(RuntimeError):
@@ -351,3 +380,19 @@ def test_no_row_is_scored_by_a_model_that_saw_it(spark):
     seen = benchmark.out_of_fold(df, "fold", 4, lambda train: {r["fold"] for r in train.select("fold").distinct().collect()},
                                  lambda folds, rows: rows.withColumn("seen", F.col("fold").isin(*folds)))
     assert seen.count() == 100 and seen.where("seen").isEmpty()
+
+
+def test_numbering_without_one_task(spark):
+    """Dense places and running sums by ranges; no window or sort of all rows in one partition."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.lit(2).alias("w"), F.lit("x").alias("kept")).repartition(6)
+    out = numbered(df, [F.col("v").desc()], "place", {"total": "w", "share": F.lit(0.5)})
+    rows = out.orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(5000)) and [r["v"] for r in rows] == sorted((r["v"] for r in rows), reverse=True)
+    assert all(r["total"] == 2 * (i + 1) and r["share"] == (i + 1) / 2 for i, r in enumerate(rows)) and out.columns == ["v", "w", "kept", "place", "total", "share"]
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert numbered(df.limit(0), ["v"], "place").collect() == []
+    points = spark.createDataFrame([(i, 33.0 + i % 3, 72.0) for i in range(30)], "k int, latitude double, longitude double")
+    cells = spatial.weather_cells(points, "k")
+    assert "SinglePartition" not in cells._jdf.queryExecution().executedPlan().toString() and cells.select("weather_cell_id").distinct().count() == 3
+    predicted = spark.range(200).select(F.lit("m").alias("model"), (F.col("id") % 20).alias("block"), (F.col("id") % 3).alias("y"), (F.col("id") % 2).alias("prediction"))
+    assert metrics.block_draws(predicted, 3, 5).count() == 5
