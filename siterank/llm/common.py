@@ -6,6 +6,7 @@ polynomials over 64-bit values of bytes, taken from running sums of a whole batc
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -114,6 +115,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
                 held, total = [], 0
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system: worker processes outlive their tasks, and those of one stage stand beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
 
 
 def column(table: pa.Table, name: str) -> pa.Array:
