@@ -84,9 +84,10 @@ def _searched(points: DataFrame, wanted: DataFrame, keys: list[str], tolerance:
             F.least(F.first("_high"), F.min(F.when(F.col("below") > F.col("_k"), F.col("theta")))).alias("_high"))
         state = materialise(narrowed)
         size = F.abs("_low") + F.abs("_high") + F.col("_size")
+        middle = (F.col("_low") + F.col("_high")) / 2
         open_ = state.where((F.col("_low") == -infinite) | (F.col("_high") == infinite) | (F.col("_high") - F.col("_low") > tolerance * size))
         if open_.isEmpty():
-            return state.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", ((F.col("_low") + F.col("_high")) / 2).alias("s")))), lambda e: e.s).alias("slopes"))
+            return state.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.when(F.abs(middle) <= tolerance * size, 0.0).otherwise(middle).alias("s")))), lambda e: e.s).alias("slopes"))
         steps = F.sequence(F.lit(1), F.lit(TRIALS))
         far = lambda i: F.pow(F.lit(8.0), i.cast("double")) * F.greatest(F.abs(F.coalesce(F.when(F.col("_low") > -infinite, F.col("_low")), F.when(F.col("_high") < infinite, F.col("_high")), F.lit(1.0))), F.lit(1e-6))
         inside = F.transform(steps, lambda i: F.when(F.col("_low") == -infinite, F.when(F.col("_high") == infinite, F.when(i % 2 == 0, far(i)).otherwise(-far(i))).otherwise(F.col("_high") - far(i)))
