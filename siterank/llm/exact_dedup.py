@@ -34,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     scratch = Scratch(docs.sparkSession)
     text = normal(text_column)
     live = docs.select(F.col(id_column).alias("id"), F.sha2(text, 256).alias("sha256"), text.cast("binary").alias("rest"), F.lit(None).cast("long").alias("grp"))
-    done, run, table = [], first_run, None
+    done, rounds, run = [], [], first_run
     while True:
         keyed = live.select("id", "sha256", "rest", F.coalesce("grp", F.lit(-1)).alias("grp"), F.expr(f"substring(rest, 1, {run})").alias("head"), (F.octet_length("rest") <= run).alias("ended"))
         keys = ["grp", "head", "ended"]
@@ -45,10 +45,12 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             "id", "sha256", goes_on.alias("live"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("rep")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
             F.when(goes_on, F.expr(f"substring(rest, {run + 1})")).alias("rest"), F.when(goes_on, F.col("next")).alias("grp"))
         table = scratch.write(split)
+        rounds.append(table)
         done.append(table.filter("not live").select("id", "keep_id", "group_size", "sha256"))
         live = table.filter("live").select("id", "sha256", "rest", "grp")
         if live.isEmpty():
             break
         run *= growth
-    out = reduce(DataFrame.unionByName, done).dropDuplicates(["id", "sha256"])
+    out = scratch.write(reduce(DataFrame.unionByName, done).dropDuplicates(["id", "sha256"]))
+    scratch.drop(*rounds)  # they hold what was left of the texts
     return out.select(F.col("id").alias(id_column), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha256")
