@@ -2,9 +2,10 @@
 
 A fingerprint is a sum of vectors, so it does not depend on the order of the paragraphs, and a paragraph is put in or taken
 out by adding or subtracting its vector. Two parts lie side by side. ``wide`` has lanes of 32 bits, filled by hashes of the whole
-paragraph and summed modulo 2**32: it decides equality. ``votes`` counts, modulo 2**32, in how many sentences of the
-paragraphs each of 64 hash bits is set: with the number of sentences it gives sums of signs, whose squared distance
-estimates how many sentences two texts do not share.
+paragraph and summed modulo 2**32: it decides equality. ``votes`` counts, modulo 2**32, the shingles of three words of the
+paragraphs: a shingle's hash names one of ``GROUPS`` groups of 32 lanes, and the lanes of the bits it has set there get one
+each. With the number of shingles in each group these are sums of signs, whose squared distance
+estimates how many shingles two texts do not share. A shingle starts at each word of a paragraph, shorter shingles at its end included.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 WIDE = 8  # longs with two lanes of 32 bits each
 LANES = 0x0000000100000001
 LOW = 0xFFFFFFFF
-SENTENCE = r"\n|(?<=[.!?|]) "
+GROUPS = 8
+#: White space, and the places behind characters of scripts that are written without spaces.
+BREAK = r"[\x20\x09-\x0D]+|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def _sum(array: str, one) -> Column:
@@ -34,15 +37,26 @@ def _vote(bit: int):
     return lambda s, h: s + F.shiftrightunsigned(h, bit).bitwiseAND(LANES)
 
 
+def _shingles(words: Column) -> Column:
+    """Hash of the up to three words from each word of a paragraph on."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def _group(g: int):
+    return lambda h: F.shiftrightunsigned(h, 61) == g
+
+
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: struct of wide (array<long>), votes (array<long>) and n (sentences). Null text has none of the three's mass."""
+    """Add ``name``: struct of wide (array<long>), votes (array<long>) and n (array<long>, shingles by group). Null text has none of the three's mass."""
     empty = F.array().cast("array<long>")
     paragraphs = F.when(F.col(text).isNull(), empty).otherwise(F.transform(F.split(text, "\n"), lambda p: F.xxhash64(F.sha2(p, 256))))
-    sentences = F.when(F.col(text).isNull(), empty).otherwise(F.transform(F.split(text, SENTENCE), lambda p: F.xxhash64(p)))
-    hashed = df.withColumns({"_paragraphs": paragraphs, "_sentences": sentences})
+    words = F.transform(F.split(text, "\n"), lambda p: F.array_remove(F.split(p, BREAK), ""))
+    shingles = F.when(F.col(text).isNull(), empty).otherwise(F.flatten(F.transform(words, _shingles)))
+    hashed = df.withColumns({"_paragraphs": paragraphs, "_shingles": shingles}).withColumns({f"_group{g}": F.filter("_shingles", _group(g)) for g in range(GROUPS)}).drop("_shingles")
     wide = F.array(*[_sum("_paragraphs", partial(_word, j)) for j in range(WIDE)])
-    votes = F.array(*[F.aggregate("_sentences", F.lit(0).cast("long"), _vote(j)) for j in range(32)])
-    return hashed.withColumn(name, F.struct(wide.alias("wide"), votes.alias("votes"), F.size("_sentences").cast("long").alias("n"))).drop("_paragraphs", "_sentences")
+    votes = F.array(*[F.aggregate(f"_group{g}", F.lit(0).cast("long"), _vote(j)) for g in range(GROUPS) for j in range(16)])
+    sizes = F.array(*[F.size(f"_group{g}").cast("long") for g in range(GROUPS)])
+    return hashed.withColumn(name, F.struct(wide.alias("wide"), votes.alias("votes"), sizes.alias("n"))).drop("_paragraphs", *[f"_group{g}" for g in range(GROUPS)])
 
 
 def _lanes(a: Column, b: Column, sign: int) -> Column:
@@ -57,29 +71,31 @@ def _lanes(a: Column, b: Column, sign: int) -> Column:
 
 def combined(a: str, b: str, sign: int = 1) -> Column:
     """Fingerprint of the paragraphs of both, or with sign -1 of those of ``a`` without those of ``b``."""
-    return F.struct(_lanes(F.col(f"{a}.wide"), F.col(f"{b}.wide"), sign).alias("wide"), _lanes(F.col(f"{a}.votes"), F.col(f"{b}.votes"), sign).alias("votes"), (F.col(f"{a}.n") + sign * F.col(f"{b}.n")).alias("n"))
+    return F.struct(_lanes(F.col(f"{a}.wide"), F.col(f"{b}.wide"), sign).alias("wide"), _lanes(F.col(f"{a}.votes"), F.col(f"{b}.votes"), sign).alias("votes"), F.zip_with(f"{a}.n", f"{b}.n", lambda x, y: x + sign * y).alias("n"))
 
 
 def spelled(fingerprint: str) -> Column:
-    """All lanes and the number of sentences in hexadecimal digits."""
+    """All lanes and the numbers of shingles in hexadecimal digits."""
     digits = lambda lanes: F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    return F.lower(F.concat(digits(F.col(f"{fingerprint}.wide")), digits(F.col(f"{fingerprint}.votes")), F.lpad(F.hex(F.col(f"{fingerprint}.n")), 16, "0")))
+    return F.lower(F.concat(digits(F.col(f"{fingerprint}.wide")), digits(F.col(f"{fingerprint}.votes")), digits(F.col(f"{fingerprint}.n"))))
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1: the share of sentences, counted on both sides, that two fingerprints have in common, as estimated by the
-    signed sums; 1 for equal fingerprints."""
-    na, nb = F.col(f"{a}.n").cast("double"), F.col(f"{b}.n").cast("double")
+    """0 to 1: the share of shingles, counted on both sides, that two fingerprints have in common, as estimated by the
+    signed sums (standard error about 0.09 of the share not in common); 1 for equal fingerprints.
 
-    def squares(x: Column, y: Column) -> Column:
-        parts = []
-        for lane in (lambda v: v.bitwiseAND(LOW), lambda v: F.shiftrightunsigned(v, 32)):
-            p, q = 2 * lane(x) - na, 2 * lane(y) - nb
-            parts.append(((p - q) * (p - q), p * p + q * q))
-        return F.struct((parts[0][0] + parts[1][0]).alias("apart"), (parts[0][1] + parts[1][1]).alias("mass"))
+    The squared distance, over 32 lanes a group, estimates the squared differences of the shingles' counts. It is set against the squares of
+    both sides' sums, so a shingle that a text repeats weighs alike in both.
+    """
+    def parts(x: Column, i: Column) -> Column:
+        na, nb = F.get(F.col(f"{a}.n"), F.floor(i / 16).cast("int")), F.get(F.col(f"{b}.n"), F.floor(i / 16).cast("int"))
+        pairs = [(2 * lane(x["x"]) - na, 2 * lane(x["y"]) - nb) for lane in (lambda v: v.bitwiseAND(LOW), lambda v: F.shiftrightunsigned(v, 32))]
+        pairs = [(p.cast("double"), q.cast("double")) for p, q in pairs]
+        return F.struct(sum((p - q) * (p - q) for p, q in pairs).alias("apart"), sum(p * p + q * q for p, q in pairs).alias("mass"))
 
+    lanes = F.transform(F.zip_with(f"{a}.votes", f"{b}.votes", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), parts)
     zero = F.struct(F.lit(0.0).alias("apart"), F.lit(0.0).alias("mass"))
-    total = F.aggregate(F.zip_with(f"{a}.votes", f"{b}.votes", squares), zero, lambda s, x: F.struct((s["apart"] + x["apart"]).alias("apart"), (s["mass"] + x["mass"]).alias("mass")),
+    total = F.aggregate(lanes, zero, lambda s, x: F.struct((s["apart"] + x["apart"]).alias("apart"), (s["mass"] + x["mass"]).alias("mass")),
                         lambda s: F.greatest(F.lit(0.0), 1 - s["apart"] / F.greatest(s["mass"], F.lit(1.0))))
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
