@@ -119,13 +119,13 @@ class Model:
 def fit(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", max_docs: int = 40_000, piece_bytes: int = 2 << 20) -> Model:
     """Counts over labelled rows, summed in Spark; only the table of fixed size comes to the driver.
 
-    Rows without text or label are skipped. ``max_docs`` bounds the labelled rows: beyond it, rows are chosen by a hash of
-    the text, about so many. Without any labelled row the model knows no language.
+    Rows without text or label are skipped. ``max_docs`` bounds the labelled rows: beyond it, about so
+    many are drawn row by row, so equal texts are not taken or left as a whole. Without any labelled row the model knows no language.
     """
     known = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text")).dropna()
     n = docs.filter(F.col(lang_column).isNotNull()).count()
     if n > max_docs:
-        known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
+        known = known.sample(max_docs / n, seed=17)
     counted = known.select("lang", text_bytes("text").alias("text")).mapInArrow(count_cells(piece_bytes), "lang string, cell int, n long")
     rows = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique()) if len(rows) else []
@@ -141,9 +141,9 @@ def best_path(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     longest = int(counts.max(initial=0))
     active = np.searchsorted(-counts[order], -np.arange(longest), side="left")  # texts with more than t words
     first, rank = at[:-1][order], np.arange(len(scores))
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     stay = np.zeros((len(scores), scores.shape[1]), bool)
-    top = np.zeros(len(scores), np.int8)
+    top = np.zeros(len(scores), np.int32)
     value = np.zeros((len(counts), scores.shape[1]), np.float32)
     for t in range(longest):
         m = active[t]
@@ -155,7 +155,7 @@ def best_path(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
         stay[w] = v >= limit
         v = np.maximum(v, limit) + scores[w]
         value[:m] = v - v.max(1, keepdims=True)
-    state = value.argmax(1).astype(np.int8)
+    state = value.argmax(1).astype(np.int32)
     for t in range(longest - 1, -1, -1):
         m = active[t]
         w = first[:m] + t
@@ -177,7 +177,7 @@ def label_batches(model, penalty: float, spans: bool, carry: bool, piece_bytes:
             for j in range(k):
                 scores[:, j] = np.bincount(f.word, weights=m.log[f.cells, j], minlength=len(scores))
             scores += m.barred[f.script]
-            labels = best_path(scores, f.words.at, penalty) if k else np.zeros(len(scores), np.int8)
+            labels = best_path(scores, f.words.at, penalty) if k else np.zeros(len(scores), np.int32)
             doc = np.repeat(np.arange(table.num_rows), f.words.counts)
             weight = np.bincount(doc * max(k, 1) + labels, weights=f.letters, minlength=table.num_rows * max(k, 1)).reshape(table.num_rows, -1)
             total = weight.sum(1)
