@@ -77,7 +77,22 @@ def test_exact_dedup_repeats_and_nulls(spark):
     frame = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a  b"), (None, "a b"), (3, "z"), (3, "y"), (None, "q"), (None, "p")], "doc_id long, text string")
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame).collect()}
     assert got == {(1, 1, 4, True), (2, 1, 4, False), (None, 1, 4, False), (3, 3, 1, True), (None, None, 1, True)}
-    assert exact_dedup.exact_dedup(frame).count() == 7
+    assert exact_dedup.exact_dedup(frame).count() == frame.count()
+
+
+def test_exact_dedup_of_repeated_rows_and_hot_groups(spark, monkeypatch):
+    """Every input row has its row, as in the query's SQL; groups dealt over several keys give the same."""
+    from siterank.llm.queries import ORACLES
+    import duckdb
+
+    texts = [(i % 40 if i % 3 else None, "hot text " * 40 + str(i % 2)) for i in range(300)] + [(1, "a b"), (1, "a b"), (None, "q"), (None, "q"), (2, "a\tb")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    expected = collections.Counter((i, k, n, h) for i, k, n, h in duckdb.sql(f"SELECT doc_id, keep_id, group_size, text_sha256 FROM ({ORACLES['op2_exact_dedup']})").fetchall())
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for hot in (1000, 4):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        got = exact_dedup.exact_dedup(frame).select("doc_id", "keep_id", "group_size", "sha256").collect()
+        assert collections.Counter(tuple(r) for r in got) == expected
 
 
 def brute_substrings(texts, width=13):
@@ -108,6 +123,34 @@ def test_substring_dedup(docs, texts, piece):
         assert all(a.stop < b.start for a, b in zip(r.intervals, r.intervals[1:]))
 
 
+@pytest.mark.parametrize("fan,chunk", [(16, 1 << 21), (64, 500)])
+def test_substring_dedup_in_levels(docs, texts, fan, chunk):
+    """Small buckets and a small fan: several levels of dealing give the same rows."""
+    found = substring_dedup.substring_dedup(docs, per_bucket=min(chunk, 300), fan=fan, piece_bytes=50_000)
+    assert found._jdf.queryExecution().toString().count("MapInArrow") > 2
+    assert rows(found, "doc_id", "n_words", "n_removed", "kept_text") == brute_substrings(texts)
+
+
+def test_packs_stay_small_at_every_size():
+    """Bytes sent for a byte of text at each level, as the buckets of a 100 TB input would need it, and with one level of 64."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = [" ".join(rng.integers(0, 10**6, 300).astype(str)).encode() for _ in range(1000)]
+    table = pa.record_batch({"id": np.arange(1000), "tag": rng.integers(0, 2**62, 1000), "text": pa.array(text, pa.binary())})
+    sent = lambda batches: sum(b.nbytes for b in batches) / sum(map(len, text))
+    one = list(substring_dedup.window_packs(13, 64, 2 << 20)([table]))
+    fan = math.ceil((8 << 20) ** 0.5)
+    first = list(substring_dedup.window_packs(13, fan, 2 << 20)([table]))
+    # a bucket of the first level gathers windows of many texts, each of which has one or two there
+    many = [f"d{i} {' '.join(rng.integers(0, 10**6, 13).astype(str))}".encode() for i in range(20_000)]
+    spread = pa.record_batch({"id": np.arange(20_000), "tag": rng.integers(0, 2**62, 20_000), "text": pa.array(many, pa.binary())})
+    gathered = list(substring_dedup.window_packs(13, 1, 2 << 20)([spread]))
+    again = list(substring_dedup.repack(1, 32, 1 << 21)(gathered))
+    per_window = sum(b.nbytes for b in again) / (2 * 20_000)
+    assert sent(one) < 2.5 and sent(first) < 2 * sent(one) and per_window < 24, (sent(one), sent(first), per_window)
+
+
 @pytest.mark.parametrize("key", [None, 5])
 def test_substring_dedup_rows_without_a_key(spark, key):
     """Rows under a null or one repeated id keep what no smaller id holds, whichever texts they have beside them."""
@@ -235,6 +278,25 @@ def test_language_id(docs, texts, spark):
     assert {r.lang_pred for r in language_id.identify(mixed, empty).collect()} == {"und"}
 
 
+def test_language_of_held_out_documents(spark, folder):
+    known = spark.read.parquet(f"{folder}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL")
+    model = language_id.fit(known.filter(~language_id.held_out()))
+    found = language_id.identify(known.filter(language_id.held_out()), model, carry=True)
+    right, n = found.select(F.avg((F.col("lang_pred") == F.col("row.lang")).cast("int")), F.count("*")).first()
+    assert n > 5 and right >= 0.95
+
+
+def test_more_languages_than_a_byte_counts():
+    """Word k of one text scores best in language k of 300."""
+    scores = np.where(np.eye(300, dtype=bool), 50.0, 0.0).astype(np.float32)
+    assert language_id.best_path(scores, np.array([0, 300]), 1.0).tolist() == list(range(300))
+
+
+def test_sample_of_labelled_rows_is_drawn_by_row(spark):
+    rows_ = spark.range(3000).selectExpr("'en' AS lang", "'the same words' AS text")
+    assert 0 < language_id.fit(rows_, max_docs=300).log.shape[1] == 1
+
+
 def test_best_path_against_dynamic_program():
     rng = np.random.default_rng(0)
     sizes = [0, 1, 5, 9, 3]
@@ -310,6 +372,22 @@ def test_fingerprints(docs, texts, spark):
     assert one.near_next == 1 and one.edited_sha256 == sha("abcdab")
 
 
+def test_likeness_of_texts_without_sentences(spark):
+    """Two thirds of the words are shared, or none, with and without spaces between words, short and long."""
+    rng = np.random.default_rng(1)
+    rows_, expected = [], {}
+    for k, (size, glue) in enumerate([(30, " "), (300, " "), (3000, " "), (300, "")]):
+        word = (lambda i: f"w{i}") if glue else (lambda i: chr(0x4E00 + i % 20000))
+        a, b = rng.integers(0, 10**6, size).tolist(), rng.integers(0, 10**6, size).tolist()
+        same = a[: size * 2 // 3] + b[: size // 3]
+        rows_.append((k, *[glue.join(map(word, x)) for x in (a, same, b)]))
+    frame = spark.createDataFrame(rows_, "k long, a string, same string, other string")
+    for c in ("a", "same", "other"):
+        frame = fingerprints.with_fingerprint(frame, c, f"f_{c}")
+    for r in frame.select("k", fingerprints.likeness("f_a", "f_same").alias("near"), fingerprints.likeness("f_a", "f_other").alias("far")).collect():
+        assert 0.5 < r.near < 0.85 and r.far < 0.3, r
+
+
 def test_fingerprints_are_incremental(spark):
     frame = spark.createDataFrame([("a one.\nb two.\nc", "b two.", "c\na one.")], "whole string, part string, rest string")
     for c in ("whole", "part", "rest"):
