@@ -3,7 +3,7 @@
 A fingerprint is a sum of vectors, so it does not depend on the order of the paragraphs, and a paragraph is put in or taken
 out by adding or subtracting its vector. Two parts lie side by side. ``wide`` has lanes of 32 bits, filled by hashes of the whole
 paragraph and summed modulo 2**32: it decides equality. ``votes`` counts, modulo 2**32, the shingles of three words of the
-paragraphs: a shingle's hash names one of ``GROUPS`` groups of 32 lanes, and the lanes of the bits it has set there get one
+paragraphs: a shingle's hash names one of ``GROUPS`` groups of 16 lanes, and the lanes of the bits it has set there get one
 each. With the number of shingles in each group these are sums of signs, whose squared distance
 estimates how many shingles two texts do not share. A shingle starts at each word of a paragraph, shorter shingles at its end included.
 """
@@ -54,7 +54,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     shingles = F.when(F.col(text).isNull(), empty).otherwise(F.flatten(F.transform(words, _shingles)))
     hashed = df.withColumns({"_paragraphs": paragraphs, "_shingles": shingles}).withColumns({f"_group{g}": F.filter("_shingles", _group(g)) for g in range(GROUPS)}).drop("_shingles")
     wide = F.array(*[_sum("_paragraphs", partial(_word, j)) for j in range(WIDE)])
-    votes = F.array(*[F.aggregate(f"_group{g}", F.lit(0).cast("long"), _vote(j)) for g in range(GROUPS) for j in range(16)])
+    votes = F.array(*[F.aggregate(f"_group{g}", F.lit(0).cast("long"), _vote(j)) for g in range(GROUPS) for j in range(8)])
     sizes = F.array(*[F.size(f"_group{g}").cast("long") for g in range(GROUPS)])
     return hashed.withColumn(name, F.struct(wide.alias("wide"), votes.alias("votes"), sizes.alias("n"))).drop("_paragraphs", *[f"_group{g}" for g in range(GROUPS)])
 
@@ -82,13 +82,13 @@ def spelled(fingerprint: str) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1: the share of shingles, counted on both sides, that two fingerprints have in common, as estimated by the
-    signed sums (standard error about 0.09 of the share not in common); 1 for equal fingerprints.
+    signed sums (standard error about 0.125 of the share not in common); 1 for equal fingerprints.
 
-    The squared distance, over 32 lanes a group, estimates the squared differences of the shingles' counts. It is set against the squares of
+    The squared distance, over 16 lanes a group, estimates the squared differences of the shingles' counts. It is set against the squares of
     both sides' sums, so a shingle that a text repeats weighs alike in both.
     """
     def parts(x: Column, i: Column) -> Column:
-        na, nb = F.get(F.col(f"{a}.n"), F.floor(i / 16).cast("int")), F.get(F.col(f"{b}.n"), F.floor(i / 16).cast("int"))
+        na, nb = F.get(F.col(f"{a}.n"), F.floor(i / 8).cast("int")), F.get(F.col(f"{b}.n"), F.floor(i / 8).cast("int"))
         pairs = [(2 * lane(x["x"]) - na, 2 * lane(x["y"]) - nb) for lane in (lambda v: v.bitwiseAND(LOW), lambda v: F.shiftrightunsigned(v, 32))]
         pairs = [(p.cast("double"), q.cast("double")) for p, q in pairs]
         return F.struct(sum((p - q) * (p - q) for p, q in pairs).alias("apart"), sum(p * p + q * q for p, q in pairs).alias("mass"))
