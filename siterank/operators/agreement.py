@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siterank.operators.order import value_positions
+from siterank.operators.order import by_rows, value_positions
 
 NORMAL_975 = 1.959963984540054
 
@@ -43,7 +43,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: b
             positions = value_positions(pairs, keys, side, "w").select(
                 *keys, F.col("value").alias(side), F.col("before").alias(f"b{side}"), F.col("n").alias(f"m{side}"),
                 *([F.col("total")] if side == "x" else []))
-            pairs = pairs.join(positions, [*keys, side])
+            pairs = pairs.join(by_rows(positions), [*keys, side])
     return pairs.withColumns({f"r{s}": F.col(f"b{s}") + (F.col(f"m{s}") + 1) / F.lit(2.0) for s in ("x", "y")})
 
 

@@ -4,11 +4,13 @@
 (group, value), which combine map-side and spread a hot group over all tasks. A
 monotone bucket of the value then splits the group: bucket totals give the offset of
 each bucket and a window inside one (group, bucket) gives the offset of each value.
+Quantiles read the rows twice instead: counts per coarse bucket tell which buckets hold
+the wanted places, and only values of these are counted, so rows are hardly moved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -16,11 +18,20 @@ from siterank.operators.lineage import materialise
 
 # log1p is semi-monotonic on the JVM, so the bucket order always follows the value order.
 BUCKETS_PER_UNIT = 8192.0
+COARSE_BUCKETS_PER_UNIT = 64.0
 MAGNITUDE_SCALE = 1048576.0
+#: Rows of one key from which on its groups are no longer left to one task.
+LARGE = 1 << 16
 
 
-def _bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * MAGNITUDE_SCALE) * BUCKETS_PER_UNIT)
+def _bucket(value: Column, per_unit: float = BUCKETS_PER_UNIT) -> Column:
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) * MAGNITUDE_SCALE) * per_unit)
+
+
+def by_rows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows: sorted and merged. Statistics see the bytes of a compressed file below an
+    explode or a count, so such a side passes for small and would be sent to the driver whole."""
+    return df.hint("merge")
 
 
 def _col(c) -> Column:
@@ -55,7 +66,7 @@ def value_positions(
     same = F.col("_b") == F.col("_kb")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = counted.join(renamed, same).drop("_kb", *[f"_k_{k}" for k in keys])
+    joined = counted.join(by_rows(renamed), same).drop("_kb", *[f"_k_{k}" for k in keys])
     inside = W.partitionBy(*keys, "_b").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     return joined.select(
         *keys, "value", "n", (F.col("_start") + F.sum("n").over(inside) - F.col("n")).alias("before"), "total"
@@ -87,17 +98,40 @@ def numbered(df: DataFrame, order: Sequence[str | Column], output: str, sums: di
     return out.select(*df.columns, output, *sums)
 
 
-def _at(probability: float) -> tuple[Column, Column, Column]:
+def _places(probability: float) -> tuple[Column, Column, Column]:
+    """The two places a quantile lies between and its share of the way."""
     h = (F.col("total") - 1) * F.lit(float(probability))
-    low, high = F.floor(h), F.ceil(h)
-    covers = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
+    return F.floor(h), F.ceil(h), h - F.floor(h)
+
+
+def _covers(place: Column) -> Column:
+    return (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+
+
+def _at(probability: float) -> tuple[Column, Column, Column]:
+    low, high, share = _places(probability)
     return (
-        F.max(F.when(covers(low), F.col("value"))),
-        F.max(F.when(covers(high), F.col("value"))),
-        F.max(h - low),
+        F.max(F.when(_covers(low), F.col("value"))),
+        F.max(F.when(_covers(high), F.col("value"))),
+        F.max(share),
     )
 
 
+def _wanted_buckets(long: DataFrame, group: Sequence[str], probabilities) -> DataFrame:
+    """Coarse buckets that hold a wanted place, with the rows before them and in the group; written, so that its size is known."""
+    counts = long.groupBy(*group, "_c").agg(F.sum("_w").alias("n"))
+    window = W.partitionBy(*group)
+    placed = counts.withColumns({
+        "total": F.sum("n").over(window),
+        "before": F.sum("n").over(window.orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")})
+    wanted = F.lit(False)
+    for p in probabilities:
+        for place in _places(p)[:2]:
+            wanted = wanted | _covers(place)
+    return materialise(placed.where(wanted).select(
+        *[F.col(k).alias(f"_k_{k}") for k in [*group, "_c"]], F.col("before").alias("_first"), F.col("total").alias("_total")))
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,8 +142,9 @@ def quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per group in long form: keys, ``measure``, ``n`` and one column per probability.
 
-    One pass over the rows serves all measures; the result is exact at any group size. ``bounded`` says
-    that the whole input was measured to fit one aggregation buffer, so the built-in aggregate will do.
+    Two passes over the rows serve all measures; the result is exact at any group size. The first counts rows per coarse bucket,
+    the second the values of the buckets that hold a wanted place, so ``df`` should be cheap to read again. ``bounded`` says
+    that the design bounds every group to what fits one aggregation buffer, so the built-in aggregate will do.
     """
     keys = list(keys)
     if bounded:
@@ -121,11 +156,15 @@ def quantiles(
     parts = [
         F.struct(F.lit(name).alias("measure"), _col(c).cast("double").alias("value")) for name, c in measures.items()
     ]
-    extra = [] if weight is None else [_col(weight).alias("_mult")]
-    long = df.select(*keys, *extra, F.explode(F.array(*parts)).alias("_m")).select(
-        *keys, *(["_mult"] if extra else []), "_m.measure", "_m.value"
-    )
-    positions = value_positions(long, [*keys, "measure"], "value", "_mult" if extra else None)
+    group = [*keys, "measure"]
+    amount = F.lit(1) if weight is None else _col(weight)
+    long = df.select(*keys, amount.cast("bigint").alias("_w"), F.explode(F.array(*parts)).alias("_m")).select(
+        *keys, "_w", "_m.measure", (F.col("_m.value") + F.lit(0.0)).alias("value"))
+    long = long.where(F.col("value").isNotNull() & (F.col("_w") > 0)).withColumn("_c", _bucket(F.col("value"), COARSE_BUCKETS_PER_UNIT))
+    near = long.join(_wanted_buckets(long, group, probabilities.values()), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*group, "_c"]])
+    inside = [*group, "_c", "_first", "_total"]
+    positions = value_positions(near, inside, "value", "_w").select(
+        *group, "value", "n", (F.col("_first") + F.col("before")).alias("before"), F.col("_total").alias("total"))
     aggregates = [F.max("total").alias("n")]
     for name, p in probabilities.items():
         low, high, share = _at(p)
@@ -158,6 +197,17 @@ def quantiles_wide(
     return long.groupBy(*keys).agg(*aggregates) if keys else long.agg(*aggregates)
 
 
+def by_size(df: DataFrame, key: str, summarise: Callable[[DataFrame, bool], DataFrame], large: int = LARGE) -> DataFrame:
+    """``summarise(rows, bounded)`` of the rows of small keys, dealt by key, and of the keys with more than ``large`` rows.
+
+    Groups within a small key fit an aggregation buffer and need no further exchange; those of a large key are spread.
+    """
+    big = materialise(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(F.col(key).alias("_big")))
+    same = F.col(key).eqNullSafe(F.col("_big"))
+    small = summarise(df.join(big, same, "left_anti").repartition(key), True)
+    return small if big.isEmpty() else small.unionByName(summarise(df.join(big, same, "left_semi"), False))
+
+
 def _builtin_quantiles(df, keys, measures, probabilities, weight) -> DataFrame:
     amount = F.lit(1) if weight is None else _col(weight)
     points = F.array(*[F.lit(float(p)) for p in probabilities.values()])
@@ -182,7 +232,7 @@ def with_ranks(df: DataFrame, keys: Sequence[str], value: str, output: str, meth
     oriented = -F.col(value) if descending else F.col(value)
     base = df.withColumn("_v", oriented.cast("double") + F.lit(0.0))
     positions = value_positions(base, keys, "_v").withColumnRenamed("value", "_v").drop("total")
-    joined = base.join(positions, [*keys, "_v"], "left")
+    joined = base.join(by_rows(positions), [*keys, "_v"], "left")
     if method == "average":
         rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     elif method == "min":
@@ -211,13 +261,13 @@ def with_percentile(df: DataFrame, keys: Sequence[str], measures: dict[str, tupl
     ]
     long = df.select(*keys, *ids, F.explode(F.array(*parts)).alias("_m")).select(*keys, *ids, "_m.*")
     positions = value_positions(long, [*keys, "measure"], "value")
-    scored = long.join(positions, [*keys, "measure", "value"]).withColumn(
+    scored = long.join(by_rows(positions), [*keys, "measure", "value"]).withColumn(
         "p", (F.col("before") + F.col("n") / F.lit(2.0)) / F.col("total")
     )
     wide = scored.groupBy(*keys, *ids).agg(
         *[F.max(F.when(F.col("measure") == out, F.col("p"))).alias(out) for out in measures]
     )
-    return df.join(wide, [*keys, *ids], "left")
+    return df.join(by_rows(wide), [*keys, *ids], "left")
 
 
 # Rules for populations bounded by the design (the inventory inside one draw or scenario).

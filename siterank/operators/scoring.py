@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from siterank.functions.columns import logistic, mean_of
 from siterank.operators.agreement import correlation, rank_change, spearman
 from siterank.operators.lineage import materialise
-from siterank.operators.order import inventory_rank, quantiles, with_percentile, with_ranks
+from siterank.operators.order import by_rows, inventory_rank, quantiles, with_percentile, with_ranks
 
 # Fixed names of the six factors and the three domains.
 SPECTRAL = {"ndvi_pressure": ("ndvi_median", False), "ndbi_pressure": ("ndbi_median", True),
@@ -38,7 +38,7 @@ def fixed_scores(spectral: DataFrame, terrain: DataFrame, last_epoch: str,
     scored = stage(with_percentile(spectral, ["radius_m"], {**SPECTRAL, **(comparison or {})}, ["component_id", "epoch_id"], bounded))
     static = stage(with_percentile(terrain, ["radius_m"], TERRAIN, ["component_id"], bounded).select(
         "component_id", "radius_m", *TERRAIN, mean_of(list(TERRAIN)).alias(TERRAIN_SCORE)))
-    out = scored.withColumns(landscape_score()).join(static, ["component_id", "radius_m"], "left")
+    out = scored.withColumns(landscape_score()).join(static if bounded else by_rows(static), ["component_id", "radius_m"], "left")
     out = stage(out.withColumn(PRIORITY, mean_of([LANDSCAPE, TERRAIN_SCORE])))
     ranked = with_ranks(out, ["radius_m", "epoch_id"], PRIORITY, "fixed_rank", "ordinal", tie="component_id", bounded=bounded)
     return ranked.withColumn("fixed_rank", F.when(F.col("epoch_id") == last_epoch, F.col("fixed_rank")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siterank.functions.columns import nested_levels, reflectance
 from siterank.operators.lineage import materialise
-from siterank.operators.order import quantiles_wide
+from siterank.operators.order import by_size, quantiles_wide
 from siterank.operators.scoring import fixed_scores
 from siterank.plans.registry import row_count, table
 
@@ -24,37 +24,45 @@ FIXED_INVENTORIES = frozenset({"p_brand"})
 
 # --- score frame ---------------------------------------------------------------------
 
-def neighbourhood_lines(spark: SparkSession, folder: str, entity: str) -> DataFrame:
-    """Line items once per radius whose quantity limit they meet."""
+def component_lines(spark: SparkSession, folder: str, entity: str) -> DataFrame:
+    """Line items with their component, epoch and measures."""
     items = table(spark, folder, "lineitem")
     if entity == "p_brand":
         part = table(spark, folder, "part").select("p_partkey", "p_brand")
         items = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    radii = nested_levels(F.col("l_quantity"), RADIUS_LIMITS)
     return items.select(
-        F.col(entity).alias("component_id"), F.explode(radii).alias("radius_m"),
-        F.concat(F.lit("E"), F.year("l_shipdate").cast("string")).alias("epoch_id"),
+        F.col(entity).alias("component_id"), F.concat(F.lit("E"), F.year("l_shipdate").cast("string")).alias("epoch_id"),
         F.col("l_discount").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_quantity").alias("c"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("d"), (F.col("l_orderkey") % 1000).cast("double").alias("e"))
+        (F.col("l_orderkey") % 1000).cast("double").alias("e"))
+
+
+def neighbourhoods(lines: DataFrame) -> DataFrame:
+    """Lines once per radius whose quantity limit they meet."""
+    return lines.withColumns({"radius_m": F.explode(nested_levels(F.col("c"), RADIUS_LIMITS)), "d": F.col("b") / F.col("c")})
 
 
-def spectral_summary(lines: DataFrame) -> DataFrame:
-    wide = quantiles_wide(lines, ["component_id", "radius_m", "epoch_id"], {"ndvi": "a", "ndbi": "b", "mndwi": "c"}, {"median": 0.5})
+def spectral_summary(lines: DataFrame, bounded: bool = False) -> DataFrame:
+    wide = quantiles_wide(lines, ["component_id", "radius_m", "epoch_id"], {"ndvi": "a", "ndbi": "b", "mndwi": "c"}, {"median": 0.5}, bounded=bounded)
     return wide.select("component_id", "radius_m", "epoch_id",
                        *[F.round(f"{m}_median", 9).alias(f"{m}_median") for m in ("ndvi", "ndbi", "mndwi")])
 
 
-def terrain_summary(lines: DataFrame) -> DataFrame:
-    wide = quantiles_wide(lines, ["component_id", "radius_m"], {"d": "d", "b": "b", "e": "e"}, {"q90": 0.9, "q50": 0.5})
+def terrain_summary(lines: DataFrame, bounded: bool = False) -> DataFrame:
+    wide = quantiles_wide(lines, ["component_id", "radius_m"], {"d": "d", "b": "b", "e": "e"}, {"q90": 0.9, "q50": 0.5}, bounded=bounded)
     return wide.select("component_id", "radius_m", F.round("d_q90", 9).alias("slope_p90_deg"),
                        F.round("b_q90", 9).alias("twi_proxy_p90"), F.round("e_q50", 9).alias("drainage_distance_median_m"))
 
 
 def score_table(spark: SparkSession, folder: str, entity: str = "p_brand") -> tuple[DataFrame, bool]:
     """Scores of all components, radii and epochs, and whether the model bounds that inventory."""
-    lines = neighbourhood_lines(spark, folder, entity)
+    lines = component_lines(spark, folder, entity)
     bounded = entity in FIXED_INVENTORIES
-    return fixed_scores(materialise(spectral_summary(lines)), materialise(terrain_summary(lines)), LAST_EPOCH, bounded=bounded), bounded
+    if bounded:  # few components of many lines each: joined once, read twice per summary
+        lines = neighbourhoods(materialise(lines))
+        parts = spectral_summary(lines), terrain_summary(lines)
+    else:
+        parts = tuple(by_size(lines, "component_id", lambda rows, small: f(neighbourhoods(rows), small)) for f in (spectral_summary, terrain_summary))
+    return fixed_scores(*map(materialise, parts), LAST_EPOCH, bounded=bounded), bounded
 
 
 def score_sql(entity: str = "p_brand") -> str:

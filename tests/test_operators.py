@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siterank.functions import columns as C, geodesy, keyed
 from siterank.operators import benchmark, checks, daily, decision, metrics, raster, sampling, spatial, terrain, trends
 from siterank.operators.agreement import rank_agreement
-from siterank.operators.order import numbered, quantiles, with_percentile, with_ranks
+from siterank.operators.order import by_size, numbered, quantiles, quantiles_wide, with_percentile, with_ranks
 from siterank.sources import grids, manifest, tables, vectors, weather
 
 
@@ -396,3 +396,27 @@ def test_numbering_without_one_task(spark):
     assert "SinglePartition" not in cells._jdf.queryExecution().executedPlan().toString() and cells.select("weather_cell_id").distinct().count() == 3
     predicted = spark.range(200).select(F.lit("m").alias("model"), (F.col("id") % 20).alias("block"), (F.col("id") % 3).alias("y"), (F.col("id") % 2).alias("prediction"))
     assert metrics.block_draws(predicted, 3, 5).count() == 5
+
+
+def test_quantiles_of_small_and_large_keys(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.randint(0, 2), rng.gauss(0, 100)) for k, n in (("hot", 900), ("a", 30), ("b", 1), (None, 40)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, g int, v double")
+    ways = []
+
+    def summarise(part, bounded):
+        ways.append(bounded)
+        return quantiles_wide(part, ["k", "g"], {"v": "v"}, {"q": 0.3}, bounded=bounded)
+
+    got = {(r["k"], r["g"]): (r["v_q"], r["v_n"]) for r in by_size(df, "k", summarise, 100).collect()}
+    groups = {(k, g) for k, g, _ in rows}
+    assert ways == [True, False] and set(got) == groups
+    for key in groups:
+        data = [v for k, g, v in rows if (k, g) == key]
+        assert got[key] == (pytest.approx(np.quantile(data, 0.3), rel=1e-12), len(data))
+
+
+def test_sides_that_grow_with_rows_are_not_broadcast(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.col("id").cast("double").alias("v"))
+    for out in (with_ranks(df, ["k"], "v", "r"), with_percentile(df, ["k"], {"p": ("v", True)}, ["id"])):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
