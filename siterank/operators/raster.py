@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siterank.functions.columns import (BANDS, HARMONISED_PLATFORM, INDICES, clear_pixel, harmonised, nested_levels, normalised_differences, physical,
                                         reflectance, strict_clear_pixel)
-from siterank.operators.order import quantiles, quantiles_wide
+from siterank.operators.order import by_rows, quantiles, quantiles_wide
 
 MINIMUM_OBSERVATIONS, PREFERRED_OBSERVATIONS = 3, 5
 SCENE_CLEAR_FLOOR = 0.05
@@ -94,9 +94,34 @@ def disc_cells(points: DataFrame, radii: Sequence[int], xmin: float, ymax: float
         *keys, "row", "col", F.explode(reached).alias("radius_m"))
 
 
+TILE = ["_ty", "_tx"]
+
+
 def disc_join(points: DataFrame, cells: DataFrame, radii: Sequence[int], xmin: float, ymax: float, cell: float,
               keys: Sequence[str] = ("component_id",)) -> DataFrame:
-    return disc_cells(points, radii, xmin, ymax, cell, keys).join(cells, ["row", "col"])
+    """The columns of every cell within a radius of a point, with keys, radius_m and the point's tile.
+
+    A point lies in one tile; cells go to their tile and to those they border within the largest radius. All cells of a point meet
+    it in one task, so groups by keys and tile need no exchange. The sides are merged: statistics do not see how far they unfold.
+    """
+    reach = int(max(radii) // cell) + 2
+    side = 4 * reach
+    at = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
+        *keys, "x", "y", F.floor((F.lit(ymax) - F.col("y")) / cell / side).alias("_ty"), F.floor((F.col("x") - xmin) / cell / side).alias("_tx"))
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+    dealt = cells.where((F.col("row") >= 0) & (F.col("col") >= 0)).withColumn("_ty", tiles("row")).withColumn("_tx", tiles("col"))
+    dx = F.lit(xmin) + (F.col("col") + 0.5) * cell - F.col("x")
+    dy = F.lit(ymax) - (F.col("row") + 0.5) * cell - F.col("y")
+    reached = nested_levels(F.col("_d2"), {int(r): float(r * r) for r in radii})
+    met = by_rows(at).join(dealt, TILE).withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= max(radii) ** 2)
+    return met.withColumn("radius_m", F.explode(reached)).drop("x", "y", "_d2")
+
+
+def by_place(points: DataFrame, summarise: Callable[[DataFrame, list[str]], DataFrame], keys: Sequence[str] = ("component_id",)) -> DataFrame:
+    """``summarise(points, extra)`` with the tile as extra grouping columns, for keys with one place; keys with several places pool them."""
+    counted = points.withColumn("_places", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    part = lambda condition: counted.where(condition).drop("_places")
+    return summarise(part("_places = 1"), TILE).drop(*TILE).unionByName(summarise(part("_places > 1"), []))
 
 
 def lonlat_disc_cells(points: DataFrame, radii: Sequence[int], lat0: float, lon0: float, step: float, keys: Sequence[str] = ("component_id",)) -> DataFrame:
@@ -116,9 +141,9 @@ def lonlat_disc_cells(points: DataFrame, radii: Sequence[int], lat0: float, lon0
         *keys, "row", "col", F.explode(reached).alias("radius_m"))
 
 
-def neighbourhood_summary(joined: DataFrame, keys: Sequence[str], indices: Sequence[str] = tuple(INDICES), bounded: bool = False) -> DataFrame:
-    """A1: valid cells, median and 10 / 90 % quantiles of every index."""
-    wide = quantiles_wide(joined, keys, {i: i for i in indices}, {"median": 0.5, "p10": 0.1, "p90": 0.9}, bounded=bounded)
+def neighbourhood_summary(joined: DataFrame, keys: Sequence[str], indices: Sequence[str] = tuple(INDICES), bounded: bool = False, weight: str | None = None) -> DataFrame:
+    """A1: valid cells, median and 10 / 90 % quantiles of every index. A disc is ``bounded`` by its radius."""
+    wide = quantiles_wide(joined, keys, {i: i for i in indices}, {"median": 0.5, "p10": 0.1, "p90": 0.9}, weight, bounded)
     return wide.withColumnRenamed(f"{indices[0]}_n", "valid_cells").drop(*[f"{i}_n" for i in indices[1:]])
 
 
@@ -178,11 +203,12 @@ def convergence_counts(cells: DataFrame) -> DataFrame:
 
 def hotspots(joined: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
     """A5: share of cells at two and three criteria, and the median deltas."""
-    shares = joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("valid_cells"), F.avg((F.col("convergence") >= 2).cast("int")).alias("share_c_ge_2"),
-        F.avg((F.col("convergence") == 3).cast("int")).alias("share_c_eq_3"))
+    shares = [F.count(F.lit(1)).alias("valid_cells"), F.avg((F.col("convergence") >= 2).cast("int")).alias("share_c_ge_2"),
+              F.avg((F.col("convergence") == 3).cast("int")).alias("share_c_eq_3")]
+    if bounded:
+        return joined.groupBy(*keys).agg(*shares, *[F.percentile(f"d_{i}", F.lit(0.5)).alias(f"d_{i}_median") for i in CONVERGENCE])
     medians = quantiles_wide(joined, keys, {f"d_{i}": f"d_{i}" for i in CONVERGENCE}, {"median": 0.5}, bounded=bounded)
-    return shares.join(medians.drop(*[f"d_{i}_n" for i in CONVERGENCE]), list(keys))
+    return joined.groupBy(*keys).agg(*shares).join(medians.drop(*[f"d_{i}_n" for i in CONVERGENCE]), list(keys))
 
 
 def common_support(joined_all: DataFrame, epochs: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from siterank.functions import columns as C, geodesy
 from siterank.operators import raster, spatial
+from siterank.operators.lineage import materialise
+from siterank.operators.order import by_rows
 from siterank.plans import bindings as B
 from siterank.plans.registry import query, r, rounded, row_count, table
 
@@ -99,6 +101,11 @@ def disc_table(spark, folder):
     return raster.disc_join(B.places(spark, folder), valid_cells(spark, folder), B.DISC_RADII, *GRID)
 
 
+def disc_groups(spark, folder, cells, summarise, keys, radii=B.DISC_RADII):
+    """``summarise(joined, keys)`` of the discs of all places, within their tiles."""
+    return raster.by_place(B.places(spark, folder), lambda p, tile: summarise(raster.disc_join(p, cells, radii, *GRID), [*keys, *tile]))
+
+
 DISC_SQL = f"{B.index_cells_sql()}, {B.places_sql()}, {B.discs_sql()}"
 
 
@@ -116,22 +123,25 @@ def disc_join(spark, folder):
 SELECT component_id, radius_m, epoch_id, count(*) AS valid_cells, {', '.join(f'{r(f"quantile_cont({i}, {q})")} AS {i}_{n}' for i in INDICES for n, q in (('median', 0.5), ('p10', 0.1), ('p90', 0.9)))}
 FROM discs GROUP BY 1, 2, 3""")
 def neighbourhood(spark, folder):
-    return rounded(raster.neighbourhood_summary(disc_table(spark, folder), ["component_id", "radius_m", "epoch_id"]))
+    summarise = lambda joined, keys: raster.neighbourhood_summary(joined, keys, bounded=True)
+    return rounded(disc_groups(spark, folder, valid_cells(spark, folder), summarise, ["component_id", "radius_m", "epoch_id"]))
 
 
 @query("a1_neighbourhood_summary_bucketed", f"""WITH {DISC_SQL}
 SELECT radius_m, epoch_id, count(*) AS valid_cells, {', '.join(f'{r(f"quantile_cont({i}, {q})")} AS {i}_{n}' for i in INDICES for n, q in (('median', 0.5), ('p10', 0.1), ('p90', 0.9)))}
 FROM discs GROUP BY 1, 2""")
 def neighbourhood_bucketed(spark, folder):
-    """The bucketed quantiles that large inputs take, over groups of all discs of a radius."""
-    return rounded(raster.neighbourhood_summary(disc_table(spark, folder), ["radius_m", "epoch_id"], bounded=False))
+    """The bucketed quantiles that large inputs take, over groups of all discs of a radius; a cell counts once per disc that covers it."""
+    discs = raster.disc_cells(B.places(spark, folder), B.DISC_RADII, *GRID).groupBy("radius_m", "row", "col").agg(F.count(F.lit(1)).alias("discs"))
+    covered = by_rows(materialise(discs)).join(materialise(valid_cells(spark, folder).drop("lc_class")), ["row", "col"])
+    return rounded(raster.neighbourhood_summary(covered, ["radius_m", "epoch_id"], weight="discs"))
 
 
 @query("a2_class_shares", f"""WITH {DISC_SQL}
 SELECT component_id, radius_m, epoch_id, count(*) FILTER (lc_class > 0) AS classified_cells,
   {', '.join(f'{r(f"count(*) FILTER (lc_class = {k}) * 1e0 / nullif(count(*) FILTER (lc_class > 0), 0)")} AS lc_class_{k}_share' for k in range(1, 7))} FROM discs GROUP BY 1, 2, 3""")
 def class_shares(spark, folder):
-    return rounded(raster.class_shares(disc_table(spark, folder), ["component_id", "radius_m", "epoch_id"]))
+    return rounded(raster.class_shares(disc_table(spark, folder).drop(*raster.TILE), ["component_id", "radius_m", "epoch_id"]))
 
 
 @query("a30_site_epoch_medians", f"WITH {B.index_cells_sql()} SELECT epoch_id, {', '.join(f'{r(f"median({i})")} AS grid_median_{i}' for i in INDICES[:3])} FROM vcells GROUP BY 1")
@@ -190,8 +200,9 @@ def convergence(spark, folder):
 SELECT component_id, radius_m, count(*) AS valid_cells, {r('avg(CASE WHEN convergence >= 2 THEN 1 ELSE 0 END)')} AS share_c_ge_2, {r('avg(CASE WHEN convergence = 3 THEN 1 ELSE 0 END)')} AS share_c_eq_3,
   {', '.join(f'{r(f"median(d_{i})", 9)} AS d_{i}_median' for i in ('ndvi', 'mndwi', 'ndbi'))} FROM discs GROUP BY 1, 2""")
 def hotspots(spark, folder):
-    joined = raster.disc_join(B.places(spark, folder), convergence_cells(spark, folder, (0.2,)), B.DISC_RADII, *GRID)
-    return rounded(raster.hotspots(joined, ["component_id", "radius_m"]), 9).withColumns(
+    summarise = lambda joined, keys: raster.hotspots(joined, keys, bounded=True)
+    out = disc_groups(spark, folder, materialise(convergence_cells(spark, folder, (0.2,))), summarise, ["component_id", "radius_m"])
+    return rounded(out, 9).withColumns(
         {c: F.round(c, 6) + 0.0 for c in ("share_c_ge_2", "share_c_eq_3")})
 
 
@@ -204,7 +215,8 @@ SELECT component_id, radius_m, count(*) AS support_cells, count(*) FILTER (v = 7
   {', '.join(f'{r(f"avg(v_{e})")} AS valid_share_{e}' for e in EPOCHS)} FROM pc GROUP BY 1, 2""")
 def common_support(spark, folder):
     cells = B.index_cells(spark, folder).withColumn("is_valid", C.valid_cell())
-    return rounded(raster.common_support(raster.disc_join(B.places(spark, folder), cells, B.DISC_RADII, *GRID), EPOCHS, ["component_id", "radius_m"]))
+    seen = cells.select("epoch_id", "row", "col", "is_valid")
+    return rounded(disc_groups(spark, folder, seen, lambda joined, keys: raster.common_support(joined, EPOCHS, keys), ["component_id", "radius_m"]))
 
 
 def _delta_medians_sql(prefix, name):
@@ -220,13 +232,13 @@ lg AS ({' UNION ALL '.join(f"SELECT radius_m, '{i}' AS index, n.{i} AS a, c.{i}
 rk AS ({B.ranks_sql('lg', 'radius_m, index', 'a', 'b')})
 SELECT radius_m, index, {r('avg(CASE WHEN sign(a) = sign(b) THEN 1 ELSE 0 END)')} AS direction_agreement, {r('median(abs(a - b))', 8)} AS median_abs_difference, count(*) AS n, {r('corr(rx, ry)')} AS spearman_rho FROM rk GROUP BY 1, 2""")
 def harmonisation(spark, folder):
-    cells = composite(spark, folder).where(F.col("epoch_id").isin(FIRST, LAST))
+    cells = materialise(composite(spark, folder).where(F.col("epoch_id").isin(FIRST, LAST)).select("epoch_id", "row", "col", *[f"{p}{i}" for p in ("native_", "") for i in INDICES[:3]]))
+    summarise = lambda joined, keys: raster.hotspots(joined, keys, bounded=True)
     sides = []
     for prefix in ("native_", ""):
         side = raster.endpoint_deltas(cells.select("epoch_id", "row", "col", *[F.col(f"{prefix}{i}").alias(i) for i in INDICES[:3]]), FIRST, LAST)
-        joined = raster.disc_join(B.places(spark, folder), side.withColumn("convergence", F.lit(0)), B.DISC_RADII, *GRID)
-        h = raster.hotspots(joined, ["component_id", "radius_m"])
-        sides.append(h.select("component_id", "radius_m", *[F.round(f"d_{i}_median", 9).alias(f"d_{i}_median") for i in INDICES[:3]]))
+        h = disc_groups(spark, folder, side.withColumn("convergence", F.lit(0)), summarise, ["component_id", "radius_m"])
+        sides.append(materialise(h.select("component_id", "radius_m", *[F.round(f"d_{i}_median", 9).alias(f"d_{i}_median") for i in INDICES[:3]])))
     out = raster.harmonisation_sensitivity(sides[0], sides[1], ["component_id"], INDICES[:3])
     return rounded(out, 8).withColumns({c: F.round(c, 6) + 0.0 for c in ("direction_agreement", "spearman_rho")})
 
@@ -298,8 +310,8 @@ x AS (SELECT band, median, label, row_number() OVER (PARTITION BY band ORDER BY
 SELECT band, {r('median')} AS median, label AS nearest_label, band = label AS matches FROM x WHERE i = 1""")
 def band_identity(spark, folder):
     cells = valid_cells(spark, folder).where(F.col("epoch_id") == LAST)
-    joined = raster.disc_join(B.places(spark, folder), cells, [240], *GRID)
-    summary = raster.neighbourhood_summary(joined, ["component_id"], INDICES[:3])
+    summarise = lambda joined, keys: raster.neighbourhood_summary(joined, keys, INDICES[:3], bounded=True)
+    summary = disc_groups(spark, folder, cells, summarise, ["component_id"], [240])
     references = summary.select(*[F.col(f"{i}_median").alias(i) for i in INDICES[:3]])
     return rounded(raster.band_identity(cells, references, INDICES[:3]))
 

@@ -420,3 +420,22 @@ def test_sides_that_grow_with_rows_are_not_broadcast(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.col("id").cast("double").alias("v"))
     for out in (with_ranks(df, ["k"], "v", "r"), with_percentile(df, ["k"], {"p": ("v", True)}, ["id"])):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_disc_join_by_tiles_meets_the_cells_of_every_disc(spark):
+    rng = random.Random(3)
+    points = [(i, rng.uniform(-50, 3000), rng.uniform(-3000, 50)) for i in range(40)] + [(41, None, 0.0)]
+    at = spark.createDataFrame(points, "component_id long, x double, y double")
+    cells = spark.range(100 * 100).select(F.floor(F.col("id") / 100).alias("row"), (F.col("id") % 100).alias("col"))
+    joined = raster.disc_join(at, cells, [60, 120], 0.0, 0.0, 30.0)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["component_id"], r["radius_m"], r["row"], r["col"]) for r in joined.collect())
+    assert got == sorted((i, m, r, c) for i, x, y in points[:-1] for m in (60, 120) for r in range(100) for c in range(100)
+                         if ((c + 0.5) * 30 - x) ** 2 + ((-r - 0.5) * 30 - y) ** 2 <= m * m)
+
+
+def test_keys_with_several_places_pool_them(spark):
+    at = spark.createDataFrame([(1, 15.0, -15.0), (1, 2985.0, -15.0), (2, 15.0, -15.0)], "component_id long, x double, y double")
+    cells = spark.range(100).select(F.lit(0).alias("row"), F.col("id").alias("col"))
+    count = lambda p, tile: raster.disc_join(p, cells, [30], 0.0, 0.0, 30.0).groupBy("component_id", *tile).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(tuple(r) for r in raster.by_place(at, count).collect()) == [(1, 4), (2, 2)]
