@@ -142,9 +142,9 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, tolerance: flo
     placed = materialise(with_ranks(level.join(offset, keys), keys, "x", "pos", "ordinal", descending=False, tie="y").select(*keys, "pos", (F.col("y") - F.col("residual_offset") - F.col("slope") * F.col("x")).alias("a")))
     lagged = placed.join(placed.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("a").alias("b")), [*keys, "pos"]).groupBy(*keys).agg(correlation("a", "b").alias("lag1"))
     out = fits.join(offset, keys, "left").join(lagged, keys, "left")
-    size = F.col("n").cast("double")
-    reduced = F.least(F.greatest(size * (1 - F.col("lag1")) / F.nullif(1 + F.col("lag1"), F.lit(0.0)), F.lit(2.0)), size)
-    return out.withColumn("effective_n", F.coalesce(reduced, size))
+    size, lag1 = F.col("n").cast("double"), F.col("lag1")
+    reduced = F.least(F.greatest(size * (1 - lag1) / F.nullif(1 + lag1, F.lit(0.0)), F.lit(2.0)), size)
+    return out.withColumn("effective_n", F.when(lag1 > -1, reduced).otherwise(size))  # all n without a lag correlation; greatest passes over NULL
 
 
 TREND_COLUMNS = ["n", "slope", "intercept", "slope_low_95", "slope_high_95", "effective_n"]
