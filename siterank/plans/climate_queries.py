@@ -385,7 +385,7 @@ ci AS (SELECT metric, max(CASE WHEN i = greatest(round_even((m - 1.9599639845400
 
 @query("a24_a26_theil_sen", f"""WITH {site_sql()}, {HALF_SQL}, {LIMIT_SQL}, {metrics_sql('period', 'sh')}, {TREND_LONG_SQL}, {FIT_SQL}, {TIES_SQL}
 SELECT metric, n, {r('slope')} AS slope, {r('intercept')} AS intercept, {r('lo')} AS slope_low_95, {r('hi')} AS slope_high_95,
-  {r('coalesce(least(greatest(n * (1 - lag1) / nullif(1 + lag1, 0), 2), n), n)')} AS effective_n FROM ft JOIN ci USING (metric) JOIN l1 USING (metric)""")
+  {r('CASE WHEN isfinite(lag1) AND lag1 > -1 THEN least(greatest(n * (1 - lag1) / (1 + lag1), 2), n) ELSE n END')} AS effective_n FROM ft JOIN ci USING (metric) JOIN l1 USING (metric)""")
 def theil_sen(spark, folder):
     return rounded(trends.theil_sen(half_year_series(spark, folder), ["metric"], "x", "y").select("metric", *trends.TREND_COLUMNS))
 
@@ -411,7 +411,8 @@ def block_bootstrap(spark, folder):
 
 
 BH_SQL = """
-rk AS (SELECT *, row_number() OVER (ORDER BY block_p, metric) AS i, count(*) OVER () AS m FROM bo),
+vr AS (SELECT metric, count(*) >= 8 AND min(y) < max(y) AS ok FROM tl GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (ORDER BY block_p, metric) AS i, count(*) OVER () AS m FROM bo JOIN vr USING (metric) WHERE ok),
 bh AS (SELECT *, least(min(block_p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS fdr FROM rk)"""
 TAU_SQL = """
 tk AS (SELECT a.metric, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(CASE WHEN a.y = b.y THEN 0 ELSE 1 END) AS py, count(*) AS px
@@ -419,8 +420,8 @@ tk AS (SELECT a.metric, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(CASE WH
 
 
 @query("m2_a25_a27_trend_table", f"""WITH {site_sql()}, {HALF_SQL}, {LIMIT_SQL}, {metrics_sql('period', 'sh')}, {TREND_LONG_SQL}, {FIT_SQL}, {BOOT_SQL}, {BH_SQL}, {TAU_SQL}
-SELECT metric, n, {r('slope')} AS slope, {r('s / sqrt(px * 1e0 * py)')} AS kendall_tau, {r('block_p')} AS block_p, {r('fdr')} AS fdr_adjusted_block_p,
-  'INFERENTIAL_WITH_BLOCK_BOOTSTRAP' AS status FROM ft JOIN bh USING (metric) JOIN tk USING (metric)""")
+SELECT metric, n, {r('CASE WHEN vr.ok THEN slope END')} AS slope, {r('CASE WHEN vr.ok THEN s / sqrt(px * 1e0 * py) END')} AS kendall_tau, {r('block_p')} AS block_p, {r('fdr')} AS fdr_adjusted_block_p,
+  CASE WHEN vr.ok THEN 'INFERENTIAL_WITH_BLOCK_BOOTSTRAP' ELSE 'INSUFFICIENT_OR_CONSTANT' END AS status FROM ft JOIN vr USING (metric) LEFT JOIN bh USING (metric) LEFT JOIN tk USING (metric)""")
 def trend_table(spark, folder):
     out = trends.trend_table(half_year_series(spark, folder), ["metric"], "x", "y", BOOT_DRAWS, BLOCK)
     return rounded(out.select("metric", "n", "slope", "kendall_tau", "block_p", "fdr_adjusted_block_p", "status"))
