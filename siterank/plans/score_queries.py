@@ -84,7 +84,7 @@ def factor_correlation(spark, folder):
 
 
 @query("a28_redundancy_screen", f"""WITH {score_sql()}, {_long_sql(SCREENED)}, {PAIR_SQL},
-rho AS (SELECT radius_m, factor_a, factor_b, count(*) AS n, corr(rx, ry) AS rho
+rho AS (SELECT radius_m, factor_a, factor_b, count(*) AS n, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho
   FROM ({ranks_sql('pairs', 'radius_m, factor_a, factor_b', 'x', 'y')}) GROUP BY ALL)
 SELECT radius_m, factor_a, factor_b, n, {r('rho')} AS spearman_rho,
   CASE WHEN factor_a IN ('ndvi_pressure', 'ndbi_pressure') AND factor_b IN ('ndvi_pressure', 'ndbi_pressure')

@@ -1,6 +1,7 @@
 """The registry is consistent and its flagship plan has the expected shape."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
@@ -37,3 +38,18 @@ def test_small_sample_of_oracles(spark, folder):
         order = [[d[0] for d in result.description].index(c) for c in columns]
         expected = sorted((tuple(str(row[i]) for i in order) for row in result.fetchall()))
         assert sorted(tuple(str(v) for v in row) for row in df.select(*columns).collect()) == expected
+
+
+@pytest.mark.parametrize("name", ["a24_a26_theil_sen", "m2_a25_a27_trend_table", "a28_redundancy_screen"])
+def test_constant_series_and_factors_follow_the_sql(spark, folder, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (26e0 + l_orderkey % 3 AS l_quantity, 5e-2 AS l_discount) FROM '{folder}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (FROM '{folder}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    result = con.execute(entry.oracle_sql()[name])
+    order = [[d[0] for d in result.description].index(c) for c in columns]
+    expected = sorted((tuple(str(row[i]) for i in order) for row in result.fetchall()))
+    assert sorted(tuple(str(v) for v in row) for row in df.select(*columns).collect()) == expected
