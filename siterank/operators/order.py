@@ -6,6 +6,7 @@ monotone bucket of the value then splits the group: bucket totals give the offse
 each bucket and a window inside one (group, bucket) gives the offset of each value.
 Quantiles read the rows twice instead: counts per coarse bucket tell which buckets hold
 the wanted places, and only values of these are counted, so rows are hardly moved.
+Where groups overlap, ``quantiles_of_cells`` counts every row once in the finest cell it lies in.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from siterank.operators.lineage import materialise
 BUCKETS_PER_UNIT = 8192.0
 COARSE_BUCKETS_PER_UNIT = 64.0
 MAGNITUDE_SCALE = 1048576.0
+#: Buckets of a value in a cell: few enough that a task counts them without many partial rows, narrow enough that few values are wanted.
+CELL_BUCKETS_PER_UNIT = 32.0
+CELL_BUCKET_LIMIT = (1 << 15) - 2
 #: Rows of one key from which on its groups are no longer left to one task.
 LARGE = 1 << 16
 
@@ -98,9 +102,9 @@ def numbered(df: DataFrame, order: Sequence[str | Column], output: str, sums: di
     return out.select(*df.columns, output, *sums)
 
 
-def _places(probability: float) -> tuple[Column, Column, Column]:
+def _places(probability: float | Column) -> tuple[Column, Column, Column]:
     """The two places a quantile lies between and its share of the way."""
-    h = (F.col("total") - 1) * F.lit(float(probability))
+    h = (F.col("total") - 1) * (probability if isinstance(probability, Column) else F.lit(float(probability)))
     return F.floor(h), F.ceil(h), h - F.floor(h)
 
 
@@ -108,7 +112,7 @@ def _covers(place: Column) -> Column:
     return (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
 
 
-def _at(probability: float) -> tuple[Column, Column, Column]:
+def _at(probability: float | Column) -> tuple[Column, Column, Column]:
     low, high, share = _places(probability)
     return (
         F.max(F.when(_covers(low), F.col("value"))),
@@ -197,6 +201,55 @@ def quantiles_wide(
     return long.groupBy(*keys).agg(*aggregates) if keys else long.agg(*aggregates)
 
 
+def _cell_key(cell: Column, measure: Column, bucket: Column) -> Column:
+    """Cell (below 2**40), measure (below 2**7) and bucket as one number, so that counting and joining hash a long."""
+    return F.shiftleft(F.shiftleft(cell.cast("bigint"), 7) + measure, 16) + bucket + F.lit(CELL_BUCKET_LIMIT + 1)
+
+
+def quantiles_of_cells(rows: DataFrame, measures: dict[str, str | Column], groups: DataFrame, keys: Sequence[str],
+                       wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Linear-interpolation quantiles of groups that overlap, each a union of cells: the keys and one column per output.
+
+    ``rows`` have a whole number ``cell``, and ``groups`` lists (cell, *keys, outputs): the outputs a group asks for, the same for all its
+    cells; the others are NULL. ``wanted`` maps an output to (measure, probability). A row is counted once in its cell, however many groups hold that, and counts are added up to groups. ``rows`` are read twice: counts per
+    bucket tell which buckets hold the wanted places, then values of these are counted. The result is exact at any group size;
+    a measure without a value gives NULL. Cells and groups are few beside the rows and are broadcast.
+    """
+    keys, number = list(keys), {m: i for i, m in enumerate(measures)}
+    entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("m"), (_col(c).cast("double") + F.lit(0.0)).alias("value")) for i, c in enumerate(measures.values())])
+    long = rows.select("cell", F.explode(entries).alias("_e")).select("cell", "_e.*").where(F.col("value").isNotNull())
+    limit = F.lit(CELL_BUCKET_LIMIT).cast("bigint")
+    bucket = F.when(F.isnan("value"), limit + 1).otherwise(F.greatest(-limit, F.least(limit, _bucket(F.col("value"), CELL_BUCKETS_PER_UNIT))))
+    keyed = long.select(_cell_key(F.col("cell"), F.col("m"), bucket).alias("_key"), "value")
+    parts = {"_c": F.shiftright("_key", 23), "_m": F.shiftright("_key", 16).bitwiseAND(F.lit(127)), "_b": F.col("_key").bitwiseAND(F.lit(65535))}
+
+    counts = materialise(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_w"))).withColumns(parts)
+    requests = F.array(*[F.struct(F.lit(o).alias("_o"), F.lit(number[m]).cast("bigint").alias("_m"), F.lit(float(p)).alias("_p")) for o, (m, p) in wanted.items()])
+    asked = groups.select(F.col("cell").cast("bigint").alias("_c"), F.struct(*keys).alias("_g"), "outputs", F.explode(requests).alias("_r")).select("_c", "_g", "outputs", "_r.*")
+    asked = materialise(asked.where(F.array_contains("outputs", F.col("_o"))).drop("outputs"))
+    per_group = counts.join(F.broadcast(asked), ["_c", "_m"]).groupBy("_g", "_o", "_m", "_p", "_b").agg(F.sum("_w").alias("n"))
+    window = W.partitionBy("_g", "_o")
+    placed = per_group.withColumns({
+        "total": F.sum("n").over(window),
+        "before": F.sum("n").over(window.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")})
+    low, high, _ = _places(F.col("_p"))
+    held = materialise(placed.where(_covers(low) | _covers(high)).select(
+        F.monotonically_increasing_id().alias("_q"), "_g", "_o", "_m", "_p", "_b", F.col("before").alias("_first"), F.col("total").alias("_total")))
+
+    near = asked.join(F.broadcast(held), ["_g", "_o", "_m", "_p"]).select("_c", "_m", "_b", "_q")
+    keep = materialise(near.select(_cell_key(F.col("_c"), F.col("_m"), F.col("_b") - F.lit(CELL_BUCKET_LIMIT + 1)).alias("_key")).distinct())
+    values = materialise(keyed.join(F.broadcast(keep), "_key").groupBy("_key", "value").agg(F.count(F.lit(1)).alias("_w"))).withColumns(parts)
+    positions = value_positions(values.join(F.broadcast(near), ["_c", "_m", "_b"]), ["_q"], "value", "_w").drop("total")
+    positions = positions.join(F.broadcast(held), "_q").select(
+        "_g", "_o", "_p", "value", "n", (F.col("_first") + F.col("before")).alias("before"), F.col("_total").alias("total"))
+    below, above, share = _at(F.col("_p"))
+    found = positions.groupBy("_g", "_o").agg(below.alias("_lo"), above.alias("_hi"), share.alias("_t")).select(
+        "_g", "_o", (F.col("_lo") * (1 - F.col("_t")) + F.col("_hi") * F.col("_t")).alias("q"))
+    wide = asked.select("_g", "_o").distinct().join(found, ["_g", "_o"], "left").groupBy("_g").agg(
+        *[F.max(F.when(F.col("_o") == o, F.col("q"))).alias(o) for o in wanted])
+    return wide.select("_g.*", *wanted)
+
+
 def by_size(df: DataFrame, key: str, summarise: Callable[[DataFrame, bool], DataFrame], large: int = LARGE) -> DataFrame:
     """``summarise(rows, bounded)`` of the rows of small keys, dealt by key, and of the keys with more than ``large`` rows.
 

@@ -6,11 +6,11 @@ quantity limits, raster cells are parts, daily weather is the daily flow of line
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from siterank.functions.columns import nested_levels, reflectance
 from siterank.operators.lineage import materialise
-from siterank.operators.order import by_size, quantiles_wide
+from siterank.operators.order import by_size, quantiles_of_cells, quantiles_wide
 from siterank.operators.scoring import fixed_scores
 from siterank.plans.registry import row_count, table
 
@@ -26,11 +26,7 @@ FIXED_INVENTORIES = frozenset({"p_brand"})
 
 def component_lines(spark: SparkSession, folder: str, entity: str) -> DataFrame:
     """Line items with their component, epoch and measures."""
-    items = table(spark, folder, "lineitem")
-    if entity == "p_brand":
-        part = table(spark, folder, "part").select("p_partkey", "p_brand")
-        items = items.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return items.select(
+    return table(spark, folder, "lineitem").select(
         F.col(entity).alias("component_id"), F.concat(F.lit("E"), F.year("l_shipdate").cast("string")).alias("epoch_id"),
         F.col("l_discount").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_quantity").alias("c"),
         (F.col("l_orderkey") % 1000).cast("double").alias("e"))
@@ -53,16 +49,53 @@ def terrain_summary(lines: DataFrame, bounded: bool = False) -> DataFrame:
                        F.round("b_q90", 9).alias("twi_proxy_p90"), F.round("e_q50", 9).alias("drainage_distance_median_m"))
 
 
+RINGS = sorted(RADIUS_LIMITS, key=RADIUS_LIMITS.get)
+#: Shares a year's place in a cell number; a line without a date has the last one.
+NO_YEAR = (1 << 15) - 1
+
+
+def inventory_summaries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``spectral_summary`` and ``terrain_summary`` of the brands: few components of many lines each.
+
+    A line lies in one cell of component, year and ring (the least radius that holds it), and is read twice for all radii and both summaries.
+    """
+    part = table(spark, folder, "part").select("p_partkey", "p_brand")
+    brands = materialise(part.select(F.col("p_brand").alias("component_id")).distinct().select("component_id", (F.row_number().over(W.orderBy("component_id")) - 1).cast("bigint").alias("_brand")))
+    part = part.join(F.broadcast(brands), F.col("p_brand").eqNullSafe(F.col("component_id"))).select("p_partkey", "_brand")
+    ring = F.lit(None).cast("int")
+    for i, radius in reversed(list(enumerate(RINGS))):
+        ring = F.when(F.col("l_quantity") <= RADIUS_LIMITS[radius], i).otherwise(ring)
+    year = F.coalesce(F.year("l_shipdate"), F.lit(NO_YEAR))
+    items = table(spark, folder, "lineitem").select(
+        "l_partkey", year.alias("_year"), ring.alias("_ring"), F.col("l_discount").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_quantity").alias("c"),
+        (F.col("l_orderkey") % 1000).cast("double").alias("e")).where(F.col("_ring").isNotNull())
+    cell = F.shiftleft(F.shiftleft("_brand", 15) + F.col("_year"), 2) + F.col("_ring")
+    lines = materialise(items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(cell.alias("cell"), "a", "b", "c", "e"))
+    cells = materialise(lines.select("cell").distinct()).select(
+        "cell", F.shiftright("cell", 17).alias("_brand"), F.shiftright("cell", 2).bitwiseAND(F.lit(NO_YEAR)).alias("_year"), F.col("cell").bitwiseAND(F.lit(3)).alias("_ring"))
+    radii = F.array(*[F.struct(F.lit(i).alias("_least"), F.lit(r).alias("radius_m")) for i, r in enumerate(RINGS)])
+    groups = cells.join(F.broadcast(brands), "_brand").select("*", F.explode(radii).alias("_r")).where(F.col("_ring") <= F.col("_r._least")).select(
+        "cell", "component_id", "_r.radius_m", F.when(F.col("_year") != NO_YEAR, F.concat(F.lit("E"), F.col("_year").cast("string"))).alias("epoch_id"))
+    spectral = {"ndvi_median": ("a", 0.5), "ndbi_median": ("b", 0.5), "mndwi_median": ("c", 0.5)}
+    terrain = {"slope_p90_deg": ("d", 0.9), "twi_proxy_p90": ("b", 0.9), "drainage_distance_median_m": ("e", 0.5)}
+    keys = ["component_id", "radius_m", "epoch_id", "summary"]
+    ask = lambda kind, names: {"summary": F.lit(kind), "outputs": F.array(*map(F.lit, names))}
+    both = groups.withColumns(ask("spectral", spectral)).unionByName(groups.withColumn("epoch_id", F.lit(None).cast("string")).withColumns(ask("terrain", terrain)))
+    found = materialise(quantiles_of_cells(lines, {"a": "a", "b": "b", "c": "c", "d": F.col("b") / F.col("c"), "e": "e"}, both, keys, spectral | terrain))
+    shape = lambda kind, by, names: found.where(F.col("summary") == kind).select(*by, *[F.round(n, 9).alias(n) for n in names])
+    return shape("spectral", keys[:3], spectral), shape("terrain", keys[:2], terrain)
+
+
 def score_table(spark: SparkSession, folder: str, entity: str = "p_brand") -> tuple[DataFrame, bool]:
     """Scores of all components, radii and epochs, and whether the model bounds that inventory."""
-    lines = component_lines(spark, folder, entity)
     bounded = entity in FIXED_INVENTORIES
-    if bounded:  # few components of many lines each: joined once, read twice per summary
-        lines = neighbourhoods(materialise(lines))
-        parts = spectral_summary(lines), terrain_summary(lines)
+    if bounded:
+        parts = inventory_summaries(spark, folder)
     else:
+        lines = component_lines(spark, folder, entity)
         parts = tuple(by_size(lines, "component_id", lambda rows, small: f(neighbourhoods(rows), small)) for f in (spectral_summary, terrain_summary))
-    return fixed_scores(*map(materialise, parts), LAST_EPOCH, bounded=bounded), bounded
+        parts = map(materialise, parts)
+    return fixed_scores(*parts, LAST_EPOCH, bounded=bounded), bounded
 
 
 def score_sql(entity: str = "p_brand") -> str:

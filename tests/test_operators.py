@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from siterank.functions import columns as C, geodesy, keyed
 from siterank.operators import benchmark, checks, daily, decision, metrics, raster, sampling, spatial, terrain, trends
 from siterank.operators.agreement import rank_agreement
-from siterank.operators.order import by_size, numbered, quantiles, quantiles_wide, with_percentile, with_ranks
+from siterank.operators import order
+from siterank.operators.order import by_size, numbered, quantiles, quantiles_of_cells, quantiles_wide, with_percentile, with_ranks
 from siterank.sources import grids, manifest, tables, vectors, weather
 
 
@@ -439,3 +440,40 @@ def test_keys_with_several_places_pool_them(spark):
     cells = spark.range(100).select(F.lit(0).alias("row"), F.col("id").alias("col"))
     count = lambda p, tile: raster.disc_join(p, cells, [30], 0.0, 0.0, 30.0).groupBy("component_id", *tile).agg(F.count(F.lit(1)).alias("n"))
     assert sorted(tuple(r) for r in raster.by_place(at, count).collect()) == [(1, 4), (2, 2)]
+
+
+def test_quantiles_of_overlapping_groups_count_every_row_once(spark, monkeypatch):
+    rng = random.Random(4)
+    draw = lambda: rng.choice([None, math.inf, -math.inf, 0.0, -0.0, rng.gauss(0, 1e3), rng.gauss(0, 1e-7), float(rng.randint(-5, 5)), 10.0 + rng.random()])
+    rows = [(rng.choice([0, 1, 2, 5, 1 << 39]), draw(), rng.uniform(900, 1e5)) for _ in range(4000)] + [(7, None, 1.0), (7, None, 2.0), (8, math.nan, 3.0), (8, 1.0, 4.0), (8, 2.0, 9.0)]
+    members = [("inner", [0]), ("ring", [0, 1]), ("all", [0, 1, 2, 5, 1 << 39]), (None, [1, 5]), ("empty", [7]), ("nan", [8])]
+    wanted = {"v50": ("v", 0.5), "w90": ("w", 0.9), "v0": ("v", 0.0), "w100": ("w", 1.0)}
+    asks = lambda g: ["v50", "w90"] if g == "ring" else list(wanted)
+    groups = spark.createDataFrame([(c, g, asks(g)) for g, cells in members for c in cells], "cell long, g string, outputs array<string>")
+    written = []
+    keep = lambda df: written.append(df.cache()) or written[-1]
+    monkeypatch.setattr(order, "materialise", keep)
+    found = quantiles_of_cells(spark.createDataFrame(rows, "cell long, v double, w double"), {"v": "v", "w": "w"}, groups, ["g"], wanted)
+    got = {r["g"]: r.asDict() for r in found.collect()}
+    assert set(got) == {g for g, _ in members}
+    for g, cells in members:
+        for out, (m, p) in wanted.items():
+            data = sorted((x for r in rows if r[0] in cells and (x := r[1 + "vw".index(m)]) is not None), key=lambda x: (math.isnan(x), x))
+            at = p * (len(data) - 1)
+            low, high, t = math.floor(at), math.ceil(at), at - math.floor(at)
+            if out not in asks(g) or not data:
+                assert got[g][out] is None
+            elif math.isfinite(data[low]) and math.isfinite(data[high]):
+                assert got[g][out] == pytest.approx(data[low] * (1 - t) + data[high] * t, rel=1e-12, abs=1e-15)
+    counted = written[0].agg(F.sum("_w")).first()[0]
+    assert counted == sum(x is not None for r in rows for x in r[1:])
+
+
+def test_score_table_reads_lines_twice_for_all_radii(spark, folder, monkeypatch):
+    from siterank.plans import bindings
+
+    seen = []
+    monkeypatch.setattr(bindings, "quantiles_of_cells", lambda rows, *rest: seen.append(rows) or quantiles_of_cells(rows, *rest))
+    scores, _ = bindings.score_table(spark, folder)
+    assert len(seen) == 1 and seen[0].count() == spark.read.parquet(f"{folder}/lineitem.parquet").where("l_quantity <= 50").count()
+    assert scores.count() > 0
