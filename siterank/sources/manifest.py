@@ -1,14 +1,22 @@
 """File manifests, checksum verification and the file inventory.
 
-Hashes need a file's bytes in one task, so very large data belongs in many files; sizes and roles are read
-without content.
+Hashes need a file's bytes in one task, in memory only for small files, so very large data belongs in many files; sizes
+and roles are read without content.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Bytes from which on a file is hashed as a stream: Spark's binary reader holds a file in memory and takes none of 2 GB or more.
+STREAMED = 1 << 28
+CHUNK = 1 << 22
+
+
 def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
@@ -18,9 +26,39 @@ def _relative(root: str) -> Column:
     return F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(prefix), F.lit(""))
 
 
-def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Relative path, bytes and sha256 of every file below a folder."""
-    return _files(spark, root, pattern).select(_relative(root).alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def _opened(path: str):
+    """A byte stream of a file that a Spark path names, local or of a file system that Arrow knows."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return store.open_input_stream(name)
+
+
+def _stream_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+
+def manifest(spark: SparkSession, root: str, pattern: str = "*", streamed: int = STREAMED) -> DataFrame:
+    """Relative path, bytes and sha256 of every file below a folder; files of ``streamed`` bytes or more are never held whole."""
+    files = _files(spark, root, pattern)
+    held = files.where(F.col("length") < streamed).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") >= streamed).select("path", "length").mapInArrow(_stream_hashes, "path string, length long, sha256 string")
+    return held.unionByName(large).select(_relative(root).alias("relative_path"), F.col("length").alias("bytes"), "sha256")
 
 
 def verify_checksums(found: DataFrame, expected: DataFrame) -> DataFrame:

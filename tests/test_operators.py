@@ -477,3 +477,27 @@ def test_score_table_reads_lines_twice_for_all_radii(spark, folder, monkeypatch)
     scores, _ = bindings.score_table(spark, folder)
     assert len(seen) == 1 and seen[0].count() == spark.read.parquet(f"{folder}/lineitem.parquet").where("l_quantity <= 50").count()
     assert scores.count() > 0
+
+
+def test_manifest_streams_large_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in ner").mkdir()
+    data = {"a.bin": b"abc", "in ner/b 50%25.bin": random.Random(1).randbytes(5 << 20), "c.bin": b"x" * 1000}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    found = manifest.manifest(spark, str(tmp_path), "*.bin", streamed=1000)
+    assert {r["relative_path"]: (r["bytes"], r["sha256"]) for r in found.collect()} == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in data.items()}
+
+
+def test_manifest_of_a_file_beyond_the_binary_reader(spark, tmp_path):
+    import hashlib
+
+    size = (1 << 31) + 5
+    with open(tmp_path / "sparse.bin", "wb") as f:
+        f.truncate(size)
+    digest = hashlib.sha256()
+    for at in range(0, size, 1 << 24):
+        digest.update(bytes(min(1 << 24, size - at)))
+    row = manifest.manifest(spark, str(tmp_path)).first()
+    assert (row["bytes"], row["sha256"]) == (size, digest.hexdigest())
