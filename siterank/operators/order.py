@@ -216,11 +216,13 @@ def quantiles_of_cells(rows: DataFrame, measures: dict[str, str | Column], group
     a measure without a value gives NULL. Cells and groups are few beside the rows and are broadcast.
     """
     keys, number = list(keys), {m: i for i, m in enumerate(measures)}
-    entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("m"), (_col(c).cast("double") + F.lit(0.0)).alias("value")) for i, c in enumerate(measures.values())])
-    long = rows.select("cell", F.explode(entries).alias("_e")).select("cell", "_e.*").where(F.col("value").isNotNull())
     limit = F.lit(CELL_BUCKET_LIMIT).cast("bigint")
-    bucket = F.when(F.isnan("value"), limit + 1).otherwise(F.greatest(-limit, F.least(limit, _bucket(F.col("value"), CELL_BUCKETS_PER_UNIT))))
-    keyed = long.select(_cell_key(F.col("cell"), F.col("m"), bucket).alias("_key"), "value")
+    bucket = lambda v: F.when(F.isnan(v), limit + 1).otherwise(F.greatest(-limit, F.least(limit, _bucket(v, CELL_BUCKETS_PER_UNIT))))
+    wide = rows.select("cell", *[(_col(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(measures.values())])
+    wide = wide.select("*", *[_cell_key(F.col("cell"), F.lit(i).cast("bigint"), bucket(F.col(f"v{i}"))).alias(f"k{i}") for i in range(len(measures))])
+    # unpivoted rows need no array of structs for each line, as an explode does
+    pairs = ", ".join(f"(k{i}, v{i})" for i in range(len(measures)))
+    keyed = rows.sparkSession.sql(f"SELECT _key, value FROM {{wide}} UNPIVOT ((_key, value) FOR _of IN ({pairs}))", wide=wide).where(F.col("value").isNotNull())
     parts = {"_c": F.shiftright("_key", 23), "_m": F.shiftright("_key", 16).bitwiseAND(F.lit(127)), "_b": F.col("_key").bitwiseAND(F.lit(65535))}
 
     counts = materialise(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_w"))).withColumns(parts)
