@@ -2,7 +2,8 @@
 
 Counts of all training words are summed in Spark. The most frequent words (``shortlist``, and the end of a text) have an output
 of their own; every other word belongs to one of a fixed number of tail classes, by the last bytes of the word, and is shared out
-within it by its count. The output is factored: a softmax over classes, then one over the words of a short class. Each
+within it by its count. The output is factored: a softmax over groups, then one within the group, over its words or, in the last
+groups, over tail classes. Each
 Spark task trains a copy from the same start on its own documents, by truncated backpropagation with the state carried on,
 and the copies are averaged by a tree of partial sums. Only model parts of fixed size pass through the driver: counts of words
 beyond ``known`` stay in Spark and reach their documents by a join.
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from siterank.llm.common import Scratch, U, Words, column, crc_mod, mix, pieces, text_bytes
 
 TAIL = 64
-SHORT = 32
+SHORT = 16
+GROUPS = SHORT + 4
 END = np.iinfo(np.int64).min
 
 
@@ -52,15 +54,25 @@ class Vocabulary:
         self.words, self.counts = known[order], counts[order]
         self.ids = np.full(len(known), -1)
         self.ids[np.searchsorted(self.words, known[:size])] = np.arange(size)
+        self.bits = U(64 - max(1, len(known).bit_length() + 1))
+        self.first = np.searchsorted(self.words, (np.arange(1 << int(U(64) - self.bits)).astype(U) << self.bits ^ U(1 << 63)).astype(np.int64))
+        self.depth = int(np.diff(np.append(self.first, len(self.words))).max(initial=0))
         self.short_counts = counts[:size]
-        mass = np.cumsum(self.short_counts + 1) / max(1, (self.short_counts + 1).sum())
-        self.group = np.minimum((mass - 1e-9) * SHORT, SHORT - 1).astype(np.int64)  # frequent words first: groups are runs
-        self.edges = np.searchsorted(self.group, np.arange(SHORT + 1))
+        # Frequent words first: groups are runs. Equal sums of roots give the least sum of mass times size, the outputs of a word.
+        roots = np.cumsum(np.sqrt(self.short_counts + 1.0))
+        short = np.minimum((roots / roots[-1] - 1e-9) * SHORT, SHORT - 1).astype(np.int64)
+        self.group = np.append(short, SHORT + np.arange(TAIL) * (GROUPS - SHORT) // TAIL)
+        self.edges = np.searchsorted(self.group, np.arange(GROUPS + 1))
+        self.mass = np.append(self.short_counts + 1.0, np.maximum(tail_mass, 1e-3))
 
     def look(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Id of each word (shortlist, or shortlist size + tail class) and its count (0 if not among the known)."""
         h = words.hashes.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        at = self.first[(words.hashes ^ U(1 << 63)) >> self.bits]  # hashes spread evenly, so few words share their leading bits
+        last = len(self.words) - 1
+        for _ in range(self.depth):
+            at += self.words[np.minimum(at, last)] < h
+        np.minimum(at, last, out=at)
         hit = self.words[at] == h
         found = np.where(hit, self.ids[at], -1)
         return np.where(found >= 0, found, len(self.short_counts) + tail_class(words)), np.where(hit, self.counts[at], 0)
@@ -82,47 +94,53 @@ class Network:
     def __init__(self, vocabulary: Vocabulary, hidden: int):
         v, rng = vocabulary, np.random.default_rng(1)
         self.v, self.hidden, self.size = v, hidden, len(v.short_counts)
-        classes = np.append(np.bincount(v.group, weights=v.short_counts + 1, minlength=SHORT), v.tail_mass)
+        groups = np.bincount(v.group, weights=v.mass, minlength=GROUPS)
         self.p = {
             "x": rng.normal(0, 0.1, (self.size + TAIL, 3 * hidden)), "u": rng.normal(0, 0.3 / np.sqrt(hidden), (hidden, 3 * hidden)), "b": np.zeros(3 * hidden),
-            "wc": np.zeros((hidden, SHORT + TAIL)), "bc": np.log(np.maximum(classes, 1e-3) / classes.sum()), "ww": np.zeros((hidden, self.size)), "bw": np.log(v.short_counts + 1.0)}
+            "wc": np.zeros((hidden, GROUPS)), "bc": np.log(np.maximum(groups, 1e-3) / groups.sum()), "ww": np.zeros((hidden, len(v.mass))), "bw": np.log(v.mass)}
         self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
 
-    def forward(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        """Hidden states before each token: ids and fresh are (steps, lanes); a fresh token starts a text from zero.
+    def forward(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, train: bool = True):
+        """Hidden states before each token: ids and fresh are (steps, lanes); a fresh token starts a text from zero. The gates
+        of each step are kept for training only.
 
         States come and go as (lanes, units). Within, they and the gates are (units, lanes), so that every slice of gates is
         one run of memory; what is returned are views of that.
         """
         p, H, steps, h = self.p, self.hidden, [], h.T
         outs = np.empty((len(ids), *h.shape), np.float32)
-        inputs = np.ascontiguousarray((p["x"][ids] + p["b"]).transpose(0, 2, 1))
+        sign = np.repeat(np.array([-1, 1], np.float32), (2 * H, H))  # the sigmoids take exponents of the negative
+        inputs = np.ascontiguousarray(((p["x"] + p["b"]) * sign)[ids].transpose(0, 2, 1))
         keep = (~fresh).astype(np.float32)
-        u = np.ascontiguousarray(p["u"].T)
+        u = np.ascontiguousarray((p["u"] * sign).T)
+        g, zr, n = np.empty_like(inputs[0]), np.empty_like(inputs[0][: 2 * H]), np.empty_like(h)
         for t in range(len(ids)):
-            h = np.multiply(h, keep[t], out=outs[t])
-            g, x = u @ h, inputs[t]
-            zr = g[: 2 * H] + x[: 2 * H]
-            np.negative(zr, out=zr)
+            if train:
+                g, zr, n = np.empty_like(g), np.empty_like(zr), np.empty_like(n)
+            h, x = np.multiply(h, keep[t], out=outs[t]), inputs[t]
+            np.matmul(u, h, out=g)
+            np.add(g[: 2 * H], x[: 2 * H], out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
             z, r = zr[:H], zr[H:]
-            n = r * g[2 * H :]
+            np.multiply(r, g[2 * H :], out=n)
             n += x[2 * H :]
             np.tanh(n, out=n)
-            steps.append((h, z, r, n, g[2 * H :]))
-            h = n + z * (h - n)
+            if train:
+                steps.append((h, z, r, n, g[2 * H :]))
+            h = h - n
+            h *= z
+            h += n
         return outs.transpose(0, 2, 1), steps, h.T
 
     def output(self, h: np.ndarray, ids: np.ndarray, train: bool):
         """Log probability of each id (of its class alone, for a tail class) given states (ids, units); gradients if training."""
         p, v = self.p, self.v
-        short = ids < self.size
-        cls = np.where(short, v.group[np.minimum(ids, self.size - 1)], SHORT + ids - self.size).astype(np.uint8)
+        cls = v.group[ids].astype(np.uint8)
         order = np.argsort(cls, kind="stable")
         cls, ids, h = cls[order], ids[order], np.ascontiguousarray(h[order].T)
-        cuts = np.searchsorted(cls, np.arange(SHORT + 1))
+        cuts = np.searchsorted(cls, np.arange(GROUPS + 1))
         h1 = np.concatenate([h, np.ones((1, h.shape[1]), np.float32)])  # the last row carries the biases
         w = np.concatenate([p["wc"], p["bc"][None]])
         e = exponents(w, h1)
@@ -136,7 +154,7 @@ class Network:
             grads = {"wc": gw[:-1], "bc": gw[-1], "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
             dh = (p["wc"] @ e) / s - p["wc"][:, cls]
         w = np.concatenate([p["ww"], p["bw"][None]])
-        for k in range(SHORT):
+        for k in range(GROUPS):
             i, j = v.edges[k], v.edges[k + 1]
             mine = slice(cuts[k], cuts[k + 1])
             if j - i < 2 or cuts[k] == cuts[k + 1]:
@@ -258,10 +276,19 @@ def train_batches(shared, lanes: int, window: int, rate: float, piece_bytes: int
                 n, turn = int(real.sum()), turn + 1
                 seen += n
                 for k, g in grads.items():  # Adam
-                    g = g / max(n, 1)
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.02 * (g * g - second[k])
-                    net.p[k] -= rate * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.98**turn)) + 1e-6)
+                    g *= np.float32(1 / max(n, 1))
+                    first[k] *= np.float32(0.9)
+                    first[k] += np.float32(0.1) * g
+                    g *= g
+                    g *= np.float32(0.02)
+                    second[k] *= np.float32(0.98)
+                    second[k] += g
+                    np.multiply(second[k], np.float32(1 / (1 - 0.98**turn)), out=g)
+                    np.sqrt(g, out=g)
+                    g += np.float32(1e-6)
+                    np.divide(first[k], g, out=g)
+                    g *= np.float32(rate / (1 - 0.9**turn))
+                    net.p[k] -= g
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([net.packed().astype(np.float32).tobytes()]), pa.array([float(seen)])], names=["parameters", "tokens"])
 
@@ -282,7 +309,7 @@ def score_batches(shared, lanes: int, window: int, piece_bytes: int):
             h = np.zeros((data.grid.shape[1], net.hidden), np.float32)
             for at, m in data.windows(window):
                 ids, doc = data.grid[at, :m], data.doc[at, :m]
-                outs, _, h = net.forward(ids, data.fresh[at, :m], h[:m])
+                outs, _, h = net.forward(ids, data.fresh[at, :m], h[:m], False)
                 real = doc >= 0
                 logs, _, _ = net.output(outs[real], ids[real], False)
                 score += np.bincount(doc[real], weights=logs, minlength=rows)

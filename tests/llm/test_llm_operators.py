@@ -7,6 +7,7 @@ import html as entities
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -456,6 +457,23 @@ def test_language_model(docs, texts):
         assert r.score < 0
 
 
+def test_language_model_work_per_word(monkeypatch):
+    n = 4000
+    counts = 1_000_000 // np.arange(1, n + 1)
+    hashes = np.random.default_rng(3).permutation(np.append(np.random.default_rng(2).integers(-(2**63) + 1, 2**63 - 1, n - 1), language_model.END))
+    v = language_model.Vocabulary(hashes, counts, 2000, np.full(language_model.TAIL, counts[2000:].sum() / language_model.TAIL), counts.sum(), n)
+    net = language_model.Network(v, 4)
+    outputs = []
+    plain = language_model.exponents
+    monkeypatch.setattr(language_model, "exponents", lambda w, h: outputs.append(w.shape[1] * h.shape[1]) or plain(w, h))
+    ids = np.random.default_rng(4).choice(2000, 5000, p=counts[:2000] / counts[:2000].sum())
+    net.output(np.zeros((5000, 4), np.float32), ids, False)
+    assert sum(outputs) / 5000 < 120
+    words_ = SimpleNamespace(hashes=np.append(hashes, [5, 2**63 - 1]).astype(np.uint64), data=np.full(n + 2, 97, np.uint8), starts=np.arange(n + 2), ends=np.arange(1, n + 3))
+    found, times = v.look(words_)
+    assert (found[:2000] == np.arange(2000)).all() and (found[2000:] >= 2000).all() and (times == np.append(counts, [0, 0])).all()
+
+
 def test_language_model_is_a_distribution_and_learns():
     words_ = np.arange(1, 41)
     v = language_model.Vocabulary(np.append(language_model.END, words_), np.append(30, 60 - words_), 21, np.bincount(words_[20:] % 64, weights=61 - words_[20:], minlength=64) + 1.0, 2000, 41)
