@@ -69,8 +69,11 @@ def inventory_summaries(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
     items = table(spark, folder, "lineitem").select(
         "l_partkey", year.alias("_year"), ring.alias("_ring"), F.col("l_discount").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_quantity").alias("c"),
         (F.col("l_orderkey") % 1000).cast("double").alias("e")).where(F.col("_ring").isNotNull())
-    cell = F.shiftleft(F.shiftleft("_brand", 15) + F.col("_year"), 2) + F.col("_ring")
-    lines = materialise(items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(cell.alias("cell"), "a", "b", "c", "e"))
+    place = F.shiftleft(F.col("_year").cast("bigint"), 2) + F.col("_ring")
+    items = items.select("l_partkey", place.alias("_place"), "a", "b", "c", "e")
+    # hashed, not merged: the parts of a task's share are few beside its lines, so the lines need no sorting
+    joined = items.join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = materialise(joined.select((F.shiftleft("_brand", 17) + F.col("_place")).alias("cell"), "a", "b", "c", "e"))
     cells = materialise(lines.select("cell").distinct()).select(
         "cell", F.shiftright("cell", 17).alias("_brand"), F.shiftright("cell", 2).bitwiseAND(F.lit(NO_YEAR)).alias("_year"), F.col("cell").bitwiseAND(F.lit(3)).alias("_ring"))
     radii = F.array(*[F.struct(F.lit(i).alias("_least"), F.lit(r).alias("radius_m")) for i, r in enumerate(RINGS)])

@@ -512,3 +512,13 @@ def test_manifest_of_a_file_beyond_the_binary_reader(spark, tmp_path):
         digest.update(bytes(min(1 << 24, size - at)))
     row = manifest.manifest(spark, str(tmp_path)).first()
     assert (row["bytes"], row["sha256"]) == (size, digest.hexdigest())
+
+
+def test_lines_of_the_score_table_meet_their_parts_unsorted(spark, monkeypatch):
+    from siterank.plans import bindings
+
+    plans, write = [], bindings.materialise
+    monkeypatch.setattr(bindings, "materialise", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    bindings.inventory_summaries(spark, "/root/testdata/sf0.001")
+    joins = [p for p in plans if "l_partkey" in p]
+    assert joins and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in joins)
