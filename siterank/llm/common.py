@@ -156,6 +156,10 @@ def crc_mod(name: str, base: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(base))
 
 
+#: Files of an execution's exchanges go when it ends; else they stay until the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables below spark.checkpoint.dir that cut lineage; ``drop`` removes those that nothing reads any more."""
 
@@ -166,7 +170,12 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.folder}/{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FILE_CLEANUP, None)
+        self.spark.conf.set(FILE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(FILE_CLEANUP) if before is None else self.spark.conf.set(FILE_CLEANUP, before)
         found = self.spark.read.schema(df.schema).parquet(path)
         found.scratch_path = path
         return found

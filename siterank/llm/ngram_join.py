@@ -11,6 +11,9 @@ Equal sets are one class from the start. The classes of a band are first tested
 the most shared, which is the original of a group of near copies; linked classes merge. Only bands that still hold several
 components go on: small ones as pairs across components, larger ones in blocks whose sketches are compared in arrays. Pairs
 within one component are never formed, and of the others only those whose sketches are near enough leave a block.
+
+The bands are several times the text, so they are made and sent once. Whole sets are spelled only for classes of pairs whose bit
+sketches, of a fixed length, do not rule out a link.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siterank.llm.common import Scratch, U, Words, column, mix, pieces, row_key, text_bytes, windows
 from siterank.llm.components import components
@@ -97,11 +100,17 @@ def spare_of(bands: int) -> int:
     return spare(apart)
 
 
+def bit_sketch(found: np.ndarray) -> bytes:
+    """Parity sketch of fixed length, for a first test of a pair."""
+    return np.packbits((np.bincount((mix(found) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def name_sets(width: int, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text", piece_bytes):
-            sets = [(len(s), class_of(s)) for s in shingle_sets(table, width)]
-            yield pa.RecordBatch.from_arrays([column(table, "id"), column(table, "row"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["id", "row", "n", "class"])
+            sets = [(len(s), class_of(s), bit_sketch(s)) for s in shingle_sets(table, width)]
+            n, classes, sketches = (pa.array([x[i] for x in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))
+            yield pa.RecordBatch.from_arrays([column(table, "id"), column(table, "row"), n, classes, sketches], names=["id", "row", "n", "class", "sketch"])
 
     return run
 
@@ -121,14 +130,12 @@ def sketch_bands(width: int, threshold: float, piece_bytes: int):
 
 
 def spell_sets(width: int, piece_bytes: int):
-    """Whole sets of candidate classes, with a bit sketch of fixed length for a first test."""
+    """Whole sets of candidate classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text", piece_bytes):
-            sets = list(shingle_sets(table, width))
-            parity = [(np.bincount((mix(s) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8) for s in sets]
-            sketch = [np.packbits(p).tobytes() for p in parity]
-            yield pa.RecordBatch.from_arrays([column(table, "class"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "size", "sketch", "shingles"])
+            spelled = pa.array([s.astype(np.int64) for s in shingle_sets(table, width)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(table, "class"), spelled], names=["class", "shingles"])
 
     return run
 
@@ -171,6 +178,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").withColumn("shared", shared).filter(F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * percent).select("u", "v")
 
 
+def shared_bands(bands: DataFrame) -> DataFrame:
+    """Distinct (key, class) of the keys that two classes or more have, by one exchange of the bands."""
+    of = Window.partitionBy("key")
+    return bands.select("key", "class", F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")).filter("lo <> hi").select("key", "class").distinct()
+
+
 def band_hubs(groups: DataFrame) -> DataFrame:
     """Per key its number of classes and its hub: the class whose keys are the most shared, the smaller name on ties."""
     sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
@@ -206,15 +219,25 @@ def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     scratch, threshold = Scratch(docs.sparkSession), percent / 100
     base = docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("row"), text_bytes(text_column).alias("text"))
-    members = scratch.write(base.mapInArrow(name_sets(width, piece_bytes), "id long, row long, n long, class long"))
+    members = scratch.write(base.mapInArrow(name_sets(width, piece_bytes), "id long, row long, n long, class long, sketch binary"))
     bands = base.select("text").mapInArrow(sketch_bands(width, threshold, piece_bytes), "key long, class long")
-    shared = bands.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    groups = scratch.write(bands.join(shared, "key").distinct())
-    firsts = members.groupBy("class").agg(F.min("row").alias("row")).join(groups.select("class").distinct(), "class")
-    sets = scratch.write(base.join(firsts, "row").dropDuplicates(["class"]).select("class", "text").mapInArrow(spell_sets(width, piece_bytes), "class long, size long, sketch binary, shingles array<long>"))
+    groups = scratch.write(shared_bands(bands))
+    named = members.groupBy("class").agg(F.min("row").alias("row"), F.first("n").alias("size"), F.first("sketch").alias("sketch"))
+    sets = scratch.write(named.join(groups.select("class").distinct(), "class", "left_semi"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        close = scratch.write(near(pairs, sets, percent))
+        ends = close.select(F.col("u").alias("class")).unionAll(close.select("v")).distinct()
+        firsts = sets.select("class", "row").join(ends, "class", "left_semi")
+        texts = base.select("row", "text").join(firsts, "row").dropDuplicates(["row", "class"])
+        spelled = scratch.write(texts.select("class", "text").mapInArrow(spell_sets(width, piece_bytes), "class long, shingles array<long>"))
+        found = scratch.write(linked(close, spelled, percent))
+        scratch.drop(close, spelled)
+        return found
+
     hubs = scratch.write(band_hubs(groups))
     stars = scratch.write(groups.join(hubs, "key").filter("class <> hub").select(F.least("class", "hub").alias("u"), F.greatest("class", "hub").alias("v")).distinct())
-    edges = scratch.write(linked(near(stars, sets, percent), sets, percent))
+    edges = links(stars)
     labels = scratch.write(components(edges, scratch))
     name = labels.withColumnRenamed("node", "class")
     labelled = groups.join(name, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
@@ -223,7 +246,7 @@ def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     open_ = open_.join(center, "hub", "left").select("key", "n", F.coalesce("hub_label", "hub").alias("hub_label"))
     rows = scratch.write(labelled.join(open_, "key"))
     rest = open_pairs(rows, sets, percent, few, block).join(stars, ["u", "v"], "left_anti").distinct()
-    more = scratch.write(linked(near(rest, sets, percent), sets, percent))
+    more = links(rest)
     labels = scratch.write(components(edges.unionAll(more), scratch)).withColumnRenamed("node", "class")
     scratch.drop(groups, sets, hubs, stars, rows)
     return members.join(labels, "class", "left").select("id", "row", "n", "class", F.coalesce("label", "class").alias("node"))
